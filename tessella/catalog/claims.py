@@ -9,6 +9,7 @@ from tessella.catalog.base import Tables, longs, query, rounded
 from tessella.functions import columns as C
 from tessella.operators import clean, joins, profile, reshape, rollup
 from tessella.plans import claims as plan
+from tessella.session import cut
 
 TYPES = ("1-URGENT", "2-HIGH", "3-MEDIUM")
 PARTS = ("Brand#1", "Brand#2", "Brand#3", "Brand#4", "Brand#5")
@@ -293,7 +294,7 @@ def filter_funnel(t: Tables) -> DataFrame:
     GROUP BY ALL""" % (ROLLUP, ROLLUP))
 def outlier_patterns(t: Tables) -> DataFrame:
     """Patterns among marked claims; here the mark is a rule, so that SQL can check it."""
-    features = claim_features(t)
+    features = cut(claim_features(t))
     marked = features.withColumn("anomaly", F.when(F.round("mean_amount", 4) > 50000, -1).otherwise(1))
     return plan.outlier_patterns(marked, ["claim_status_F", "item_type_R", "claim_type_1-URGENT"])
 

@@ -10,6 +10,7 @@ from tessella.catalog.base import Tables, query, rounded
 from tessella.operators import clusters, density, explain, forecast, isolation, series, vectors
 from tessella.plans import claims as claims_plan
 from tessella.plans import topics as topics_plan
+from tessella.session import cut
 
 EMBEDDING_SIZE = 64
 
@@ -92,7 +93,7 @@ def claim_anomalies(t: Tables) -> DataFrame:
 @query()
 def rf_importance(t: Tables) -> DataFrame:
     """What a forest relies on to tell marked claims from the others."""
-    features = claims.claim_features(t)
+    features = cut(claims.claim_features(t))
     numbers = [c for c in features.columns if c not in claims.KEYS]
     marked = features.withColumn("anomaly", F.when(F.col("mean_amount") > 80000, -1).otherwise(1))
     table, _ = explain.random_forest_importance(marked, numbers, "anomaly", claims.KEYS)

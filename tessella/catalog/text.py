@@ -39,10 +39,14 @@ def remove_pattern(t: Tables) -> DataFrame:
 
 
 def _grams(n: int, source: str, group: str) -> str:
+    following = " || ' ' || ".join(["w", *[f"lead(w, {i}) OVER o" for i in range(1, n)]])
     return rf"""
-    SELECT {group}, array_to_string(w[i:i + {n - 1}], ' ') AS ngram FROM (
-        SELECT {group}, w, unnest(range(1, len(w) - {n} + 2)) AS i FROM (
-            SELECT {group}, string_split_regex(lower(string_agg(text, ' ' ORDER BY doc_id)), '{SPACE}') AS w FROM {source} GROUP BY {group}))"""
+    SELECT {group}, ngram FROM (
+        SELECT {group}, {following} AS ngram FROM (
+            SELECT {group}, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (
+                SELECT {group}, string_split_regex(lower(string_agg(text, ' ' ORDER BY doc_id)), '{SPACE}') AS w FROM {source} GROUP BY {group}))
+        WINDOW o AS (PARTITION BY {group} ORDER BY i))
+    WHERE ngram IS NOT NULL"""
 
 
 def _top_words(n: int, group: str) -> str:

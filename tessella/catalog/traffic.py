@@ -270,8 +270,8 @@ def series_for_key(t: Tables) -> DataFrame:
     return rounded(found, [*MEASURES, "TIPO_GIORNO_DS", "KPI", "PRED"], 6)
 
 
-@query(f"""{GRID} SELECT user_id, ts, CASE WHEN at < floor(floor(days * 8 * 0.85) * 0.9) THEN 'train' WHEN at < floor(days * 8 * 0.85) THEN 'val' ELSE 'test' END AS split
-       FROM (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS at,
+@query(f"""{GRID} SELECT user_id, ts, CASE WHEN pos < floor(floor(days * 8 * 0.85) * 0.9) THEN 'train' WHEN pos < floor(days * 8 * 0.85) THEN 'val' ELSE 'test' END AS split
+       FROM (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS pos,
                     datediff('day', CAST(min(ts) OVER (PARTITION BY user_id) AS DATE), CAST(max(ts) OVER (PARTITION BY user_id) AS DATE)) AS days FROM g)""")
 def chronological_split(t: Tables) -> DataFrame:
     return series.chronological_split(regular_grid(t), "ts", "user_id")

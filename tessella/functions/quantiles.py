@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessella.functions.columns import drop_missing
 from tessella.functions.sizing import attach, small_table
 
 ACCURACY = 10_000
@@ -55,7 +56,7 @@ def exact_quantiles(
     v = F.col(value).cast("double")
     base = df.select(*by, v.alias("_v")).where(v.isNotNull() & ~F.isnan(v))
     if by:
-        base = base.na.drop(subset=by)
+        base = drop_missing(base, by)
     if not by and base.limit(1).count() == 0:
         return df.sparkSession.range(1).select(F.array(*[F.lit(None).cast("double") for _ in probs]).alias("quantiles"))
 

@@ -53,11 +53,11 @@ def keep_between(df: DataFrame, column: str, low: object, high: object) -> DataF
 
 
 def drop_any_null(df: DataFrame) -> DataFrame:
-    return df.na.drop("any")
+    return C.drop_missing(df)
 
 
 def drop_null_in(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.na.drop(subset=list(columns))
+    return C.drop_missing(df, columns)
 
 
 def drop_zero_text(df: DataFrame, column: str) -> DataFrame:

@@ -19,6 +19,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.columns import drop_missing
 from tessella.session import cut
 
 HOT_CELLS = 1_000
@@ -168,7 +169,7 @@ def dbscan(df: DataFrame, features: Sequence[str], id_column: str, eps: float, m
     xs = [f"x{i}" for i in range(d)]
     side = eps / math.sqrt(d) * SHRINK
     points = df.select(F.col(id_column).alias("_id"), *[F.col(f"`{c}`").cast("double").alias(x) for c, x in zip(features, xs)])
-    points = points.na.drop("any").withColumn("_cell", _cell(xs, side))
+    points = drop_missing(points).withColumn("_cell", _cell(xs, side))
     cells = cut(points.groupBy("_cell").agg(F.count("*").alias("n")))
     hot = _hot(cells, hot_rows)
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators.series import chronological_split, lag_features, shift_time
 from tessella.operators.vectors import standardize
+from tessella.session import cut
 
 
 def regression_metrics(df: DataFrame, label: str, prediction: str, by: Sequence[str] = ()) -> DataFrame:
@@ -46,7 +47,7 @@ def one_step_forecast(
     """
     rows = forecast_features(series, ts, key, value, lags)
     base = [value, *[f"lag_{i}" for i in range(1, lags + 1)], "hour", *extra]
-    rows = rows.na.fill(0.0, subset=[*base, *event])
+    rows = cut(rows.na.fill(0.0, subset=[*base, *event]))
     out = rows.where("split = 'test'")
     for name, columns in (("predicted_with_event", [*base, *event]), ("predicted", base)):
         model = Pipeline(stages=[

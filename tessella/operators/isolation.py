@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessella.functions.columns import drop_missing
 from tessella.functions.quantiles import exact_quantiles
+from tessella.session import cut
 
 NODE = "tree int, node int, feature int, cut double, left int, right int, depth double"
 EULER = 0.5772156649015329
@@ -60,9 +62,9 @@ def fit_forest(df: DataFrame, features: Sequence[str], id_columns: Sequence[str]
     """
     features = list(features)
     spot = F.xxhash64(F.lit(seed), *[F.col(c) for c in id_columns])
+    points = df.select(*[F.col(f"`{c}`").cast("double").alias(f"f{i}") for i, c in enumerate(features)], spot.alias("_spot"))
     pool = (
-        df.select(*[F.col(f"`{c}`").cast("double").alias(f"f{i}") for i, c in enumerate(features)], spot.alias("_spot"))
-        .na.drop("any").orderBy("_spot", *[f"f{i}" for i in range(len(features))]).limit(trees * sample)
+        drop_missing(points).orderBy("_spot", *[f"f{i}" for i in range(len(features))]).limit(trees * sample)
     )
     drawn = Window.partitionBy("tree").orderBy(F.xxhash64("_spot", "tree"), "_spot")
     chosen = (
@@ -126,9 +128,9 @@ def isolation_forest(
     seed: int = 42,
 ) -> DataFrame:
     """Add ``score`` and ``anomaly``: -1 for rows below the contamination quantile of the scores, else 1."""
-    clean = df.na.drop(subset=list(features))
+    clean = drop_missing(df, features)
     nodes = fit_forest(clean, features, id_columns, trees, sample, seed)
     used = min(sample, clean.limit(sample).count())
-    scored = score_forest(clean, features, nodes, used)
+    scored = cut(score_forest(clean, features, nodes, used))  # the quantile reads the scores several times
     limit = exact_quantiles(scored, "score", [contamination]).first()["quantiles"][0]
     return scored.withColumn("anomaly", F.when(F.col("score") < F.lit(limit), -1).otherwise(1))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessella.functions.columns import drop_missing
 from tessella.functions.quantiles import exact_quantiles
 from tessella.functions.sizing import attach, small_table
 from tessella.operators.clean import numeric_columns, text_columns
@@ -120,12 +121,12 @@ def quantile_buckets(df: DataFrame, value: str, source: DataFrame | None = None,
 
 def pattern_count(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows per combination of the columns, most first."""
-    return df.na.drop(subset=list(columns)).groupBy(*columns).agg(F.count("*").alias("count")).orderBy(F.desc("count"), *columns)
+    return drop_missing(df, columns).groupBy(*columns).agg(F.count("*").alias("count")).orderBy(F.desc("count"), *columns)
 
 
 def class_histogram(df: DataFrame, value: str, label: str, bins: int = 10) -> DataFrame:
     """Rows in equal bins between the minimum and maximum of each class; the maximum is in the last bin."""
-    rows = df.select(label, F.col(value).cast("double").alias("_v")).na.drop("any")
+    rows = drop_missing(df.select(label, F.col(value).cast("double").alias("_v")))
     ends, fits = small_table(rows.groupBy(label).agg(F.min("_v").alias("low"), F.max("_v").alias("high")))
     place = F.floor((F.col("_v") - F.col("low")) * bins / (F.col("high") - F.col("low")))
     placed = attach(rows, ends, [label], fits).select(
@@ -150,7 +151,7 @@ def boxplot_stats(df: DataFrame, value: str, by: str) -> DataFrame:
     ))
     v = F.col(value).cast("double")
     inside = v.between(F.col("_low"), F.col("_high"))
-    return attach(df.select(by, value).na.drop("any"), fences, [by], fits).groupBy(by, "q1", "median", "q3").agg(
+    return attach(drop_missing(df.select(by, value)), fences, [by], fits).groupBy(by, "q1", "median", "q3").agg(
         F.min(F.when(inside, v)).alias("whisker_low"), F.max(F.when(inside, v)).alias("whisker_high"),
         F.count_if(~inside).alias("outliers"),
     )

@@ -9,6 +9,7 @@ from pyspark.ml.feature import StringIndexer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.columns import drop_missing
 from tessella.functions.sizing import literal_rows
 
 DAY_FORMAT = "%d_%m_%Y"
@@ -41,7 +42,7 @@ def wide_days_to_long(df: DataFrame, ids: Sequence[str], measures: Mapping[str,
     if not days:
         raise ValueError("no day columns with all measures")
     plain = [F.col(f"`{c}`") for c in ids]
-    return df.select(*plain, F.explode(F.array(*days)).alias("_day")).select(*plain, "_day.*").na.drop("any")
+    return drop_missing(df.select(*plain, F.explode(F.array(*days)).alias("_day")).select(*plain, "_day.*"))
 
 
 def long_to_wide_days(df: DataFrame, ids: Sequence[str], day: str, measures: Mapping[str, str], days: Sequence[date]) -> DataFrame:

@@ -8,20 +8,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessella.functions.columns import drop_missing
 from tessella.functions.quantiles import exact_quantiles
 from tessella.functions.sizing import small_table
 
 
 def count_by(df: DataFrame, keys: Sequence[str], name: str = "count", drop_null: bool = True) -> DataFrame:
     """Rows per key, most first, ties by key."""
-    source = df.na.drop(subset=list(keys)) if drop_null else df
+    source = drop_missing(df, keys) if drop_null else df
     return source.groupBy(*keys).agg(F.count("*").alias(name)).orderBy(F.desc(name), *keys)
 
 
 def multi_rollup(df: DataFrame, keys: Sequence[str], flags: Sequence[str], numbers: Sequence[str]) -> DataFrame:
     """Per key the maximum of each flag, ``total_`` and ``mean_`` of each number, in one aggregation."""
     return (
-        df.na.drop(subset=list(keys))
+        drop_missing(df, keys)
         .groupBy(*keys)
         .agg(
             *[F.max(f"`{c}`").alias(c) for c in flags],
@@ -36,7 +37,7 @@ def present_in_all_periods(df: DataFrame, id_column: str, keys: Sequence[str]) -
 
     The counts are small next to the rows; the maximum comes in as a scalar.
     """
-    counts = df.na.drop(subset=list(keys)).groupBy(*keys).agg(F.count("*").alias("_n"))
+    counts = drop_missing(df, keys).groupBy(*keys).agg(F.count("*").alias("_n"))
     full = counts.where(F.col("_n") == counts.agg(F.max("_n")).scalar()).select(id_column)
     return df.join(full, id_column, "left_semi")
 
@@ -106,7 +107,7 @@ def modes(df: DataFrame, group: Sequence[str], columns: Sequence[str]) -> DataFr
     """
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
     counted = (
-        df.select(*group, F.explode(cells).alias("_c")).select(*group, "_c.*").na.drop("any")
+        drop_missing(df.select(*group, F.explode(cells).alias("_c")).select(*group, "_c.*"))
         .groupBy(*group, "column", "value").agg(F.count("*").alias("n"))
     )
     return counted.groupBy(*group, "column").agg(F.max_by("value", F.struct("n", -F.col("value"))).alias("value"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessella.functions.columns import bucket_start
+from tessella.functions.columns import bucket_start, drop_missing
 
 WIDTH = "3 hours"
 
@@ -28,7 +28,7 @@ def build_timestamp(day: str | Column, clock: str | Column) -> Column:
 def tumble(df: DataFrame, ts: str, keys: Sequence[str], sums: Sequence[str], count: str = "N_APPARATI", width: str = WIDTH) -> DataFrame:
     """Sums and row count per fixed window and key, in one aggregation."""
     return (
-        df.na.drop(subset=[ts, *keys])
+        drop_missing(df, [ts, *keys])
         .groupBy(bucket_start(ts, width).alias(ts), *keys)
         .agg(*[F.sum(c).alias(c) for c in sums], F.count("*").alias(count))
     )
@@ -43,7 +43,7 @@ def regular_grid(df: DataFrame, ts: str, keys: Sequence[str], width: str = WIDTH
 def resample(df: DataFrame, ts: str, keys: Sequence[str], value: str, how: str = "sum", width: str = WIDTH) -> DataFrame:
     """One value per bucket of the grid; empty buckets are 0 for ``sum`` and null for ``mean``."""
     agg = {"sum": F.sum, "mean": F.avg}[how](value).alias(value)
-    merged = df.na.drop(subset=[ts, *keys]).groupBy(*keys, bucket_start(ts, width).alias(ts)).agg(agg)
+    merged = drop_missing(df, [ts, *keys]).groupBy(*keys, bucket_start(ts, width).alias(ts)).agg(agg)
     filled = regular_grid(merged, ts, keys, width).join(merged, [*keys, ts], "left")
     return filled.withColumn(value, F.coalesce(value, F.lit(0.0))) if how == "sum" else filled
 

@@ -12,6 +12,7 @@ from tessella.operators import clean, profile, rollup
 from tessella.operators.isolation import isolation_forest
 from tessella.operators.reshape import one_hot
 from tessella.operators.vectors import Components, fit_components
+from tessella.session import cut
 
 # The claims that are analysed.
 REGION = "Europe"
@@ -72,6 +73,7 @@ def claim_outliers(
 
     The mark is attached to the row it was computed from, so a claim with several rows does not fan out.
     """
+    features = cut(features)  # read by every step below
     numbers = [c for c in clean.numeric_columns(features) if c not in keys]
     dropped = [r["column"] for r in profile.high_correlation(features, numbers, limit).collect()]
     kept = [c for c in numbers if c not in dropped]

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from tessella.operators import words
 from tessella.operators.clusters import kmeans
 from tessella.operators.vectors import Components, as_vector, average_word_vectors, encode_texts, fit_components
+from tessella.session import cut
 
 
 @dataclass
@@ -34,7 +35,7 @@ def extract_topics(
 ) -> Topics:
     """Project the vectors, cluster them and list the n-grams that stand out in each cluster."""
     fitted = fit_components(sentences, vector, components)
-    clustered, model = kmeans(fitted.transform(sentences), k, fitted.output, max_iter, seed)
+    clustered, model = kmeans(cut(fitted.transform(sentences).drop(vector)), k, fitted.output, max_iter, seed)
     best = words.top_words(clustered, "prediction", order, text, n, top)
     return Topics(clustered, words.topic_lists(best, "prediction"), fitted, model)
 

@@ -32,13 +32,17 @@ def _key(row):
     return tuple((v is None, str(type(v).__name__ if not isinstance(v, (int, float)) else "n"), v if v is not None else 0) for v in row)
 
 
-def compare(spark_df, con, sql: str) -> str | None:
+def compare(spark_df, con, sql: str, verbose: bool = False) -> str | None:
     """None if equal, else what differs."""
+    started = time.time()
+    got = [tuple(r) for r in spark_df.collect()]
+    between = time.time()
     cursor = con.execute(sql)
     names = [d[0] for d in cursor.description]
     kinds = {d[0]: str(d[1]) for d in cursor.description}
     expected = cursor.fetchall()
-    got = [tuple(r) for r in spark_df.collect()]
+    if verbose:
+        print(f"    spark {between - started:.1f}s sql {time.time() - between:.1f}s", flush=True)
     if sorted(names) != sorted(spark_df.columns):
         return f"columns {sorted(spark_df.columns)} vs {sorted(names)}"
     floats = {"double", "float"}
@@ -70,7 +74,7 @@ def main(folder: str, only: list[str]) -> None:
         try:
             df = fn(spark, folder)
             if name in sqls:
-                result = compare(df, con, sqls[name]) or "ok"
+                result = compare(df, con, sqls[name], bool(only)) or "ok"
             else:
                 result = f"rows {df.count()}"
         except Exception as e:  # noqa: BLE001
