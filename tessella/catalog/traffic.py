@@ -197,7 +197,7 @@ def tumble_3h(t: Tables) -> DataFrame:
 
 
 GRID = """
-    WITH m AS (SELECT user_id, time_bucket(INTERVAL '3 hours', ts) AS ts, sum(value) AS value, avg(value) AS mean, max(event_type) AS kind FROM events GROUP BY 1, 2),
+    WITH m AS (SELECT user_id, time_bucket(INTERVAL '3 hours', ts) AS ts, round(sum(value), 4) AS value, avg(value) AS mean, max(event_type) AS kind FROM events GROUP BY 1, 2),
     g AS (SELECT user_id, unnest(generate_series(min(ts), max(ts), INTERVAL '3 hours')) AS ts FROM m GROUP BY 1)"""
 
 
@@ -218,7 +218,7 @@ def regular_grid(t: Tables) -> DataFrame:
 
 
 def user_series(t: Tables) -> DataFrame:
-    merged = t.events.groupBy("user_id", C.bucket_start("ts").alias("ts")).agg(F.sum("value").alias("value"), F.max("event_type").alias("kind"))
+    merged = t.events.groupBy("user_id", C.bucket_start("ts").alias("ts")).agg(F.round(F.sum("value"), 4).alias("value"), F.max("event_type").alias("kind"))
     return series.on_grid(merged, "ts", ["user_id"])
 
 

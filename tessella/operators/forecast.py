@@ -65,6 +65,7 @@ def two_target_model(
 
     Features are scaled by the statistics of the training rows.
     """
+    df = cut(df)  # statistics, two fits and the prediction read it
     scaled = standardize(df, features, ddof=1, train=df.where(F.col(split) == "train"))
     x = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="skip").transform(scaled)
     train, rest = x.where(F.col(split) == "train"), x.where(F.col(split) != "train")

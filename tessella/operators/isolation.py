@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from tessella.functions.columns import drop_missing
 from tessella.functions.quantiles import exact_quantiles
+from tessella.functions.sizing import spread_out
 from tessella.session import cut
 
 NODE = "tree int, node int, feature int, cut double, left int, right int, depth double"
@@ -58,7 +59,7 @@ def _grow(points: np.ndarray, rng: np.random.Generator, limit: int) -> list[tupl
 def fit_forest(df: DataFrame, features: Sequence[str], id_columns: Sequence[str], trees: int = 100, sample: int = 256, seed: int = 42) -> pd.DataFrame:
     """Grow the trees; returns the nodes (at most ``trees * (2 * sample - 1)`` rows).
 
-    The pool holds ``trees * sample`` rows chosen by hash; every tree draws its own ``sample`` of them.
+    The pool holds ``trees * sample`` rows chosen by hash, a block of ``sample`` rows for each tree.
     """
     features = list(features)
     spot = F.xxhash64(F.lit(seed), *[F.col(c) for c in id_columns])
@@ -66,11 +67,11 @@ def fit_forest(df: DataFrame, features: Sequence[str], id_columns: Sequence[str]
     pool = (
         drop_missing(points).orderBy("_spot", *[f"f{i}" for i in range(len(features))]).limit(trees * sample)
     )
-    drawn = Window.partitionBy("tree").orderBy(F.xxhash64("_spot", "tree"), "_spot")
-    chosen = (
-        pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        .withColumn("_n", F.row_number().over(drawn)).where(F.col("_n") <= sample)
-    )
+    # bounded rows in random order; tree i takes the i-th block of them, from the front again at the end
+    shuffled = Window.orderBy("_spot", *[f"f{i}" for i in range(len(features))])
+    placed = pool.withColumns({"_n": F.row_number().over(shuffled) - 1, "_size": F.count("*").over(Window.partitionBy())})
+    in_block = lambda i: F.pmod(F.col("_n") - i * sample, F.col("_size")) < sample
+    chosen = placed.withColumn("tree", F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), in_block)))
 
     def grow(key, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("_n")
@@ -115,7 +116,7 @@ def score_forest(df: DataFrame, features: Sequence[str], nodes: pd.DataFrame, sa
             yield pd.Series(_score(np.asarray(x, dtype=float), shipped.value, norm))
 
     point = F.array(*[F.col(f"`{c}`").cast("double") for c in features])
-    return df.withColumn(name, score(point))
+    return spread_out(df).withColumn(name, score(point))
 
 
 def isolation_forest(

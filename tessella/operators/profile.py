@@ -16,7 +16,7 @@ from tessella.functions.quantiles import exact_quantiles
 from tessella.functions.sizing import attach, small_table
 from tessella.operators.clean import numeric_columns, text_columns
 
-PAIRWISE_COLUMNS = 40
+PAIRWISE_COLUMNS = 6
 
 
 def _cells(df: DataFrame, columns: Sequence[str], as_type: str) -> DataFrame:
@@ -170,8 +170,8 @@ def class_distribution(df: DataFrame, value: str, label: str, bins: int = 10) ->
 def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson r of each pair ``left`` before ``right``, over the rows where both are present.
 
-    Up to ``PAIRWISE_COLUMNS`` columns it is one built-in aggregation. Wider frames add up centred
-    cross products task by task, so the plan stays small.
+    Up to ``PAIRWISE_COLUMNS`` columns it is one built-in aggregation. Beyond that the aggregation would outgrow generated code, and
+    centred cross products are added up task by task instead.
     """
     columns = list(columns) if columns is not None else numeric_columns(df)
     if len(columns) > PAIRWISE_COLUMNS:

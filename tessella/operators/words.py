@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tessella.functions.sizing import attach, small_table
+from tessella.functions.sizing import attach, small_table, spread_out
 
 # Fixed value: what the normaliser removes from a token.
 CLEANUP_PATTERN = r"[^\w\s]|http\S+|\d+|[A-Z][a-z]+"
@@ -36,12 +36,12 @@ def clean_tokens(text: str | Column, stop_words: Sequence[str] | None = None, pa
 
 def clean_text(df: DataFrame, text: str, name: str = "clean", **options) -> DataFrame:
     """The cleaned words put together again with blanks."""
-    return df.withColumn(name, F.array_join(clean_tokens(text, **options), " "))
+    return spread_out(df).withColumn(name, F.array_join(clean_tokens(text, **options), " "))
 
 
 def clean_sentences(df: DataFrame, text: str, keep: Sequence[str], name: str = "sentence", **options) -> DataFrame:
     """One row per sentence, cleaned, with its number in the text."""
-    split = df.select(*keep, F.posexplode(sentences(text)).alias("sentence_no", "_s"))
+    split = spread_out(df.select(*keep, text)).select(*keep, F.posexplode(sentences(text)).alias("sentence_no", "_s"))
     return split.select(*keep, "sentence_no", F.array_join(clean_tokens("_s", **options), " ").alias(name))
 
 
@@ -90,7 +90,8 @@ def group_ngrams(df: DataFrame, group: str, order: Sequence[str], text: str, n:
     n-grams inside a text are counted where the text lies; for those that cross texts only the
     first and last ``n - 1`` words of each text move, in blocks of consecutive positions.
     """
-    rows = df.where(F.col(text).isNotNull() & F.col(group).isNotNull()).select(group, *order, words_of(text).alias("_w"))
+    rows = spread_out(df.select(group, *order, text).where(F.col(text).isNotNull() & F.col(group).isNotNull()))
+    rows = rows.select(group, *order, words_of(text).alias("_w"))
     inside = rows.select(group, F.explode(ngrams_of(F.col("_w"), n)).alias("ngram"))
     if n > 1:
         edge = n - 1
@@ -116,7 +117,8 @@ def group_ngrams(df: DataFrame, group: str, order: Sequence[str], text: str, n:
         crossing = runs.where((F.col("home") == F.col("block")) & (F.col("_end") == F.col("at") + edge) & (F.col("_last") > F.col("of")))
         crossing = crossing.where(F.size("_run") == n).select(group, F.array_join("_run", " ").alias("ngram"))
         inside = inside.unionByName(crossing)
-    return inside.groupBy(group, "ngram").agg(F.count("*").alias("tf"))
+    # the null test is what the joins on the n-gram add; stated here, all uses share one shuffle
+    return inside.where(F.col("ngram").isNotNull()).groupBy(group, "ngram").agg(F.count("*").alias("tf"))
 
 
 def tfidf(counts: DataFrame, group: str, n_groups: int, vocabulary: int | None = 10_000, min_df: int = 2, max_df: float = 0.9) -> DataFrame:

@@ -79,7 +79,7 @@ def claim_outliers(
     kept = [c for c in numbers if c not in dropped]
     lean = features.drop(*dropped)
     fitted = fit_components(lean, kept, min(k, len(kept)))
-    points = fitted.transform_columns(lean)
+    points = cut(fitted.transform_columns(lean))
     names = [c for c in points.columns if c.startswith("PC") and c[2:].isdigit()]
     marked = isolation_forest(points, names, list(keys), contamination, trees, seed=seed).select(*keys, "score", "anomaly")
     return ClaimOutliers(lean.join(marked, list(keys)), fitted, dropped)
