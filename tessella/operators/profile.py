@@ -170,7 +170,7 @@ def class_distribution(df: DataFrame, value: str, label: str, bins: int = 10) ->
 def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson r of each pair ``left`` before ``right``, over the rows where both are present.
 
-    Up to ``PAIRWISE_COLUMNS`` columns it is one built-in aggregation. Beyond that the aggregation would outgrow generated code, and
+    Up to ``PAIRWISE_COLUMNS`` columns it is one aggregation. Beyond that the aggregation would outgrow generated code, and
     centred cross products are added up task by task instead.
     """
     columns = list(columns) if columns is not None else numeric_columns(df)
@@ -178,13 +178,19 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> Da
         return _wide_correlation(df, columns)
     pairs = list(combinations(range(len(columns)), 2))
     numbers = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
-    wide = numbers.agg(*[F.nanvl(F.corr(f"c{i}", f"c{j}"), F.lit(None)).alias(f"r{i}_{j}") for i, j in pairs])
+    wide = numbers.agg(*[_pearson(F.col(f"c{i}"), F.col(f"c{j}")).alias(f"r{i}_{j}") for i, j in pairs])
     return _stack(wide, [
         {"left": F.lit(columns[i]), "right": F.lit(columns[j]), "i": F.lit(i), "j": F.lit(j), "r": F.col(f"r{i}_{j}")}
         for i, j in pairs
     ])
 
 
+def _pearson(x: Column, y: Column) -> Column:
+    """r over the rows with both values; null where one of them does not vary (``corr`` fails there)."""
+    spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
+    return F.try_divide(F.covar_pop(x, y), spread)
+
+
 def _wide_correlation(df: DataFrame, columns: list[str]) -> DataFrame:
     numbers = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
     row = numbers.agg(*[F.avg(c).alias(c) for c in numbers.columns]).first()
