@@ -32,12 +32,13 @@ SELECTED = f"""
 
 
 def claims(t: Tables) -> DataFrame:
+    """The joins that filters on region and part can thin out come before the large one with the orders."""
+    places = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    dealers = t.supplier.join(places, F.col("s_nationkey") == F.col("n_nationkey"))
     return (
-        t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        t.lineitem.join(dealers, F.col("l_suppkey") == F.col("s_suppkey"))
         .join(t.part, F.col("l_partkey") == F.col("p_partkey"))
-        .join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"))
-        .join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+        .join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .select(
             F.col("l_orderkey").alias("id_claim"), F.col("l_suppkey").alias("cd_dealer"),
             F.col("l_shipdate").cast("date").alias("failure_date"), F.col("o_custkey").alias("vin"),

@@ -235,12 +235,12 @@ def lead_target(t: Tables) -> DataFrame:
     return rounded(series.lead_target(rows, "value", ["user_id"], "ts", "pred"), ["value", "pred"])
 
 
-@query(f"""{GRID} SELECT user_id, ts, round(CASE WHEN hi > lo THEN (v - lo) / (hi - lo) ELSE 0 END, 6) AS value FROM (
+@query(f"""{GRID} SELECT user_id, ts, round(CASE WHEN hi > lo THEN (v - lo) / (hi - lo) ELSE 0 END, 9) AS value FROM (
            SELECT user_id, ts, coalesce(value, 0) AS v, min(coalesce(value, 0)) OVER (PARTITION BY user_id) AS lo,
                   max(coalesce(value, 0)) OVER (PARTITION BY user_id) AS hi FROM g LEFT JOIN m USING (user_id, ts))""")
 def min_max_scale(t: Tables) -> DataFrame:
     rows = user_series(t).select("user_id", "ts", F.coalesce("value", F.lit(0.0)).alias("value"))
-    return rounded(series.min_max_scale(rows, ["value"], ["user_id"]), ["value"], 6)
+    return rounded(series.min_max_scale(rows, ["value"], ["user_id"]), ["value"], 9)
 
 
 MEASURES = ("MAX_DS", "SOPRA_SOGLIA_GIALLA", "SOPRA_SOGLIA_ROSSA", "SOPRA_CAPACITA", "N_APPARATI")

@@ -57,9 +57,6 @@ def exact_quantiles(
     base = df.select(*by, v.alias("_v")).where(v.isNotNull() & ~F.isnan(v))
     if by:
         base = drop_missing(base, by)
-    if not by and base.limit(1).count() == 0:
-        return df.sparkSession.range(1).select(F.array(*[F.lit(None).cast("double") for _ in probs]).alias("quantiles"))
-
     margin = 2.0 / accuracy
     marks = sorted({min(1.0, max(0.0, p + s)) for p in probs for s in (-margin, margin)})
     keys, level, found = by, 0, []
@@ -72,6 +69,8 @@ def exact_quantiles(
         if hits is None:
             sketch = sketch.select(*keys, "_edges", "_n", _ranks(probs, F.col("_n")).alias("_ranks"))
         edges, edges_fit = small_table(sketch)
+        if not keys and edges.first()["_n"] == 0:
+            return edges.select(F.array(*[F.lit(None).cast("double") for _ in probs]).alias("quantiles"))
         tagged = attach(base, edges.select(*keys, "_edges"), keys, edges_fit)
         tagged = tagged.withColumn("_seg", _segment(F.col("_v"), F.col("_edges"), len(marks)))
         segments = tagged.groupBy(*keys, "_seg").agg(

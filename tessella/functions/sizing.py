@@ -18,8 +18,8 @@ def small_table(df: DataFrame, max_rows: int = SMALL_ROWS) -> tuple[DataFrame, b
     Small results become a literal table, larger ones a checkpoint. Only ``max_rows + 1`` rows
     ever reach the driver.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) <= max_rows:
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows <= max_rows:
         return df.sparkSession.createDataFrame(rows, df.schema), True
     return cut(df), False
 

@@ -150,12 +150,8 @@ def filter_funnel(df: DataFrame, steps: Mapping[str, Column], id_column: str) ->
     for condition in steps.values():
         held = held & F.coalesce(condition, F.lit(False))
         flags.append(held)
-    # the number of filters passed says everything; ids are merged before they are counted
-    passed = sum((f.cast("int") for f in flags), F.lit(0))
-    per_id = df.select(F.col(id_column), passed.alias("_p")).groupBy(id_column, "_p").agg(F.count("*").alias("_r"))
-    best = per_id.groupBy(id_column).agg(
-        *[F.sum(F.when(F.col("_p") >= i, F.col("_r")).otherwise(0)).alias(f"r{i}") for i in range(len(flags) + 1)]
-    )
+    # rows are merged to one per id before the ids are counted
+    best = df.groupBy(id_column).agg(F.count("*").alias("r0"), *[F.count_if(f).alias(f"r{i + 1}") for i, f in enumerate(flags)])
     names = ["all", *steps]
     wide = best.agg(
         *[F.coalesce(F.sum(f"r{i}"), F.lit(0)).alias(f"rows{i}") for i in range(len(names))],

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tessella.functions.sizing import attach, small_table, spread_out
+from tessella.session import cut
 
 # Fixed value: what the normaliser removes from a token.
 CLEANUP_PATTERN = r"[^\w\s]|http\S+|\d+|[A-Z][a-z]+"
@@ -34,6 +35,13 @@ def clean_tokens(text: str | Column, stop_words: Sequence[str] | None = None, pa
     return stem(kept) if stem else kept
 
 
+def suffix_stem(suffixes: Sequence[str], least: int = 3) -> Callable[[Column], Column]:
+    """A simple ``stem`` for ``clean_tokens``: cut the longest listed ending that leaves ``least`` letters."""
+    endings = "|".join(sorted(suffixes, key=len, reverse=True))
+    pattern = rf"^(.{{{least},}}?)(?:{endings})$"
+    return lambda tokens: F.transform(tokens, lambda t: F.regexp_replace(t, pattern, "$1"))
+
+
 def clean_text(df: DataFrame, text: str, name: str = "clean", **options) -> DataFrame:
     """The cleaned words put together again with blanks."""
     return spread_out(df).withColumn(name, F.array_join(clean_tokens(text, **options), " "))
@@ -100,7 +108,7 @@ def group_ngrams(df: DataFrame, group: str, order: Sequence[str], text: str, n:
             F.slice("_w", 1, edge).alias("_head"),
             F.slice("_w", F.greatest(F.size("_w") - edge + 1, F.lit(1)), edge).alias("_tail"),
         )
-        placed = _word_offsets(lean, group, order, buckets)
+        placed = _word_offsets(cut(lean), group, order, buckets)  # a few words per text, read three times
         head = F.transform("_head", lambda w, i: F.struct((F.col("_at") + i).alias("at"), w.alias("w"), F.col("_at").alias("of")))
         tail_at = F.col("_at") + F.greatest(F.col("_size") - edge, F.lit(0))
         tail = F.transform("_tail", lambda w, i: F.struct((tail_at + i).alias("at"), w.alias("w"), F.col("_at").alias("of")))

@@ -176,6 +176,8 @@ def test_text_clean(spark):
     assert [r["sentence"] for r in parts] == ["il cane corre", "vedi httpxy 42 volte"]
     kept = df.select(words.clean_tokens("t", stem=lambda a: F.transform(a, lambda w: F.substring(w, 1, 3))).alias("w")).first()["w"]
     assert kept == ["can", "cor", "vol"]
+    stemmed = df.select(words.clean_tokens("t", stem=words.suffix_stem(["e", "re", "orre"])).alias("w")).first()["w"]
+    assert stemmed == ["can", "cor", "volt"]
 
 
 def brute_dbscan(x, eps, least):
