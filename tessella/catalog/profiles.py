@@ -22,7 +22,7 @@ def count_by_sorted(t: Tables) -> DataFrame:
 @query("""
     WITH cells AS (SELECT unnest(['p_name', 'p_brand', 'p_type']) AS "column", unnest([p_name, p_brand, p_type]) AS value FROM part),
          counts AS (SELECT "column", value, count(*) AS count FROM cells WHERE value IS NOT NULL GROUP BY ALL)
-    SELECT "column", value, count, rank, distinct_values FROM (
+    SELECT "column", value, count, CAST(rank AS INTEGER) AS rank, distinct_values FROM (
         SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY count DESC, value) AS rank,
                count(*) OVER (PARTITION BY "column") AS distinct_values FROM counts)
     WHERE (distinct_values <= 10 AND rank <= 10) OR rank <= 5""")

@@ -11,6 +11,12 @@ import duckdb
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+TYPES = {
+    "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
+    "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN",
+}
+
+
 def connect(folder: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for name in TABLES:
@@ -45,11 +51,13 @@ def compare(spark_df, con, sql: str, verbose: bool = False) -> str | None:
         print(f"    spark {between - started:.1f}s sql {time.time() - between:.1f}s", flush=True)
     if sorted(names) != sorted(spark_df.columns):
         return f"columns {sorted(spark_df.columns)} vs {sorted(names)}"
-    floats = {"double", "float"}
+    wrong_types = []
     for f in spark_df.schema.fields:
         mine, theirs = f.dataType.simpleString(), kinds[f.name].upper()
-        if (mine in floats) != (theirs in {"DOUBLE", "FLOAT"} or theirs.startswith("DECIMAL")):
-            return f"type of {f.name}: {mine} vs {theirs}"
+        if TYPES.get(mine) != theirs:
+            wrong_types.append(f"{f.name}: {mine} vs {theirs}")
+    if wrong_types:
+        return "types " + ", ".join(wrong_types)
     if len(got) != len(expected):
         return f"rows {len(got)} vs {len(expected)}"
     pick = lambda cols, rows: sorted((tuple(_plain(r[cols.index(c)]) for c in sorted(cols)) for r in rows), key=_key)
