@@ -162,11 +162,3 @@ def filter_funnel(df: DataFrame, steps: Mapping[str, Column], id_column: str) ->
         for i, n in enumerate(names)
     ])
     return wide.select(F.explode(rows).alias("_s")).select("_s.*")
-
-
-def observed(df: DataFrame, name: str, **metrics: Column):
-    """The frame with row metrics gathered by whatever action runs it next; no extra scan."""
-    from pyspark.sql import Observation
-
-    seen = Observation(name)
-    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *[m.alias(k) for k, m in metrics.items()]), seen

@@ -280,9 +280,3 @@ def test_forecast_and_two_targets(spark):
     predicted = wine.wine_predictions(spark.createDataFrame(raw), ["id"], iterations=10)
     for r in forecast.two_target_metrics(predicted, "type", "quality").collect():
         assert r["accuracy"] > 0.9 and r["rmse"] < 1.0
-
-
-def test_observed_rows(spark):
-    df, seen = rollup.observed(spark.range(7), "first")
-    df.where("id > 2").count()
-    assert seen.get["rows"] == 7
