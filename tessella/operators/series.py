@@ -44,13 +44,22 @@ def resample(df: DataFrame, ts: str, keys: Sequence[str], value: str, how: str =
     """One value per bucket of the grid; empty buckets are 0 for ``sum`` and null for ``mean``."""
     agg = {"sum": F.sum, "mean": F.avg}[how](value).alias(value)
     merged = drop_missing(df, [ts, *keys]).groupBy(*keys, bucket_start(ts, width).alias(ts)).agg(agg)
-    filled = regular_grid(merged, ts, keys, width).join(merged, [*keys, ts], "left")
+    filled = on_grid(merged, ts, keys, width)
     return filled.withColumn(value, F.coalesce(value, F.lit(0.0))) if how == "sum" else filled
 
 
 def on_grid(df: DataFrame, ts: str, keys: Sequence[str], width: str = WIDTH) -> DataFrame:
-    """The series with a row for every bucket; missing ones have nulls."""
-    return regular_grid(df, ts, keys, width).join(df, [*keys, ts], "left")
+    """The series with a row for every bucket; missing ones have nulls.
+
+    Each row is followed by the empty buckets up to the next one, so the series is read once and no
+    join is needed. Expects one row per series and bucket.
+    """
+    step = F.expr(f"interval {width}")
+    following = F.lead(ts).over(Window.partitionBy(*keys).orderBy(ts))
+    last = F.coalesce(F.greatest(F.col("_next") - step, F.col(ts)), F.col(ts))
+    slots = df.withColumn("_next", following).select("*", F.posexplode(F.sequence(F.col(ts), last, step)).alias("_gap", "_slot"))
+    values = [c for c in df.columns if c not in (*keys, ts)]
+    return slots.select(*keys, F.col("_slot").alias(ts), *[F.when(F.col("_gap") == 0, F.col(c)).alias(c) for c in values])
 
 
 def forward_fill(df: DataFrame, columns: Sequence[str], keys: Sequence[str], order: str) -> DataFrame:
