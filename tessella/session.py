@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,9 +36,12 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    named = tempfile.mkdtemp(prefix="tessella-")
-    spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    return _local_dir()
+
+
+@lru_cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="tessella-")
 
 
 def cut(df: DataFrame) -> DataFrame:
