@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.catalog.base import Tables
-from tessella.llm import packing, sentencepiece_codec, token_files, tokens
+from tessella.llm import packing, quality_rules, sentencepiece_codec, token_files, tokens
 from tessella.llm.common import new_folder, written
 
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
@@ -58,3 +58,14 @@ def packed(docs: DataFrame, size: int = 2048) -> DataFrame:
     return packing.assign(written(cut, "pieces"), size).select(
         "doc_id", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "doc_tokens", "sequence_id", "offset"
     )
+
+
+@query
+def op4_quality_rules(t: Tables) -> DataFrame:
+    """Measures and verdict of every document."""
+    columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    judged = quality_rules.judge(t.documents.select("doc_id", "text"))
+    return judged.select("doc_id", *columns, *[c for c in quality_rules.MEASURES if c not in columns])
+
+
+ORACLES["op4_quality_rules"] = quality_rules.oracle_sql()
