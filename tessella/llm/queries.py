@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.catalog.base import Tables
-from tessella.llm import packing, quality_rules, sentencepiece_codec, token_files, tokens
+from tessella.llm import packing, quality_rules, sentencepiece_codec, simhash, token_files, tokens
 from tessella.llm.common import new_folder, written
 
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
@@ -69,3 +69,10 @@ def op4_quality_rules(t: Tables) -> DataFrame:
 
 
 ORACLES["op4_quality_rules"] = quality_rules.oracle_sql()
+
+
+@query
+def op2_simhash(t: Tables) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    found = simhash.near_duplicates(t.documents)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
