@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.catalog.base import Tables
-from tessella.llm import packing, quality_rules, sentencepiece_codec, simhash, token_files, tokens
+from tessella.llm import packing, quality_classifier, quality_rules, sentencepiece_codec, simhash, token_files, tokens
 from tessella.llm.common import new_folder, written
 
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
@@ -76,3 +76,19 @@ def op2_simhash(t: Tables) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     found = simhash.near_duplicates(t.documents)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+HELD_OUT = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+
+
+def quality_model(docs: DataFrame, labels: DataFrame) -> quality_classifier.Model:
+    """Learnt from the labels of all rows but the held-out ones."""
+    return quality_classifier.fit(docs, labels.where(~HELD_OUT), "quality")
+
+
+@query
+def op8_quality_classifier(t: Tables) -> DataFrame:
+    """Quality score of every document."""
+    docs = t.documents.select("doc_id", "text")
+    scored = quality_classifier.score(docs, quality_model(docs, t.labels))
+    return scored.select("doc_id", HELD_OUT.alias("held_out"), "score", "predicted")
