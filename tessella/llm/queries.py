@@ -6,11 +6,11 @@ import zlib
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.catalog.base import Tables
-from tessella.llm import packing, quality_classifier, quality_rules, sentencepiece_codec, simhash, token_files, tokens
+from tessella.llm import line_dedup, packing, quality_classifier, quality_rules, sentencepiece_codec, simhash, token_files, tokens
 from tessella.llm.common import new_folder, written
 
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
@@ -78,12 +78,13 @@ def op2_simhash(t: Tables) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-HELD_OUT = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+def held_out() -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
 
 
 def quality_model(docs: DataFrame, labels: DataFrame) -> quality_classifier.Model:
     """Learnt from the labels of all rows but the held-out ones."""
-    return quality_classifier.fit(docs, labels.where(~HELD_OUT), "quality")
+    return quality_classifier.fit(docs, labels.where(~held_out()), "quality")
 
 
 @query
@@ -91,4 +92,10 @@ def op8_quality_classifier(t: Tables) -> DataFrame:
     """Quality score of every document."""
     docs = t.documents.select("doc_id", "text")
     scored = quality_classifier.score(docs, quality_model(docs, t.labels))
-    return scored.select("doc_id", HELD_OUT.alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+@query
+def op5_line_dedup(t: Tables) -> DataFrame:
+    """Every document without the lines that are there already, and where those lines stay."""
+    return line_dedup.dedup(t.documents.select("doc_id", "text")).select("doc_id", "n_lines", "n_exact", "n_near", "first_docs", "text")

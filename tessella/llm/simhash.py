@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.llm.common import strings, written
 from tessella.llm.components import components
@@ -56,7 +57,7 @@ def fingerprint_of(text: str, width: int = 3) -> int:
     return int(bits.view("<i8")[0])
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(T.LongType())
 def _fingerprints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in batches:
         yield pa.array([fingerprint_of(t) for t in strings(batch)], pa.int64())
