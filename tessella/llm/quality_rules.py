@@ -83,9 +83,12 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
     out = out.withColumn(order, F.expr(f"""CASE WHEN size(array_distinct(`{grams}`)) = size(`{grams}`) THEN CAST(array() AS array<int>)
         ELSE transform(array_sort(transform(`{grams}`, (g, i) -> concat(g, ' ', lpad(CAST(i AS string), 10, '0')))),
             s -> CAST(substring(s, -10) AS int)) END"""))
-    out = out.withColumn(twice, F.expr(f"""array_sort(filter(`{order}`, (p, k) ->
+    # always true, but not for the optimizer: it would else paste these steps into each other below a
+    # filter on the verdict and evaluate them again for every element
+    once = F.monotonically_increasing_id() >= 0
+    out = out.withColumn(twice, F.when(once, F.expr(f"""array_sort(filter(`{order}`, (p, k) ->
         (k > 0 AND `{grams}`[p] = `{grams}`[`{order}`[greatest(k - 1, 0)]])
-        OR (k + 1 < size(`{order}`) AND `{grams}`[p] = `{grams}`[`{order}`[least(k + 1, size(`{order}`) - 1)]])))"""))
+        OR (k + 1 < size(`{order}`) AND `{grams}`[p] = `{grams}`[`{order}`[least(k + 1, size(`{order}`) - 1)]])))""")))
     return out.withColumns({
         "n_words": F.size(w).cast("long"),
         "word_chars": F.length(F.translate(t, " \t\n\x0b\x0c\r", "")).cast("long"),

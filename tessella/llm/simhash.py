@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import strings, written
+from tessella.llm.common import plain_name, strings, written
 from tessella.llm.components import components
 
 BITS = 64
@@ -223,3 +223,21 @@ def near_duplicates(docs: DataFrame, budget: int = 3, doc_id: str = "doc_id", te
     names = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = written(named.join(names, "root").select("fingerprint", "component_id"), "classes")
     return marked.join(classes, "fingerprint").select("doc_id", "fingerprint", "component_id")
+
+
+def first_of_each(docs: DataFrame, budget: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each component, with the columns of ``docs``: the row with the smallest id, and the
+    smallest hash of all columns if several have it; where no row has an id, a null id counts as one.
+    Rows equal in every column are one row."""
+    keys = [F.col(f"`{doc_id}`").cast("long").alias("_id"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")]
+    marked = docs.select(*[c.alias(n) for c, n in zip(keys, ("_id", "_row"))], _fingerprints(F.col(f"`{text}`").cast("string")).alias("fingerprint"))
+    marked = written(marked, "fingerprints")
+    distinct = written(marked.groupBy("fingerprint").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("first")), "distinct")
+    found = written(links(distinct.select("fingerprint"), distinct.count(), budget), "links")
+    labels = components(found)
+    named = distinct.join(labels.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("label", "fingerprint"))
+    stay = written(named.groupBy("root").agg(F.min("first").alias("first")).select("first._id", "first._row"), "staying")
+    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *[c.alias(plain_name(docs, n)) for c, n in zip(keys, ("_id", "_row"))])
+    a, b = plain_name(docs, "_id"), plain_name(docs, "_row")
+    kept = rows.join(stay, rows[a].eqNullSafe(stay["_id"]) & (rows[b] == stay["_row"]), "left_semi")
+    return kept.dropDuplicates([a, b]).drop(a, b)
