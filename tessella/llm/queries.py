@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.catalog.base import Tables
-from tessella.llm import line_dedup, packing, quality_classifier, quality_rules, sentencepiece_codec, simhash, token_files, tokens
+from tessella.llm import line_dedup, packing, quality_classifier, quality_rules, sentencepiece_codec, simhash, token_files, tokens, topk_search
 from tessella.llm.common import new_folder, written
 
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
@@ -99,3 +99,23 @@ def op8_quality_classifier(t: Tables) -> DataFrame:
 def op5_line_dedup(t: Tables) -> DataFrame:
     """Every document without the lines that are there already, and where those lines stay."""
     return line_dedup.dedup(t.documents.select("doc_id", "text")).select("doc_id", "n_lines", "n_exact", "n_near", "first_docs", "text")
+
+
+@query
+def op10_topk_search(t: Tables) -> DataFrame:
+    """The 20 highest inner products for every twentieth vector."""
+    return topk_search.top_k(t.embeddings, F.col("vec_id") % 20 == 0).select("query_id", "rank", "vec_id", "score")
+
+
+ORACLES["op10_topk_search"] = """
+    WITH v AS (
+        SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) AS e FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ),
+    s AS (
+        SELECT q.vec_id AS query_id, x.vec_id, list_inner_product(q.e, x.e)::bigint AS score
+        FROM v q JOIN v x ON q.vec_id <> x.vec_id WHERE q.vec_id % 20 = 0
+    )
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::int AS rank, vec_id, score
+    FROM s QUALIFY rank <= 20
+"""
