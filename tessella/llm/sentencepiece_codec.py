@@ -24,11 +24,12 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessella.llm.common import process_cache, strings
+from tessella.llm.common import process_cache
 
 SPACE = "▁"
-MEMORY_BYTES, PAIR_LIMIT, ENTRY_BYTES = 90_000_000, 400_000, 200
+MEMORY_BYTES, PAIR_LIMIT, ENTRY_BYTES, ROWS = 90_000_000, 300_000, 260, 256
 SPACES_TOGETHER = re.compile(f"{SPACE}{SPACE}|{SPACE}\\Z")
 
 
@@ -48,23 +49,21 @@ class Memory(dict):
         return value
 
 
-class PieceModel:
-    """A model file's pieces with the tables that encoding and decoding need."""
+class PieceTable:
+    """A model file's pieces, as far as decoding needs them."""
 
     def __init__(self, model: bytes):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.normalize = sp.normalize
         size = sp.get_piece_size()
         odd = [i for i in range(size) if sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)]
         self.byte_ids = {int(sp.id_to_piece(i)[3:5], 16): i for i in odd if sp.is_byte(i)}
         if len(self.byte_ids) != 256 or any(sp.is_unused(i) for i in range(size)):
             raise ValueError("a merge-type model with byte pieces and without unused pieces is needed")
         hidden = set(odd)
+        self.library = sp
         self.ids = {sp.id_to_piece(i): i for i in range(size) if i not in hidden}
-        self.scores = {p: sp.get_score(i) for p, i in self.ids.items()}
-        self.begin, self.end = sp.bos_id(), sp.eos_id()
         self.raw = [b""] * size
         for piece, i in self.ids.items():
             self.raw[i] = piece.replace(SPACE, " ").encode()
@@ -75,6 +74,47 @@ class PieceModel:
         unknown = sp.unk_id()
         self.raw[unknown] = sp.decode([unknown]).encode()
 
+    def decode(self, ids: bytes) -> str:
+        """The text of ids: pieces joined, byte pieces read as UTF-8, the space put before a text
+        taken off again. A byte that is not UTF-8 becomes U+FFFD, ids without a text nothing."""
+        numbers = array("I", ids)
+        raw = self.raw
+        joined = b"".join(map(raw.__getitem__, numbers))
+        first = next((i for i in numbers if raw[i]), None)
+        lead = first in self.leading
+        try:
+            text = joined.decode()
+        except UnicodeDecodeError:
+            text = self._decode_runs(numbers)
+        return text[1:] if lead else text
+
+    def _decode_runs(self, numbers: array) -> str:
+        out, run = [], b""
+        for i in [*numbers, None]:
+            if i in self.byte_set:
+                run += self.raw[i]
+                continue
+            while run:
+                try:
+                    out.append(run.decode())
+                    run = b""
+                except UnicodeDecodeError as e:
+                    out.append(run[:e.start].decode() + "�")
+                    run = run[e.start + 1:]
+            if i is not None:
+                out.append(self.raw[i].decode())
+        return "".join(out)
+
+
+class PieceModel(PieceTable):
+    """The tables that encoding needs besides."""
+
+    def __init__(self, model: bytes):
+        super().__init__(model)
+        sp = self.library
+        self.normalize = sp.normalize
+        self.scores = {p: sp.get_score(i) for p, i in self.ids.items()}
+        self.begin, self.end = sp.bos_id(), sp.eos_id()
         self.pairs: dict[tuple[str, str], bool] = {}
         self.choices: dict[str, dict[str | None, str]] = {}
         self.choice_count = 0
@@ -215,47 +255,32 @@ class PieceModel:
         first, *words = text.split(SPACE)
         return self._parts(first) + b"".join(map(self.words.__getitem__, words))
 
-    def decode(self, ids: bytes) -> str:
-        """The text of ids: pieces joined, byte pieces read as UTF-8, the space put before a text
-        taken off again. A byte that is not UTF-8 becomes U+FFFD, ids without a text nothing."""
-        numbers = array("I", ids)
-        raw = self.raw
-        joined = b"".join(map(raw.__getitem__, numbers))
-        first = next((i for i in numbers if raw[i]), None)
-        lead = first in self.leading
-        try:
-            text = joined.decode()
-        except UnicodeDecodeError:
-            text = self._decode_runs(numbers)
-        return text[1:] if lead else text
 
-    def _decode_runs(self, numbers: array) -> str:
-        out, run = [], b""
-        for i in [*numbers, None]:
-            if i in self.byte_set:
-                run += self.raw[i]
-                continue
-            while run:
-                try:
-                    out.append(run.decode())
-                    run = b""
-                except UnicodeDecodeError as e:
-                    out.append(run[:e.start].decode() + "�")
-                    run = run[e.start + 1:]
-            if i is not None:
-                out.append(self.raw[i].decode())
-        return "".join(out)
-
-
-def load(model: bytes) -> PieceModel:
-    kept = process_cache("sentencepiece")
+def load(model: bytes, kind: type[PieceTable]) -> PieceTable:
+    kept = process_cache(kind.__name__)
     key = hash(model)
     if key not in kept:
         kept.clear()
-        kept[key] = PieceModel(model)
+        kept[key] = kind(model)
     return kept[key]
 
 
+def _with_column(df: DataFrame, source: str, to: str, field: pa.DataType, kind: T.DataType, make: Callable[[], Callable[[list], list]]) -> DataFrame:
+    """``df`` with column ``to`` made from ``source``, few rows at a time: ids take more room than texts."""
+    keep = [c for c in df.columns if c.lower() != to.lower()]
+    rows = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{source}`").alias("_source"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        convert = make()
+        for batch in batches:
+            for i in range(0, batch.num_rows, ROWS):
+                few = batch.slice(i, ROWS)
+                made = pa.array(convert(few.column(len(keep)).to_pylist()), field)
+                yield pa.record_batch([*few.columns[:-1], made], [*few.schema.names[:-1], to])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField(to, kind)]))
+
+
 def _shared(df: DataFrame, path: str):
     """The model file's content, sent once to each executor."""
     with open(path, "rb") as f:
@@ -269,24 +294,20 @@ def encode(df: DataFrame, path: str, text: str = "text", to: str = "ids", ends:
     """
     model = _shared(df, path)
 
-    @F.arrow_udf("binary")
-    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        pieces = load(model.value)
+    def make() -> Callable[[list], list]:
+        pieces = load(model.value, PieceModel)
         begin, end = (array("I", [i]).tobytes() if ends else b"" for i in (pieces.begin, pieces.end))
-        for batch in batches:
-            yield pa.array([begin + pieces.encode(t) + end for t in strings(batch)], pa.binary())
+        return lambda texts: [begin + pieces.encode(t or "") + end for t in texts]
 
-    return df.withColumn(to, ids(F.col(f"`{text}`").cast("string")))
+    return _with_column(df, text, to, pa.binary(), T.BinaryType(), make)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
     """Add ``to``: the text of the ids in binary column ``ids`` (null: empty)."""
     model = _shared(df, path)
 
-    @F.arrow_udf("string")
-    def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        pieces = load(model.value)
-        for batch in batches:
-            yield pa.array([pieces.decode(x or b"") for x in batch.to_pylist()], pa.string())
+    def make() -> Callable[[list], list]:
+        pieces = load(model.value, PieceTable)
+        return lambda rows: [pieces.decode(x or b"") for x in rows]
 
-    return df.withColumn(to, texts(F.col(f"`{ids}`")))
+    return _with_column(df, ids, to, pa.string(), T.StringType(), make)
