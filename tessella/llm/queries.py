@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.catalog.base import Tables
-from tessella.llm import line_dedup, packing, quality_classifier, quality_rules, sentencepiece_codec, simhash, token_files, tokens, topk_search
+from tessella.llm import chat, line_dedup, packing, quality_classifier, quality_rules, sentencepiece_codec, simhash, token_files, tokens, topk_search
 from tessella.llm.common import new_folder, written
 
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
@@ -119,3 +119,34 @@ ORACLES["op10_topk_search"] = """
     SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::int AS rank, vec_id, score
     FROM s QUALIFY rank <= 20
 """
+
+
+@query
+def op7_chat_preferences(t: Tables) -> DataFrame:
+    """Prompt and masked completions of every pair of neighbouring conversations."""
+    runs = lambda c: F.array_join(F.transform(c, lambda r: F.concat_ws(":", r["n_chars"], r["train"].cast("int"))), " ").alias(c)
+    pairs = chat.preferences(chat.neighbours(t.conversations))
+    return pairs.select("pair_id", "chosen_id", "rejected_id", "n_prompt_turns", "prompt", "chosen", "rejected", runs("chosen_mask"), runs("rejected_mask"))
+
+
+ORACLES["op7_chat_preferences"] = """
+    WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+    n AS (SELECT *, conv_id >> 1 AS pair_id, conv_id % 2 AS side, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM t),
+    c AS (
+        SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.k, b.k) AS k, a.role IS NOT DISTINCT FROM b.role AND a.text IS NOT DISTINCT FROM b.text AS same
+        FROM (SELECT * FROM n WHERE side = 0) a FULL JOIN (SELECT * FROM n WHERE side <> 0) b ON a.pair_id = b.pair_id AND a.k = b.k
+    ),
+    l AS (SELECT pair_id, coalesce(min(k) FILTER (NOT same) - 1, max(k)) AS lcp FROM c GROUP BY pair_id),
+    r AS (
+        SELECT n.*, lcp, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS shown,
+            (length(role) + 13) || ':0 ' || (length(text) + 11) || ':' || (role = 'assistant')::int AS runs
+        FROM n JOIN l USING (pair_id)
+    )
+    SELECT pair_id, max(conv_id) FILTER (side = 0) AS chosen_id, max(conv_id) FILTER (side <> 0) AS rejected_id, max(lcp)::bigint AS n_prompt_turns,
+        coalesce(string_agg(shown, '' ORDER BY k) FILTER (side = 0 AND k <= lcp), '') AS prompt,
+        coalesce(string_agg(shown, '' ORDER BY k) FILTER (side = 0 AND k > lcp), '') AS chosen,
+        coalesce(string_agg(shown, '' ORDER BY k) FILTER (side <> 0 AND k > lcp), '') AS rejected,
+        coalesce(string_agg(runs, ' ' ORDER BY k) FILTER (side = 0 AND k > lcp), '') AS chosen_mask,
+        coalesce(string_agg(runs, ' ' ORDER BY k) FILTER (side <> 0 AND k > lcp), '') AS rejected_mask
+    FROM r GROUP BY pair_id
+"""
