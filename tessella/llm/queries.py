@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.catalog.base import Tables
-from tessella.llm import chat, line_dedup, packing, quality_classifier, quality_rules, sentencepiece_codec, simhash, token_files, tokens, topk_search
+from tessella.llm import chat, line_dedup, packing, quality_classifier, quality_rules, sentencepiece_codec, simhash, token_files, tokens, topk_search, url_filter
 from tessella.llm.common import new_folder, written
 
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
@@ -150,3 +150,15 @@ ORACLES["op7_chat_preferences"] = """
         coalesce(string_agg(runs, ' ' ORDER BY k) FILTER (side <> 0 AND k > lcp), '') AS rejected_mask
     FROM r GROUP BY pair_id
 """
+
+
+URL_RULES = [url_filter.rule(*r) for r in (
+    ("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"),
+)]
+
+
+@query
+def op3_url_filter(t: Tables) -> DataFrame:
+    """Host, path, rule and verdict of every page's url."""
+    words = url_filter.word_counts(t.pages, "html")
+    return url_filter.judge(t.pages.select("page_id", "url"), URL_RULES, words).select("page_id", "host", "path", "rule", "verdict")
