@@ -242,22 +242,22 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: in
     ``n_exact`` and ``n_near`` (lines that went) and ``first_docs`` (ids of the documents that keep them)."""
     if edits >= min_bytes:
         raise ValueError("lines must be longer than the number of edits")
-    gone = repeated(docs, doc_id, text, edits, min_bytes).groupBy("doc_id", "text_hash").agg(
-        F.collect_list("line_no").alias("_gone"), F.count_if("exact").alias("n_exact"), F.count_if(~F.col("exact")).alias("n_near"), F.sort_array(F.collect_set("first_doc")).alias("first_docs"),
+    g = {c: plain_name(docs, f"_{c}") for c in ("id", "hash", "gone", "exact", "near", "firsts", "row_id", "row_hash", "lines")}
+    gone = repeated(docs, doc_id, text, edits, min_bytes).groupBy(F.col("doc_id").alias(g["id"]), F.col("text_hash").alias(g["hash"])).agg(
+        F.collect_list("line_no").alias(g["gone"]), F.count_if("exact").alias(g["exact"]), F.count_if(~F.col("exact")).alias(g["near"]),
+        F.sort_array(F.collect_set("first_doc")).alias(g["firsts"]),
     )
-    names = {c: plain_name(docs, c) for c in ("_id", "_hash", "_lines")}
-    gone = written(gone.withColumnsRenamed({"doc_id": "_gone_id", "text_hash": "_gone_hash"}), "lines-gone")
+    gone = written(gone, "lines-gone")
     keep = [c for c in docs.columns if c.lower() not in ("n_lines", "n_exact", "n_near", "first_docs")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{doc_id}`").cast("long").alias(names["_id"]), F.xxhash64(F.col(f"`{text}`").cast("string")).alias(names["_hash"]))
-    rows = rows.join(gone, rows[names["_id"]].eqNullSafe(gone["_gone_id"]) & (rows[names["_hash"]] == gone["_gone_hash"]), "left")
-    lines = F.split(F.col(f"`{text}`").cast("string"), "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    rows = rows.withColumn(names["_lines"], lines).withColumn(
-        text, F.when(F.col("_gone").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col(names["_lines"]), i)), "\n"))
-    )
+    string = F.col(f"`{text}`").cast("string")
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{doc_id}`").cast("long").alias(g["row_id"]), F.xxhash64(string).alias(g["row_hash"]))
+    rows = rows.join(gone, rows[g["row_id"]].eqNullSafe(gone[g["id"]]) & (rows[g["row_hash"]] == gone[g["hash"]]), "left")
+    rows = rows.withColumn(g["lines"], F.coalesce(F.split(string, "\n"), F.array().cast("array<string>")))
+    left = F.array_except(F.sequence(F.lit(0), F.size(g["lines"]) - 1), F.col(g["gone"]))
+    new = F.when(F.col(g["gone"]).isNull(), F.col(f"`{text}`")).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col(g["lines"]), i)), "\n"))
     return rows.select(
-        *[F.col(f"`{c}`") for c in keep],
-        F.size(F.filter(F.coalesce(names["_lines"], F.array().cast("array<string>")), lambda x: x.rlike(HAS_WORD))).cast("long").alias("n_lines"),
-        F.coalesce("n_exact", F.lit(0)).cast("long").alias("n_exact"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
-        F.coalesce("first_docs", F.array().cast("array<long>")).alias("first_docs"),
+        *[new.alias(c) if c == text else F.col(f"`{c}`") for c in keep],
+        F.size(F.filter(g["lines"], lambda x: x.rlike(HAS_WORD))).cast("long").alias("n_lines"),
+        F.coalesce(g["exact"], F.lit(0)).cast("long").alias("n_exact"), F.coalesce(g["near"], F.lit(0)).cast("long").alias("n_near"),
+        F.coalesce(g["firsts"], F.array().cast("array<long>")).alias("first_docs"),
     )

@@ -161,10 +161,11 @@ def judge(pages: DataFrame, rules: Sequence[Rule], words: DataFrame, url: str =
         "verdict": first_rule(F.col("host"), F.col("path"), rules, lambda r: F.lit(r.action)),
     })
     hosts = written(rows.select("host").distinct(), "hosts")
-    by_host = written(host_tokens(hosts, written(words, "words")), "host-tokens").withColumnRenamed("host", "_host")
-    tokens = plain_name(rows, "_tokens")
+    by_host = written(host_tokens(hosts, written(words, "words")), "host-tokens")
+    tokens, of_host, name = (plain_name(rows, n) for n in ("_tokens", "_of_host", "_name"))
+    by_host = by_host.withColumnsRenamed({"host": name, "tokens": of_host})
     none = F.array().cast("array<string>")
-    rows = rows.join(by_host, rows["host"] == by_host["_host"], "left").withColumn(tokens, F.concat(F.coalesce("tokens", none), path_tokens(F.col("path"))))
+    rows = rows.join(by_host, rows["host"] == by_host[name], "left").withColumn(tokens, F.concat(F.coalesce(of_host, none), path_tokens(F.col("path"))))
     rows = rows.select(*[F.col(f"`{c}`") for c in keep], "host", "path", "rule", "verdict", tokens)
     examples = rows.where("rule IS NOT NULL").select(F.col(tokens).alias("tokens"), (F.col("verdict") == "block").alias("blocked"))
     prior, odds = naive_bayes(examples)
