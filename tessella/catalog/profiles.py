@@ -103,9 +103,9 @@ def correlation_matrix(t: Tables) -> DataFrame:
     SELECT "column", position FROM (
         SELECT 'p_retailprice' AS "column", 2 AS position, greatest(abs(corr(p_partkey, p_retailprice)), abs(corr(p_size, p_retailprice))) AS r FROM part
         UNION ALL SELECT 'p_size', 1, abs(corr(p_partkey, p_size)) FROM part)
-    WHERE r > 0.8""")
+    WHERE r > 0.4""")
 def high_correlation(t: Tables) -> DataFrame:
-    return profile.high_correlation(t.part, ["p_partkey", "p_size", "p_retailprice"], 0.8)
+    return profile.high_correlation(t.part, ["p_partkey", "p_size", "p_retailprice"], 0.4)
 
 
 @query("""

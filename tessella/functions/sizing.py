@@ -13,10 +13,10 @@ SMALL_ROWS = 10_000
 
 
 def small_table(df: DataFrame, max_rows: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
-    """Evaluate ``df`` once; the flag says whether it has at most ``max_rows`` rows.
+    """Materialise ``df``; the flag says whether it has at most ``max_rows`` rows.
 
-    Small results become a literal table, larger ones a checkpoint. Only ``max_rows + 1`` rows
-    ever reach the driver.
+    Small results become a literal table in one run. A larger one is run again into a checkpoint;
+    only ``max_rows + 1`` rows ever reach the driver.
     """
     rows = df.limit(max_rows + 1).toArrow()
     if rows.num_rows <= max_rows:
@@ -36,16 +36,6 @@ def attach(df: DataFrame, table: DataFrame, keys: Sequence[str], fits: bool) ->
     return df.select("*", *[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in table.schema])
 
 
-def spread_out(df: DataFrame) -> DataFrame:
-    """Give work that is heavy per row at least one task per core.
-
-    Input that already has as many splits as the cluster has cores, as any large input does, is
-    left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def literal_rows(df: DataFrame, max_rows: int) -> list:
     """Rows of a table that must be small by meaning; fails instead of dropping rows."""
     rows = df.limit(max_rows + 1).collect()

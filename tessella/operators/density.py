@@ -20,11 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.columns import drop_missing
+from tessella.functions.sizing import small_table
 from tessella.session import cut
 
-HOT_CELLS = 1_000
 HOT_ROWS = 100_000
-MAX_SALTS = 512
 SHRINK = 1 - 1e-9
 
 
@@ -45,19 +44,18 @@ def _around(cell: str, d: int, offsets: Sequence[tuple[int, ...]]) -> Column:
 
 
 def _hot(cells: DataFrame, hot_rows: int) -> DataFrame:
-    """The fullest cells, a bounded number; every other cell is a small share of the points."""
-    rows = cells.where(F.col("n") > hot_rows).orderBy(F.desc("n")).limit(HOT_CELLS).collect()
-    salts = [(r["_cell"], min(math.ceil(r["n"] / hot_rows), MAX_SALTS)) for r in rows]
-    from pyspark.sql import types as T
+    """The cells with more than ``hot_rows`` points, each with the number of salts it is dealt into.
 
-    schema = T.StructType([cells.schema["_cell"], T.StructField("salts", T.IntegerType())])
-    return cells.sparkSession.createDataFrame(salts, schema)
+    There is at most one such cell for ``hot_rows`` points; broadcast where the table passes the size check.
+    """
+    hot, fits = small_table(cells.where(F.col("n") > hot_rows).select("_cell", F.ceil(F.col("n") / hot_rows).cast("int").alias("salts")))
+    return F.broadcast(hot) if fits else hot
 
 
 def _by_cell(points: DataFrame, table: DataFrame, hot: DataFrame) -> DataFrame:
     """Join points with a per-cell table; points of hot cells stay where they are."""
-    keys = F.broadcast(hot.select("_cell"))
-    warm = F.broadcast(table.join(keys, "_cell", "left_semi"))
+    keys = hot.select("_cell")
+    warm = table.join(keys, "_cell", "left_semi")
     cold = points.join(keys, "_cell", "left_anti").join(table, "_cell")
     return points.join(warm, "_cell").unionByName(cold)
 
@@ -70,7 +68,7 @@ def _reach(thin: DataFrame, points: DataFrame, hot: DataFrame, xs: Sequence[str]
     d = len(xs)
     asked = thin.select("_id", F.col("_cell").alias("_from"), *[F.col(x).alias(f"_q{x}") for x in xs])
     asked = asked.select("*", _around("_from", d, _offsets(d, own)).alias("_cell"))
-    salts = F.broadcast(hot)
+    salts = hot
     asked = asked.join(salts, "_cell", "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))
     ).drop("salts")
@@ -160,7 +158,7 @@ def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def dbscan(df: DataFrame, features: Sequence[str], id_column: str, eps: float, min_samples: int = 5, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add ``kind`` (``core``, ``border``, ``noise``) and ``cluster``.
 
-    A cluster is named by the smallest id among its core points, noise is -1. A border point next
+    Rows with a missing feature have neither. A cluster is named by the smallest id among its core points, noise is -1. A border point next
     to several clusters joins the one with the smallest name. Ids must be unique integers.
     """
     d = len(features)
@@ -199,4 +197,4 @@ def dbscan(df: DataFrame, features: Sequence[str], id_column: str, eps: float, m
         "_id", F.when(F.col("cluster").isNull(), "noise").otherwise("border").alias("kind"), F.coalesce("cluster", F.lit(-1)).alias("cluster")
     )
     marks = core_rows.unionByName(rest).withColumnRenamed("_id", id_column)
-    return df.join(marks, id_column)
+    return df.join(marks, id_column, "left")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
@@ -16,7 +17,7 @@ from pyspark.sql.window import Window
 
 from tessella.functions.sizing import attach, literal_rows, small_table
 
-HASH_RANGES = 65_536
+LEAST_RANGES = 1_024
 
 
 def _hash(id_columns: Sequence[str], seed: int) -> Column:
@@ -27,12 +28,14 @@ def stratified_split(df: DataFrame, label: str, id_columns: Sequence[str], train
     """Mark rows ``train`` or ``test`` so that each class has exactly its rounded share of train rows.
 
     Rows are ordered by a hash of their id. Counts per hash range show in which range the cut of a
-    class lies; only that range is ranked. The mark itself is a comparison, made without a shuffle.
-    The ids must be unique.
+    class lies; only that range is ranked. There are about as many ranges as rows in a range, whatever
+    the number of rows. The mark itself is a comparison, made without a shuffle. The ids must be unique;
+    a row without a label has no mark.
     """
+    ranges = max(LEAST_RANGES, math.isqrt(df.count()))
     keyed = df.select(label, _hash(id_columns, seed).alias("_h")).where(F.col(label).isNotNull())
-    ranged = keyed.withColumn("_range", F.floor(F.col("_h") / F.lit(2.0**64 / HASH_RANGES)))
-    upto = Window.partitionBy(label).orderBy("_range")  # at most HASH_RANGES rows per class
+    ranged = keyed.withColumn("_range", F.floor(F.col("_h") / F.lit(2.0**64 / ranges)))
+    upto = Window.partitionBy(label).orderBy("_range")  # one row per range and class
     sizes = (
         ranged.groupBy(label, "_range").agg(F.count("*").alias("_c"))
         .withColumn("_end", F.sum("_c").over(upto.rowsBetween(Window.unboundedPreceding, 0)))
@@ -44,7 +47,7 @@ def stratified_split(df: DataFrame, label: str, id_columns: Sequence[str], train
     ranked = inside.withColumn("_n", F.row_number().over(Window.partitionBy(label, "_range").orderBy("_h")))
     cuts, fits = small_table(ranked.where(F.col("_n") == F.col("_left")).select(label, F.col("_h").alias("_cut")))
     marked = df.join(F.broadcast(cuts) if fits else cuts, label, "left")
-    return marked.withColumn(name, F.when(_hash(id_columns, seed) <= F.col("_cut"), "train").otherwise("test")).drop("_cut")
+    return marked.withColumn(name, F.when(_hash(id_columns, seed) <= F.col("_cut"), "train").when(F.col(label).isNotNull(), "test")).drop("_cut")
 
 
 def balanced_split(df: DataFrame, id_columns: Sequence[str], train_share: float = 0.7, seed: int = 42, name: str = "split") -> DataFrame:
@@ -99,7 +102,8 @@ def one_vs_rest_importance(
 ) -> DataFrame:
     """For each cluster a forest against all others: ``id_cluster, rank, feature, importance, accuracy``.
 
-    All forests read one persisted frame and are trained side by side.
+    All forests read one persisted frame and are trained side by side. Where the train part lacks the
+    cluster or the others, importances and accuracy are null; without test rows the accuracy is.
     """
     values = sorted(r[0] for r in literal_rows(df.select(cluster).where(F.col(cluster).isNotNull()).distinct(), max_clusters))
     lean = df.select(F.col(cluster).alias("_cluster"), *[F.col(f"`{c}`") for c in dict.fromkeys([*features, *id_columns])])
@@ -107,9 +111,12 @@ def one_vs_rest_importance(
     score = MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy")
 
     def run(value) -> list[tuple]:
-        target = held.withColumn("_target", F.when(F.col("_cluster") == F.lit(value), 1).otherwise(0))
-        model = forest_pipeline("_target", features, trees, max_bins, seed).fit(target.where("split = 'train'"))
-        accuracy = float(score.evaluate(model.transform(target.where("split = 'test'"))))
+        target = held.withColumn("label", F.when(F.col("_cluster") == F.lit(value), 1.0).otherwise(0.0))
+        train, test = target.where("split = 'train'"), target.where("split = 'test'")
+        if train.select("label").distinct().count() < 2:
+            return [(value, i + 1, f, None, None) for i, f in enumerate(sorted(features))]
+        model = Pipeline(stages=forest_pipeline("_target", features, trees, max_bins, seed).getStages()[1:]).fit(train)
+        accuracy = float(score.evaluate(model.transform(test))) if test.limit(1).count() else None
         return [(value, i + 1, f, v, accuracy) for i, (f, v) in enumerate(importances(model, features))]
 
     try:

@@ -7,6 +7,7 @@ shipped to the tasks that score the rows in Arrow batches.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,9 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessella.functions.columns import drop_missing
+from tessella.functions.columns import drop_missing, nan_to_null
 from tessella.functions.quantiles import exact_quantiles
-from tessella.functions.sizing import spread_out
 from tessella.session import cut
 
 NODE = "tree int, node int, feature int, cut double, left int, right int, depth double"
@@ -64,9 +64,13 @@ def fit_forest(df: DataFrame, features: Sequence[str], id_columns: Sequence[str]
     features = list(features)
     spot = F.xxhash64(F.lit(seed), *[F.col(c) for c in id_columns])
     points = df.select(*[F.col(f"`{c}`").cast("double").alias(f"f{i}") for i, c in enumerate(features)], spot.alias("_spot"))
-    pool = (
-        drop_missing(points).orderBy("_spot", *[f"f{i}" for i in range(len(features))]).limit(trees * sample)
-    )
+    points, wanted = drop_missing(points), trees * sample
+    # only about four times the rows wanted are sorted into one place, however many there are
+    share = min(1.0, 4 * wanted / max(1, points.count()))
+    near = points.where(F.col("_spot") <= F.lit(int(-2**63 + share * (2**64 - 1)))) if share < 1 else points
+    if share < 1 and near.limit(wanted).count() < wanted:
+        near = points
+    pool = near.orderBy("_spot", *[f"f{i}" for i in range(len(features))]).limit(wanted)
     # bounded rows in random order; tree i takes the i-th block of them, from the front again at the end
     shuffled = Window.orderBy("_spot", *[f"f{i}" for i in range(len(features))])
     placed = pool.withColumns({"_n": F.row_number().over(shuffled) - 1, "_size": F.count("*").over(Window.partitionBy())})
@@ -115,8 +119,10 @@ def score_forest(df: DataFrame, features: Sequence[str], nodes: pd.DataFrame, sa
             x = np.stack(batch.to_numpy()) if len(batch) else np.zeros((0, len(features)))
             yield pd.Series(_score(np.asarray(x, dtype=float), shipped.value, norm))
 
-    point = F.array(*[F.col(f"`{c}`").cast("double") for c in features])
-    return spread_out(df).withColumn(name, score(point))
+    values = [nan_to_null(F.col(f"`{c}`").cast("double")) for c in features]
+    there = reduce(lambda a, b: a & b, [v.isNotNull() for v in values])
+    point = F.array(*[F.coalesce(v, F.lit(0.0)) for v in values])
+    return df.withColumn(name, F.when(there, score(point)))
 
 
 def isolation_forest(
@@ -128,10 +134,13 @@ def isolation_forest(
     sample: int = 256,
     seed: int = 42,
 ) -> DataFrame:
-    """Add ``score`` and ``anomaly``: -1 for rows below the contamination quantile of the scores, else 1."""
+    """Add ``score`` and ``anomaly``: -1 for rows below the contamination quantile of the scores, else 1.
+
+    Rows with a missing feature take no part; both are null for them.
+    """
     clean = drop_missing(df, features)
     nodes = fit_forest(clean, features, id_columns, trees, sample, seed)
     used = min(sample, clean.limit(sample).count())
-    scored = cut(score_forest(clean, features, nodes, used))  # the quantile reads the scores several times
+    scored = cut(score_forest(df, features, nodes, used))  # the quantile reads the scores several times
     limit = exact_quantiles(scored, "score", [contamination]).first()["quantiles"][0]
-    return scored.withColumn("anomaly", F.when(F.col("score") < F.lit(limit), -1).otherwise(1))
+    return scored.withColumn("anomaly", F.when(F.col("score") < F.lit(limit), -1).when(F.col("score").isNotNull(), 1))

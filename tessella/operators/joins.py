@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessella.functions.sizing import literal_rows, small_table
+from tessella.functions.sizing import small_table
 
 
 def inner_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -24,21 +26,28 @@ def left_enrich(df: DataFrame, dimension: DataFrame, keys: Sequence[str]) -> Dat
 
 
 def full_outer(frames: Sequence[DataFrame], keys: Sequence[str], fill: object = None) -> DataFrame:
-    """Merge several per-key frames, keeping every key."""
+    """Merge several per-key frames, keeping every key; ``fill`` replaces nulls outside of the keys."""
     merged = reduce(lambda a, b: a.join(b, list(keys), "full"), frames)
-    return merged if fill is None else merged.na.fill(fill)
+    return merged if fill is None else merged.na.fill(fill, [c for c in merged.columns if c not in keys])
 
 
 def pair_with_all(df: DataFrame, small: DataFrame, max_rows: int = 1_000) -> DataFrame:
     """Every row of ``df`` with every row of a small table.
 
-    The small rows (size checked) become an array literal that each task explodes in place:
-    no join, no shuffle.
+    Up to ``max_rows`` rows become an array literal that each task explodes in place: no join, no
+    shuffle. More rows are dealt into blocks of about that many; every row of ``df`` meets every block
+    in a join on the block's number and explodes it there.
     """
-    rows = literal_rows(small, max_rows)
-    fields = small.schema.fields
-    literal = F.array(*[F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in fields]) for r in rows])
-    return df.withColumn("_pair", F.explode(literal)).select(*[F.col(f"`{c}`") for c in df.columns], "_pair.*")
+    whole = F.struct(*[F.col(f"`{f.name}`") for f in small.schema.fields])
+    rows = small.limit(max_rows + 1).collect()
+    if len(rows) <= max_rows:
+        cells = [F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in small.schema.fields]) for r in rows]
+        paired = df.withColumn("_pairs", F.array(*cells).cast(T.ArrayType(small.schema)))
+    else:
+        blocks = math.ceil(small.count() / max_rows)
+        dealt = small.groupBy(F.pmod(F.xxhash64(whole), F.lit(blocks)).alias("_block")).agg(F.collect_list(whole).alias("_pairs"))
+        paired = df.withColumn("_block", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)"))).join(dealt, "_block")
+    return paired.withColumn("_pair", F.explode("_pairs")).select(*[F.col(f"`{c}`") for c in df.columns], "_pair.*")
 
 
 def interval_lookup(
@@ -52,11 +61,15 @@ def interval_lookup(
 ) -> DataFrame:
     """Left join with the interval that contains the day; of several the earliest start wins.
 
-    Each interval is unrolled to its days and one winner is kept per key and day, so the large side
-    takes part in a plain equi-join and never fans out.
+    Each interval is unrolled to those of its days that lie within the days of ``df``, and one winner
+    is kept per key and day, so the large side takes part in a plain equi-join and never fans out.
+    An interval that ends before it starts holds no day.
     """
     day = F.col(day) if isinstance(day, str) else day
-    days = F.sequence(F.col(start).cast("date"), F.col(end).cast("date"), F.expr("interval 1 day"))
+    span = df.agg(F.min(day.cast("date")).alias("low"), F.max(day.cast("date")).alias("high")).first()
+    first = F.greatest(F.col(start).cast("date"), F.lit(span["low"]).cast("date"))
+    last = F.least(F.col(end).cast("date"), F.lit(span["high"]).cast("date"))
+    days = F.when(first <= last, F.sequence(first, last, F.expr("interval 1 day")))
     winner = F.min_by(F.struct(*values), F.struct(F.col(start), F.col(end)))
     daily = (
         intervals.select(*on, start, end, *values, F.explode(days).alias("_day"))

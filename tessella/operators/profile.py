@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -11,13 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessella.functions.columns import drop_missing
+from tessella.functions.columns import drop_missing, nan_to_null
 from tessella.functions.quantiles import exact_quantiles
 from tessella.functions.sizing import attach, small_table
 from tessella.operators.clean import numeric_columns, text_columns
 
-PAIRWISE_COLUMNS = 6
-
 
 def _cells(df: DataFrame, columns: Sequence[str], as_type: str) -> DataFrame:
     """Long form ``column, value`` made in place, without a shuffle."""
@@ -106,15 +103,16 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[st
     return found.select(*by, F.explode(pairs).alias("_q")).select(*by, F.col("_q.prob"), F.col("_q.quantile"))
 
 
-def quantile_buckets(df: DataFrame, value: str, source: DataFrame | None = None, probs: tuple[float, float] = (0.75, 0.95)) -> DataFrame:
+def quantile_buckets(df: DataFrame, value: str, source: DataFrame | None = None, probs: tuple[float, float] = (0.75, 0.95), unit: str = "hours") -> DataFrame:
     """Add ``bucket`` (0 below the first quantile of ``source``, 1 below the second, 2 above) and its label."""
     low, high = exact_quantiles(source if source is not None else df, value, probs).first()["quantiles"]
     v = F.col(value)
+    # fixed values: the wording of the labels
     code = F.when(v < low, 0).when(v < high, 1).otherwise(2)
     label = (
-        F.when(v < low, F.lit(f"Between 0 and {low} hours"))
-        .when(v < high, F.lit(f"Between {low} and {high} hours"))
-        .otherwise(F.lit(f"Greater than {high} hours"))
+        F.when(v < low, F.lit(f"Between 0 and {low} {unit}"))
+        .when(v < high, F.lit(f"Between {low} and {high} {unit}"))
+        .otherwise(F.lit(f"Greater than {high} {unit}"))
     )
     return df.withColumns({"bucket": code, "bucket_label": label})
 
@@ -170,29 +168,11 @@ def class_distribution(df: DataFrame, value: str, label: str, bins: int = 10) ->
 def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson r of each pair ``left`` before ``right``, over the rows where both are present.
 
-    Up to ``PAIRWISE_COLUMNS`` columns it is one aggregation. Beyond that the aggregation would outgrow generated code, and
-    centred cross products are added up task by task instead.
+    NaN counts as missing, and a column that does not vary over the rows of a pair gives null. Centred
+    cross products are added up task by task, whatever the number of columns.
     """
     columns = list(columns) if columns is not None else numeric_columns(df)
-    if len(columns) > PAIRWISE_COLUMNS:
-        return _wide_correlation(df, columns)
-    pairs = list(combinations(range(len(columns)), 2))
-    numbers = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
-    wide = numbers.agg(*[_pearson(F.col(f"c{i}"), F.col(f"c{j}")).alias(f"r{i}_{j}") for i, j in pairs])
-    return _stack(wide, [
-        {"left": F.lit(columns[i]), "right": F.lit(columns[j]), "i": F.lit(i), "j": F.lit(j), "r": F.col(f"r{i}_{j}")}
-        for i, j in pairs
-    ])
-
-
-def _pearson(x: Column, y: Column) -> Column:
-    """r over the rows with both values; null where one of them does not vary (``corr`` fails there)."""
-    spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
-    return F.try_divide(F.covar_pop(x, y), spread)
-
-
-def _wide_correlation(df: DataFrame, columns: list[str]) -> DataFrame:
-    numbers = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    numbers = df.select(*[nan_to_null(F.col(f"`{c}`").cast("double")).alias(f"c{i}") for i, c in enumerate(columns)])
     row = numbers.agg(*[F.avg(c).alias(c) for c in numbers.columns]).first()
     means = np.array([row[c] if row[c] is not None else 0.0 for c in numbers.columns])
     left, right = np.triu_indices(len(columns), k=1)
@@ -220,7 +200,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
     """Long symmetric matrix ``row, column, r`` with 1 on the diagonal of columns that vary."""
     columns = list(columns) if columns is not None else numeric_columns(df)
     pairs = correlation_pairs(df, columns)
-    varies = df.agg(*[F.stddev_pop(f"`{c}`").alias(f"v{i}") for i, c in enumerate(columns)])
+    varies = df.agg(*[F.stddev_pop(nan_to_null(F.col(f"`{c}`").cast("double"))).alias(f"v{i}") for i, c in enumerate(columns)])
     diagonal = _stack(varies, [
         {"row": F.lit(c), "column": F.lit(c), "r": F.when(F.col(f"v{i}") > 0, 1.0)} for i, c in enumerate(columns)
     ])

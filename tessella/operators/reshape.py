@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from itertools import count
 from datetime import date, datetime
 
 from pyspark.ml.feature import StringIndexer
@@ -75,14 +76,19 @@ def category_values(df: DataFrame, columns: Sequence[str], max_values: int = 10_
 def one_hot(df: DataFrame, columns: Sequence[str], values: Mapping[str, Sequence] | None = None) -> DataFrame:
     """Replace each column by 0/1 columns ``column_value``; null gives zeros everywhere.
 
+    Names that differ in case only would be one name to Spark: the second gets ``_2``, and so on.
+
     Pass ``values`` where the categories are known; otherwise one pass finds them.
     """
     values = values if values is not None else category_values(df, columns)
-    dummies = [
-        F.when(F.col(f"`{c}`").cast("string") == F.lit(str(v)), 1).otherwise(0).alias(f"{c}_{v}")
-        for c in columns
-        for v in values[c]
-    ]
+    taken = {c.lower() for c in df.columns if c not in columns}
+    dummies = []
+    for c in columns:
+        for v in values[c]:
+            tries = (f"{c}_{v}" if k == 1 else f"{c}_{v}_{k}" for k in count(1))
+            name = next(n for n in tries if n.lower() not in taken)
+            taken.add(name.lower())
+            dummies.append(F.when(F.col(f"`{c}`").cast("string") == F.lit(str(v)), 1).otherwise(0).alias(name))
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in columns], *dummies)
 
 

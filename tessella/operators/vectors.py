@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -113,9 +114,13 @@ def first_components(df: DataFrame, vector: str, keep: Sequence[str], n: int = 3
     return df.select(*keep, *[values[i].alias(f"pca{i + 1}") for i in range(n)])
 
 
-def average_word_vectors(df: DataFrame, text: str, name: str = "embedding", size: int = 64, seed: int = 42, min_count: int = 2, partitions: int = 1) -> DataFrame:
-    """Default encoder: Word2Vec fitted on the texts, the mean word vector of each text."""
+def average_word_vectors(df: DataFrame, text: str, name: str = "embedding", size: int = 64, seed: int = 42, min_count: int = 2, texts_per_task: int = 20_000) -> DataFrame:
+    """Default encoder: Word2Vec fitted on the texts, the mean word vector of each text.
+
+    Training is spread over one task for every ``texts_per_task`` texts.
+    """
     words = Tokenizer(inputCol=text, outputCol="_words").transform(df.where(F.col(text).isNotNull()))
+    partitions = math.ceil(max(1, words.count()) / texts_per_task)
     model = Word2Vec(
         vectorSize=size, minCount=min_count, seed=seed, numPartitions=partitions, inputCol="_words", outputCol=name
     ).fit(words)

@@ -4,26 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.ml.feature import Bucketizer, StopWordsRemover
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tessella.functions.sizing import attach, small_table, spread_out
+from tessella.functions.sizing import attach, small_table
 from tessella.session import cut
 
 # Fixed value: what the normaliser removes from a token.
 CLEANUP_PATTERN = r"[^\w\s]|http\S+|\d+|[A-Z][a-z]+"
-SENTENCE_MARK = "\u0001"
 BLOCK = 4096
 
 
 def sentences(text: str | Column) -> Column:
     """Array of sentences: a cut after ``. ! ?`` followed by white space."""
     text = F.col(text) if isinstance(text, str) else text
-    marked = F.regexp_replace(text, r"([.!?])\s+", "$1" + SENTENCE_MARK)
-    return F.split(marked, SENTENCE_MARK)
+    return F.split(text, r"(?<=[.!?])\s+")
 
 
 def clean_tokens(text: str | Column, stop_words: Sequence[str] | None = None, pattern: str = CLEANUP_PATTERN, stem: Callable[[Column], Column] | None = None) -> Column:
@@ -44,12 +41,12 @@ def suffix_stem(suffixes: Sequence[str], least: int = 3) -> Callable[[Column], C
 
 def clean_text(df: DataFrame, text: str, name: str = "clean", **options) -> DataFrame:
     """The cleaned words put together again with blanks."""
-    return spread_out(df).withColumn(name, F.array_join(clean_tokens(text, **options), " "))
+    return df.withColumn(name, F.array_join(clean_tokens(text, **options), " "))
 
 
 def clean_sentences(df: DataFrame, text: str, keep: Sequence[str], name: str = "sentence", **options) -> DataFrame:
     """One row per sentence, cleaned, with its number in the text."""
-    split = spread_out(df.select(*keep, text)).select(*keep, F.posexplode(sentences(text)).alias("sentence_no", "_s"))
+    split = df.select(*keep, text).select(*keep, F.posexplode(sentences(text)).alias("sentence_no", "_s"))
     return split.select(*keep, "sentence_no", F.array_join(clean_tokens("_s", **options), " ").alias(name))
 
 
@@ -65,40 +62,30 @@ def ngrams_of(words: Column, n: int) -> Column:
     return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
 
 
-def _word_offsets(df: DataFrame, group: str, order: Sequence[str], buckets: int) -> DataFrame:
-    """Add ``_at``, the position of the first word of each text in its group read in order.
+def _word_offsets(df: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
+    """Add ``_at``, the position of the first word of each text in its group read in order (null first).
 
-    Two-step running sum: the order key is cut into ranges at sampled quantiles, totals per range
-    are added up, and only rows of one range meet in one window.
+    Two-step running sum: rows are dealt by ranges of the whole order key, of any type, as many as Spark
+    makes for their size; totals per range are added up, and only rows of one range meet in one window.
     """
-    key = F.col(order[0])
-    numeric = isinstance(df.schema[order[0]].dataType, T.NumericType)
-    if not numeric:
-        buckets = min(buckets, 64)
-    marks = df.agg(F.percentile_approx(key, F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), 10_000)).first()[0]
-    marks = sorted(set(marks or []))
-    if numeric and marks:
-        ends = [float("-inf"), *map(float, marks), float("inf")]
-        placed = Bucketizer(splits=ends, inputCol="_key", outputCol="_range").transform(df.withColumn("_key", key.cast("double"))).drop("_key")
-    else:
-        placed = df.withColumn("_range", sum(((key > F.lit(m)).cast("int") for m in marks), F.lit(0)))
+    placed = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
     totals = placed.groupBy(group, "_range").agg(F.sum("_size").alias("_total"))
     before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     starts = totals.select(group, "_range", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start"))
-    starts, fits = small_table(starts, 100_000)
+    starts, fits = small_table(starts)
     inner = Window.partitionBy(group, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     counted = attach(placed, starts, [group, "_range"], fits)
     return counted.withColumn("_at", F.col("_start") + F.coalesce(F.sum("_size").over(inner), F.lit(0))).drop("_range", "_start")
 
 
-def group_ngrams(df: DataFrame, group: str, order: Sequence[str], text: str, n: int, buckets: int = 1024) -> DataFrame:
+def group_ngrams(df: DataFrame, group: str, order: Sequence[str], text: str, n: int) -> DataFrame:
     """``group, ngram, tf``: n-grams of all texts of a group read one after the other.
 
     Equal to joining the texts of a group with blanks, but no group is ever put in one place.
     n-grams inside a text are counted where the text lies; for those that cross texts only the
     first and last ``n - 1`` words of each text move, in blocks of consecutive positions.
     """
-    rows = spread_out(df.select(group, *order, text).where(F.col(text).isNotNull() & F.col(group).isNotNull()))
+    rows = df.select(group, *order, text).where(F.col(text).isNotNull() & F.col(group).isNotNull())
     rows = rows.select(group, *order, words_of(text).alias("_w"))
     inside = rows.select(group, F.explode(ngrams_of(F.col("_w"), n)).alias("ngram"))
     if n > 1:
@@ -108,7 +95,7 @@ def group_ngrams(df: DataFrame, group: str, order: Sequence[str], text: str, n:
             F.slice("_w", 1, edge).alias("_head"),
             F.slice("_w", F.greatest(F.size("_w") - edge + 1, F.lit(1)), edge).alias("_tail"),
         )
-        placed = _word_offsets(cut(lean), group, order, buckets)  # a few words per text, read three times
+        placed = _word_offsets(lean, group, order)  # a few words per text
         head = F.transform("_head", lambda w, i: F.struct((F.col("_at") + i).alias("at"), w.alias("w"), F.col("_at").alias("of")))
         tail_at = F.col("_at") + F.greatest(F.col("_size") - edge, F.lit(0))
         tail = F.transform("_tail", lambda w, i: F.struct((tail_at + i).alias("at"), w.alias("w"), F.col("_at").alias("of")))

@@ -47,7 +47,7 @@ def test_size_checks(spark):
         literal_rows(spark.range(50), 10)
 
 
-def test_wide_and_narrow_correlation_agree(spark):
+def test_correlation_over_rows_with_both_values(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(300, 5)) * [1, 10, 100, 1, 1] + [1e6, 0, 0, 0, 0]
     x[:, 3] = x[:, 1] * 2 + 1
@@ -57,8 +57,8 @@ def test_wide_and_narrow_correlation_agree(spark):
     names = list("abcde")
     df = clean.nan_to_null(spark.createDataFrame(pd.DataFrame(x, columns=names)))
     expected = pd.DataFrame(x, columns=names).corr()
-    for found in (profile.correlation_pairs(df, names), profile._wide_correlation(df, names)):
-        for r in found.collect():
+    for some in (names, names[:2], ["b", "d"]):
+        for r in profile.correlation_pairs(df, some).collect():
             e = expected.loc[r["left"], r["right"]]
             assert (r["r"] is None and np.isnan(e)) or abs(r["r"] - e) < 1e-9
     assert [r["column"] for r in profile.high_correlation(df, names, 0.8).collect()] == ["d"]
@@ -83,11 +83,10 @@ def test_selecting_columns(spark):
     assert clean.numeric_columns(df) == ["n"] and len(clean.text_columns(df)) == 2
 
 
-def test_pairing_has_a_size_check(spark):
+def test_pairing_beyond_the_literal(spark):
     df = spark.range(3)
     assert joins.pair_with_all(df, spark.range(4).withColumnRenamed("id", "k")).count() == 12
-    with pytest.raises(ValueError):
-        joins.pair_with_all(df, spark.range(40).withColumnRenamed("id", "k"), max_rows=10)
+    assert joins.pair_with_all(df, spark.range(40).withColumnRenamed("id", "k"), max_rows=10).distinct().count() == 120
 
 
 def test_match_flags_and_kpi(spark):
@@ -138,7 +137,7 @@ def test_group_ngrams_equals_joined_text(spark):
             for i in range(len(w) - n + 1):
                 key = (g, " ".join(w[i:i + n]))
                 expected[key] = expected.get(key, 0) + 1
-        got = {(r["g"], r["ngram"]): r["tf"] for r in words.group_ngrams(df, "g", ["id"], "t", n, buckets=7).collect()}
+        got = {(r["g"], r["ngram"]): r["tf"] for r in words.group_ngrams(df, "g", ["id"], "t", n).collect()}
         assert got == expected
 
 
@@ -280,3 +279,77 @@ def test_forecast_and_two_targets(spark):
     predicted = wine.wine_predictions(spark.createDataFrame(raw), ["id"], iterations=10)
     for r in forecast.two_target_metrics(predicted, "type", "quality").collect():
         assert r["accuracy"] > 0.9 and r["rmse"] < 1.0
+
+
+def test_ngrams_of_texts_with_any_order_key(spark):
+    rows = [("g", "b", "c d"), ("g", None, "a b"), ("g", "x", "e f"), ("g", "k", None)]
+    df = spark.createDataFrame(rows, "g string, id string, t string")
+    got = {r["ngram"] for r in words.group_ngrams(df, "g", ["id"], "t", 2).collect()}
+    assert got == {"a b", "b c", "c d", "d e", "e f"}
+
+
+def test_sentences_keep_control_characters(spark):
+    df = spark.createDataFrame([("One\u0001two. Three! four",)], "t string")
+    assert df.select(words.sentences("t")).first()[0] == ["One\u0001two.", "Three!", "four"]
+
+
+def test_split_without_label_and_classes_missing_in_train(spark):
+    df = spark.createDataFrame([(i, None if i % 10 == 0 else i % 2, float(i)) for i in range(60)], "id int, c int, x double")
+    marks = explain.stratified_split(df, "c", ["id"]).collect()
+    assert all((r["split"] is None) == (r["c"] is None) for r in marks)
+    lone = df.where("c is not null").withColumn("c", F.when(F.col("id") == 7, 9).otherwise(F.col("c")))
+    table = explain.one_vs_rest_importance(lone, ["x"], "c", ["id"], trees=2).collect()
+    assert {r["id_cluster"] for r in table} == {0, 1, 9}
+
+
+def test_one_hot_of_values_that_differ_in_case(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "A"), (3, None)], "id int, c string")
+    out = reshape.one_hot(df, ["c"])
+    assert len({x.lower() for x in out.columns}) == 3
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 0, 1), (2, 1, 0), (3, 0, 0)]
+
+
+def test_joins_on_odd_input(spark):
+    a = spark.createDataFrame([(None, 1), (2, None)], "k int, v int")
+    b = spark.createDataFrame([(2, 5)], "k int, w int")
+    assert sorted((str(r["k"]), r["v"], r["w"]) for r in joins.full_outer([a, b], ["k"], 0).collect()) == [("2", 0, 5), ("None", 1, 0)]
+    assert joins.pair_with_all(b, a.limit(0)).columns == ["k", "w", "k", "v"] and joins.pair_with_all(b, a.limit(0)).count() == 0
+    many = spark.range(25).withColumnRenamed("id", "n")
+    assert sorted((r["k"], r["n"]) for r in joins.pair_with_all(b, many, max_rows=4).collect()) == [(2, i) for i in range(25)]
+    days = spark.createDataFrame([("t", "2024-01-05"), ("t", "2024-02-05")], "team string, day string")
+    spans = spark.createDataFrame([("t", "2024-01-09", "2024-01-01", 1), ("t", "2024-01-01", "9999-12-31", 2)], "team string, s string, e string, p int")
+    assert [r["p"] for r in joins.interval_lookup(days, "day", spans, "s", "e", ["team"], ["p"]).collect()] == [2, 2]
+
+
+def test_correlation_with_nan_equals_pandas(spark):
+    rng = np.random.default_rng(0)
+    frame = pd.DataFrame(rng.normal(size=(200, 7)), columns=list("abcdefg"))
+    frame.loc[::100, "b"] = np.nan
+    expected = frame.corr()
+    for n in (2, 7):
+        names = list("abcdefg")[:n]
+        for r in profile.correlation_pairs(spark.createDataFrame(frame), names).collect():
+            assert r["r"] == pytest.approx(expected.loc[r["left"], r["right"]])
+
+
+def test_rows_with_missing_features_stay(spark):
+    rows = [(i, float(i % 7), float(i % 5)) for i in range(60)] + [(100, None, 1.0), (101, float("nan"), 1.0)]
+    df = spark.createDataFrame(rows, "id int, x double, y double")
+    outliers = {r["id"]: r for r in isolation.isolation_forest(df, ["x", "y"], ["id"], 0.1, trees=5, sample=16).collect()}
+    assert len(outliers) == 62 and outliers[100]["anomaly"] is None and outliers[101]["score"] is None and outliers[3]["anomaly"] in (1, -1)
+    marks = {r["id"]: r for r in density.dbscan(df, ["x", "y"], "id", 0.5, 3).collect()}
+    assert len(marks) == 62 and marks[100]["kind"] is None
+
+
+def test_checkpoints_without_a_named_folder(spark, monkeypatch):
+    from tessella import session
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        conf, sparkContext = Conf(), spark.sparkContext
+
+    folder = session.shared_dir(Session())
+    assert folder == session.shared_dir(Session())
