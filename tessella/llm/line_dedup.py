@@ -32,6 +32,8 @@ from tessella.llm.components import components
 from tessella.llm.simhash import Forest
 
 EDITS, MIN_BYTES = 2, 32
+CELLS = 1 << 18  # bytes of lines compared at a time
+BITS = 1 << 25  # of the filter in front of the join that fetches lines; a fixed size, 4 MB
 SEED = 42
 HAS_WORD = r"[^\x20\x09-\x0D]"
 
@@ -60,43 +62,75 @@ def probes(length: int, edits: int, min_bytes: int) -> tuple[list[tuple[int, int
     return found, own
 
 
-def within(pairs: list[tuple[bytes, bytes]], limit: int) -> np.ndarray:
-    """Whether the two lines of each pair are at most ``limit`` edits apart; many pairs at a time.
+def _core(a: bytes, b: bytes, limit: int) -> tuple[bytes, bytes]:
+    """Two lines without what they begin and end with in common; a few equal bytes behind both, which
+    change no distance, keep them longer than ``limit``."""
+    lengths = []
+    for cut in (lambda x, n: x[:n], lambda x, n: x[len(x) - n:]):
+        low, high = 0, min(len(a), len(b)) - sum(lengths)
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if cut(a, middle) == cut(b, middle) else (low, middle - 1)
+        lengths.append(low)
+    end = bytes(limit + 1)
+    return a[lengths[0]:len(a) - lengths[1]] + end, b[lengths[0]:len(b) - lengths[1]] + end
+
 
-    One word holds the differences down a column, its highest bit the row ``limit`` below the diagonal;
+def within(pairs: list[tuple[bytes, bytes]], limit: int) -> np.ndarray:
+    """Whether the two lines of each pair are at most ``limit`` edits apart; many pairs of about one
+    length at a time."""
+    cores = [_core(a, b, limit) for a, b in pairs]
+    near = np.zeros(len(pairs), bool)
+    order = sorted((k for k, (a, b) in enumerate(cores) if abs(len(a) - len(b)) <= limit), key=lambda k: len(cores[k][1]))
+    while order:
+        few = order[-max(1, CELLS // (len(cores[order[-1]][1]) + 1)):]
+        del order[-len(few):]
+        near[few] = _banded([cores[k] for k in few], limit)
+    return near
+
+
+def _banded(pairs: list[tuple[bytes, bytes]], limit: int) -> np.ndarray:
+    """One word holds the differences down a column, its highest bit the row ``limit`` below the diagonal;
     letters are compared on the ``2 * limit + 1`` diagonals that matter only. The distance is followed
-    along the lowest diagonal to the last row and along that row to the end. Lines have ``limit`` bytes
-    or more.
-    """
+    along the lowest diagonal to the last row and along that row to the end; pairs that cannot come back
+    below the limit are left, and the walk ends when no pair is."""
     m, n = (np.array([len(p[k]) for p in pairs], np.int64) for k in (0, 1))
-    rows = np.zeros((len(pairs), int(m.max(initial=0)) + 2 * limit + 1), np.int16) - 1
-    columns = np.zeros((len(pairs), int(n.max(initial=0))), np.int16) - 2
+    rows = np.zeros((len(pairs), int(m.max()) + 2 * limit + 1), np.int16) - 1
+    columns = np.zeros((len(pairs), int(n.max())), np.int16) - 2
     for k, (a, b) in enumerate(pairs):
         rows[k, limit:limit + len(a)] = np.frombuffer(a, np.uint8)
         columns[k, :len(b)] = np.frombuffer(b, np.uint8)
     word = np.uint64
     one = word(1)
+    near = np.zeros(len(pairs), bool)
+    at = np.arange(len(pairs))
     plus = np.full(len(pairs), (1 << 64) - (1 << (63 - limit)), np.uint64)
     minus = np.zeros(len(pairs), np.uint64)
     distance = np.full(len(pairs), limit, np.int64)
-    turn = m - limit
+    turn, worst = m - limit, 2 * limit + n - m
     for j in range(columns.shape[1]):
-        letter = columns[:, j]
-        equal = np.zeros(len(pairs), np.uint64)
+        letter = columns[at, j]
+        equal = np.zeros(len(at), np.uint64)
         for d in range(2 * limit + 1):
             if j + d < rows.shape[1]:
-                equal |= (letter == rows[:, j + d]).astype(np.uint64) << word(63 - 2 * limit + d)
+                equal |= (letter == rows[at, j + d]).astype(np.uint64) << word(63 - 2 * limit + d)
         diagonal = (((equal & plus) + plus) ^ plus) | equal | minus
         up = minus | ~(diagonal | plus)
         down = diagonal & plus
         bit = np.clip(62 - (j - turn), 0, 62).astype(np.uint64)
         along = (up >> bit & one).astype(np.int64) - (down >> bit & one).astype(np.int64)
-        step = np.where(j < turn, 1 - (diagonal >> word(63)).astype(np.int64), along)
-        distance += np.where(j < n, step, 0)
+        distance += np.where(j < turn, 1 - (diagonal >> word(63)).astype(np.int64), along)
         shifted = diagonal >> one
         plus = down | ~(shifted | up)
         minus = shifted & up
-    return (distance <= limit) & (abs(m - n) <= limit)
+        done = n == j + 1
+        near[at[done & (distance <= limit)]] = True
+        left = ~done & (distance <= worst)
+        if not left.all():
+            if not left.any():
+                break
+            at, plus, minus, distance, turn, worst, n = (x[left] for x in (at, plus, minus, distance, turn, worst, n))
+    return near
 
 
 def _lines(text: str) -> list[bytes]:
@@ -182,7 +216,7 @@ def _forests(edits: int):
                         ahead.append((first + 1, stop))
                 for i in range(0, len(pairs), 4096):
                     part = np.array(pairs[i:i + 4096])
-                    near = part[within([(lines[x], lines[y]) for x, y in part], edits)]
+                    near = part[within([(lines[x], lines[y]) for x, y in part.tolist()], edits)]
                     a, b = forest.add(near[:, 0], near[:, 1])
                     found.append(np.column_stack([name[a], name[b]]))
                 open_ = ahead
@@ -203,13 +237,46 @@ def near_lines(docs: DataFrame, text: str = "text", edits: int = EDITS, min_byte
     keys = texts.mapInArrow(_substrings(edits, min_bytes), "key long, id long, own boolean")
     live = keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_shared, "key long, id long")
     live = written(live, "shared-segments")
-    lines = texts.select(F.explode(F.split("_text", "\n")).alias("line")).select(F.xxhash64("line").alias("id"), F.col("line").cast("binary").alias("line"))
     asked = written(live.select("id").distinct(), "lines-asked")
+    lines = texts.mapInArrow(_named_lines(_filter_of(asked)), "id long, line binary")
     known = written(lines.join(asked, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line")), "lines")
-    met = live.join(known, "id").select("key", "id", "line").repartition("key").sortWithinPartitions("key", "id")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # comparing costs more than its bytes suggest
+    met = live.join(known, "id").select("key", "id", "line").repartition(parts, "key").sortWithinPartitions("key", "id")
     return components(written(met.mapInArrow(_forests(edits), "a long, b long"), "near-lines"))
 
 
+def _filter_of(asked: DataFrame):
+    """A bitmap of fixed size of the ids asked for, broadcast. It only spares most other lines the way to
+    the join; the fuller it is, the less it spares."""
+    spot = asked.select((F.pmod("id", F.lit(BITS)) + 1).alias("p"))
+    rows = spot.groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
+    bitmap = np.zeros((BITS // 32768, 4096), np.uint8)
+    for r in rows:
+        bitmap[r["b"] - 1] = np.frombuffer(r["bits"], np.uint8)
+    return asked.sparkSession.sparkContext.broadcast(bitmap.reshape(-1))
+
+
+def _named_lines(wanted):
+    """Task that gives ``id, line`` for the lines that may be asked for, once for each line it meets."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, bitmap, met = xxhash.xxh64_intdigest, wanted.value, set()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                lines = [line for text in strings(batch.column(0).slice(at, 2000)) for line in _lines(text)]
+                names = np.fromiter((digest(line, SEED) for line in lines), np.uint64, len(lines))
+                spots = names % np.uint64(BITS)
+                hits = np.flatnonzero(bitmap[spots >> np.uint64(3)] >> (spots & np.uint64(7)).astype(np.uint8) & 1)
+                new = []
+                for k in hits:
+                    if names[k] not in met:
+                        met.add(names[k])
+                        new.append(k)
+                yield pa.record_batch([pa.array(names[new].view(np.int64)), pa.array([lines[k] for k in new], pa.binary())], ["id", "line"])
+
+    return find
+
+
 def occurrences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each line with a word: ``doc_id, text_hash, line_no`` and the line's hashes ``h1, h2``."""
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("_text"))
