@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +11,6 @@ from tessella.catalog.base import Tables, query, rounded
 from tessella.operators import clusters, density, explain, forecast, isolation, series, vectors
 from tessella.plans import claims as claims_plan
 from tessella.plans import topics as topics_plan
-from tessella.session import cut
 
 EMBEDDING_SIZE = 64
 
@@ -42,6 +42,40 @@ def kmeans_clusters(t: Tables) -> DataFrame:
     return clustered.select("vec_id", "label", "prediction")
 
 
+@query(f"""
+    SELECT 'length of the loadings' AS check, unnest(range(1, 31))::INTEGER AS component, 1.0::DOUBLE AS value
+    UNION ALL SELECT 'largest product with other loadings', unnest(range(1, 31))::INTEGER, 0.0::DOUBLE
+    UNION ALL SELECT 'variance off the share', unnest(range(1, 31))::INTEGER, 0.0::DOUBLE""")
+def pca_checks(t: Tables) -> DataFrame:
+    """Loadings are of length 1 and orthogonal, and a projected column varies as its eigenvalue says."""
+    rows = embedded(t)
+    model = vectors.fit_components(rows, "embedding_vector", 30)
+    load = model.loadings(t.spark)
+    other = load.select("feature", F.col("component").alias("other"), F.col("loading").alias("theirs"))
+    products = load.join(other, "feature").groupBy("component", "other").agg(F.sum(F.col("loading") * F.col("theirs")).alias("value"))
+    length = products.where("component = other").select(F.lit("length of the loadings").alias("check"), "component", "value")
+    across = products.where("component <> other").groupBy("component").agg(F.max(F.abs("value")).alias("value"))
+    numbers = F.posexplode(vector_to_array("pca_features")).alias("at", "x")
+    varied = model.transform(rows).select(numbers).groupBy((F.col("at") + 1).alias("component")).agg(F.var_samp("x").alias("v"))
+    share = model.explained(t.spark).join(varied, "component").select(
+        F.lit("variance off the share").alias("check"), "component", F.abs(F.col("variance") - F.col("v") / EMBEDDING_SIZE).alias("value")
+    )
+    rest = across.select(F.lit("largest product with other loadings").alias("check"), "component", "value")
+    return rounded(length.unionByName(rest).unionByName(share), ["value"], 6)
+
+
+@query("SELECT count(*) AS rows, 12::INTEGER AS clusters, 0::BIGINT AS nearer_elsewhere FROM embeddings")
+def kmeans_checks(t: Tables) -> DataFrame:
+    """Every point is in the cluster whose centre is nearest, and no cluster is empty."""
+    points = vectors.fit_components(embedded(t), "embedding_vector", 30).transform(embedded(t))
+    clustered, model = clusters.kmeans(points, 12)
+    centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
+    apart = F.transform(centres, lambda c: F.aggregate(F.zip_with(c, F.col("x"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d))
+    far = clustered.select("prediction", vector_to_array("pca_features").alias("x")).select("prediction", apart.alias("d"))
+    nearer = F.count_if(F.element_at("d", F.col("prediction") + 1) > F.array_min("d") + 1e-9)
+    return far.agg(F.count("*").alias("rows"), F.count_distinct("prediction").cast("int").alias("clusters"), nearer.alias("nearer_elsewhere"))
+
+
 @query()
 def silhouette_sweep(t: Tables) -> DataFrame:
     points = vectors.fit_components(embedded(t), "embedding_vector", 30).transform(embedded(t))
@@ -63,6 +97,22 @@ def dbscan_kinds(t: Tables) -> DataFrame:
     return dbscan(t).select("id", "kind")
 
 
+@query(f"""
+    WITH RECURSIVE p AS (SELECT id, x, CAST(y AS DOUBLE) AS y FROM ({POINTS})),
+    near AS (SELECT a.id AS id, b.id AS other FROM p a JOIN p b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 1.44),
+    core AS (SELECT id FROM near GROUP BY id HAVING count(*) >= 5),
+    link AS (SELECT * FROM near WHERE id IN (SELECT id FROM core) AND other IN (SELECT id FROM core)),
+    reach(id, root) AS (SELECT id, id FROM core UNION SELECT link.other, reach.root FROM reach JOIN link ON link.id = reach.id),
+    named AS (SELECT id, min(root) AS cluster FROM reach GROUP BY id),
+    touched AS (SELECT near.id, min(cluster) AS cluster FROM near JOIN named ON named.id = near.other GROUP BY near.id)
+    SELECT p.id, CASE WHEN named.id IS NOT NULL THEN 'core' WHEN touched.id IS NOT NULL THEN 'border' ELSE 'noise' END AS kind,
+        coalesce(named.cluster, touched.cluster, -1) AS cluster
+    FROM p LEFT JOIN named ON named.id = p.id LEFT JOIN touched ON touched.id = p.id""")
+def dbscan_clusters(t: Tables) -> DataFrame:
+    """Kind and cluster of every customer, a cluster named by its smallest core point."""
+    return dbscan(t).select("id", "kind", "cluster")
+
+
 @query()
 def dbscan(t: Tables) -> DataFrame:
     points = t.customer.select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") / 100).alias("x"), F.col("c_nationkey").cast("double").alias("y"))
@@ -92,11 +142,9 @@ def claim_anomalies(t: Tables) -> DataFrame:
 
 @query()
 def rf_importance(t: Tables) -> DataFrame:
-    """What a forest relies on to tell marked claims from the others."""
-    features = cut(claims.claim_features(t))
-    numbers = [c for c in features.columns if c not in claims.KEYS]
-    marked = features.withColumn("anomaly", F.when(F.col("mean_amount") > 80000, -1).otherwise(1))
-    table, _ = explain.random_forest_importance(marked, numbers, "anomaly", claims.KEYS)
+    """What a forest relies on to tell the claims that the isolation forest marks from the others."""
+    rows, numbers = marked_claims(t)
+    table, _ = explain.random_forest_importance(rows, numbers, "anomaly", claims.KEYS)
     return table
 
 

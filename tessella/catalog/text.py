@@ -77,6 +77,14 @@ def ngram_counts(t: Tables) -> DataFrame:
     return words.group_ngrams(t.documents, "lang", ["doc_id"], "text", n=2)
 
 
+@query(rf"""
+    SELECT lang, ngram, count(*) AS tf FROM ({_grams(2, 'documents', 'lang').replace('ORDER BY doc_id', "ORDER BY 'case-' || lpad(doc_id::VARCHAR, 12, '0')")}) GROUP BY ALL""")
+def ngram_counts_text_key(t: Tables) -> DataFrame:
+    """Word pairs of each language, texts read in order of a key that is text."""
+    rows = t.documents.withColumn("case", F.concat(F.lit("case-"), F.lpad(F.col("doc_id").cast("string"), 12, "0")))
+    return words.group_ngrams(rows, "lang", ["case"], "text", n=2)
+
+
 @query("""
     SELECT conv_id, turn, word AS sentence, n AS embedding FROM (
         SELECT conv_id, turn, unnest(w) AS word, unnest(list_transform(w, lambda x: len(x))) AS n
