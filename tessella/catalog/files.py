@@ -35,12 +35,12 @@ def tilde_round_trip(t: Tables) -> DataFrame:
 @query("""
     SELECT strftime(ts, '%Y-%m') AS month, event_id, printf('%.3f', value) AS value FROM events""")
 def monthly_append(t: Tables) -> DataFrame:
-    """Months written one after the other to one dataset; a month written twice is there once."""
+    """Months written to one dataset; a month written twice is there once."""
     path = t.new_folder("events-months")
-    rows = t.events.select(F.date_format("ts", "yyyy-MM").alias("m"), "event_id", "value")
-    months = [r["m"] for r in rows.select("m").distinct().orderBy("m").collect()]  # one row per month
-    for month in [*months, *months[:1]]:
-        sinks.write_month(sinks.fixed_decimals(rows.where(F.col("m") == month).drop("m")), path, month)
+    rows = sinks.fixed_decimals(t.events.select("event_id", "value", F.date_format("ts", "yyyy-MM").alias("month")))
+    sinks.write_months(rows, path)
+    first = rows.agg(F.min("month")).first()[0]
+    sinks.write_month(rows.where(F.col("month") == first).drop("month"), path, first)
     return t.spark.read.option("inferSchema", False).schema("event_id bigint, value string, month string").parquet(path)
 
 

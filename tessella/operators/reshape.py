@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from itertools import count
 from datetime import date, datetime
+from functools import reduce
+from itertools import count
 
 from pyspark.ml.feature import StringIndexer
 from pyspark.sql import DataFrame
@@ -32,7 +33,8 @@ def wide_days_to_long(df: DataFrame, ids: Sequence[str], measures: Mapping[str,
     """One row per id and day from columns named ``<prefix> dd_mm_yyyy``.
 
     ``measures`` maps the new column to its prefix. Rows with a null id or measure are dropped.
-    All days come out of one generated array per row, so nothing is shuffled.
+    All days come out of one generated array per row, so nothing is shuffled; days without a value
+    are taken out of the array before it becomes rows.
     """
     present = set(df.columns)
     days = []
@@ -43,7 +45,8 @@ def wide_days_to_long(df: DataFrame, ids: Sequence[str], measures: Mapping[str,
     if not days:
         raise ValueError("no day columns with all measures")
     plain = [F.col(f"`{c}`") for c in ids]
-    return drop_missing(df.select(*plain, F.explode(F.array(*days)).alias("_day")).select(*plain, "_day.*"))
+    there = F.filter(F.array(*days), lambda d: reduce(lambda a, b: a & b, [d[new].isNotNull() for new in measures]))
+    return drop_missing(df.select(*plain, F.explode(there).alias("_day")).select(*plain, "_day.*"))
 
 
 def long_to_wide_days(df: DataFrame, ids: Sequence[str], day: str, measures: Mapping[str, str], days: Sequence[date]) -> DataFrame:

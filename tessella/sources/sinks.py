@@ -16,10 +16,12 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite", sep: str = ",",
 
 def write_month(df: DataFrame, path: str, month: str) -> None:
     """Add one month to a dataset; writing the same month again replaces it."""
-    (
-        df.withColumn("month", F.lit(month)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("month").parquet(path)
-    )
+    write_months(df.withColumn("month", F.lit(month)), path)
+
+
+def write_months(df: DataFrame, path: str) -> None:
+    """Add or replace all months that column ``month`` names, in one pass."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
 
 
 def fixed_decimals(df: DataFrame, decimals: int = 3, columns: Sequence[str] | None = None) -> DataFrame:
