@@ -16,6 +16,7 @@ name of a new one is replaced by it.
 from __future__ import annotations
 
 import heapq
+import math
 import re
 from array import array
 from collections.abc import Callable, Iterator
@@ -116,6 +117,7 @@ class PieceModel(PieceTable):
         self.scores = {p: sp.get_score(i) for p, i in self.ids.items()}
         self.begin, self.end = sp.bos_id(), sp.eos_id()
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.traces: dict[str, tuple[list[float], list[str], list[str]]] = {}
         self.choices: dict[str, dict[str | None, str]] = {}
         self.choice_count = 0
         self.chunks = Memory(self._chunk)
@@ -159,10 +161,12 @@ class PieceModel(PieceTable):
         sets = "|".join("[" + "".join(map(re.escape, sorted(cs))) + "]+" for cs in sorted(runs.values(), key=len, reverse=True))
         return re.compile(f"(?s){SPACE}*(?:{sets})|{SPACE}+|." if sets else f"(?s){SPACE}+|.")
 
-    def merge(self, text: str) -> list[str]:
-        """Merging itself: the best-scored neighbours first, the leftmost of equals."""
+    def merge(self, text: str, steps: list[tuple[float, str, str]] | None = None) -> list[str]:
+        """Merging itself: the best-scored neighbours first, the leftmost of equals. ``steps`` gets the
+        cost of every merge and the first and last part after it."""
         parts: list[str | None] = list(text)
         after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+        last = len(parts) - 1
         heap: list[tuple[float, int, str, str]] = []
 
         def offer(i: int, j: int) -> None:
@@ -172,23 +176,56 @@ class PieceModel(PieceTable):
         for i in range(len(parts) - 1):
             offer(i, i + 1)
         while heap:
-            _, i, left, right = heapq.heappop(heap)
+            cost, i, left, right = heapq.heappop(heap)
             if parts[i] != left or (j := after[i]) >= len(parts) or parts[j] != right:
                 continue
             parts[i], parts[j], after[i] = left + right, None, after[j]
             if after[j] < len(parts):
                 before[after[j]] = i
+            else:
+                last = i
+            if steps is not None:
+                steps.append((cost, parts[0], parts[last]))
             offer(before[i], i)
             offer(i, after[i])
         return [p for p in parts if p is not None]
 
+    def _trace(self, piece: str) -> tuple[list[float], list[str], list[str]]:
+        """How a piece comes about: the costs of its merges, and its first and last part before and after each."""
+        known = self.traces.get(piece)
+        if known is None:
+            steps: list[tuple[float, str, str]] = []
+            self.merge(piece, steps)
+            costs, firsts, lasts = zip(*steps) if steps else ((), (), ())
+            known = self.traces[piece] = [*costs, math.inf], [piece[:1], *firsts], [piece[-1:], *lasts]
+        return known
+
     def stays(self, left: str, right: str) -> bool:
-        """Whether two pieces side by side are what merging makes of their text."""
+        """Whether two pieces side by side are what merging makes of their text.
+
+        Both merge as they do alone, the cheaper step first and the left one of equals, until a step
+        across the border is the next.
+        """
         known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) > PAIR_LIMIT:
-                self.pairs.clear()
-            known = self.pairs[left, right] = self.merge(left + right) == [left, right]
+        if known is not None:
+            return known
+        (left_costs, _, lasts), (right_costs, firsts, _) = self._trace(left), self._trace(right)
+        i = j = 0
+        while True:
+            across = -self.scores.get(lasts[i] + firsts[j], -math.inf)
+            if left_costs[i] <= across and left_costs[i] <= right_costs[j]:
+                if left_costs[i] == math.inf:
+                    known = True
+                    break
+                i += 1
+            elif across <= right_costs[j]:
+                known = False
+                break
+            else:
+                j += 1
+        if len(self.pairs) > PAIR_LIMIT:
+            self.pairs.clear()
+        self.pairs[left, right] = known
         return known
 
     def _fitting(self, last: str, piece: str | None) -> str:
