@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessella.catalog import traffic
 from tessella.catalog.base import Tables, query
 from tessella.functions import columns as C
-from tessella.operators import reshape
+from tessella.operators import clean, reshape
 from tessella.plans import traffic as plan
 from tessella.sources import files, sinks
 
@@ -49,3 +49,48 @@ def json_report(t: Tables) -> DataFrame:
     path = t.new_folder("report-json")
     sinks.write_json_report(t.orders.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.max("o_totalprice").alias("top")), path)
     return t.spark.read.schema("o_orderpriority string, n bigint, top double").json(path)
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment FROM customer")
+def csv_header_scan(t: Tables) -> DataFrame:
+    """Written as CSV with a header, read as text."""
+    path = t.new_folder("customer-csv")
+    sinks.write_csv(t.customer.select("c_custkey", "c_name", "c_mktsegment"), path)
+    return files.read_header_csv(t.spark, path)
+
+
+@query("SELECT CAST(s_suppkey AS INTEGER) AS s_suppkey, s_name, s_acctbal FROM supplier")
+def csv_inferred_scan(t: Tables) -> DataFrame:
+    """Written as CSV with a header, types taken from the data."""
+    path = t.new_folder("supplier-csv")
+    sinks.write_csv(t.supplier.select("s_suppkey", "s_name", "s_acctbal"), path)
+    return files.read_inferred_csv(t.spark, path)
+
+
+LATIN_WORD = "^[A-Za-zÀ-ÖØ-öø-ÿ]+"
+
+
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, nullif(regexp_extract(text, '{LATIN_WORD}'), '') AS word FROM documents")
+def latin1_scan(t: Tables) -> DataFrame:
+    """First words of the documents written with semicolons in ISO-8859-1 and read again."""
+    path = t.new_folder("words-latin1")
+    rows = t.documents.select("doc_id", F.regexp_extract("text", LATIN_WORD, 0).alias("word"))
+    rows = rows.withColumn("word", F.when(F.col("word") != "", F.col("word")))
+    rows.write.option("header", True).option("sep", ";").option("encoding", "ISO-8859-1").option("nullValue", "_").csv(path)
+    return files.read_latin1_semicolon(t.spark, path)
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderpriority, o_orderstatus AS month FROM orders")
+def months_union(t: Tables) -> DataFrame:
+    """One ``~`` folder for each order status, read together with the status beside each row."""
+    paths = {status: t.new_folder(f"orders-{status}") for status in ("F", "O", "P")}
+    for status, path in paths.items():
+        sinks.write_csv(t.orders.where(F.col("o_orderstatus") == status).select("o_orderkey", "o_orderpriority"), path, sep="~", null="_")
+    return files.read_months(t.spark, paths)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_discount, l_tax, l_quantity / 100 AS ratio FROM lineitem")
+def columns_by_pattern(t: Tables) -> DataFrame:
+    """Keys, columns whose name fits a pattern and a percentage as a ratio, side by side."""
+    found = clean.columns_like(t.lineitem, "^l_(disc|tax)")
+    return clean.side_by_side(t.lineitem, ["l_orderkey", "l_linenumber"], found, [C.percent_to_ratio("l_quantity").alias("ratio")])
