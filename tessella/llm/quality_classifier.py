@@ -9,8 +9,8 @@ is computed exactly, block by block, and the ``neighbours`` nearest vote with a
 Defined results: a null text is an empty one; a text without terms, or one that is like no labelled
 document, gets the share of label 1 among the labelled sample, and so does everything if no label is
 known (then 0.5). Ties between neighbours are broken by the order of the sample, which is ordered by a
-hash of the id, then by id and label; labels of one id that differ count as separate rows, null labels
-are left out. Null ids have no label. Repeated rows are scored each; an empty table gives an empty one.
+hash of the id, then by id and label; labels of one id that differ count as separate rows, equal ones as
+one, null labels are left out. Null ids have no label. Repeated rows are scored each; an empty table gives an empty one.
 Other columns stay; ``score`` and ``predicted`` are replaced if they are there.
 """
 
@@ -104,7 +104,7 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarra
 def fit(docs: DataFrame, labels: DataFrame, label: str, doc_id: str = "doc_id", text: str = "text", max_labelled: int = 3000,
         dimensions: int = 64, neighbours: int = 15, power: float = 8.0, seed: int = 7) -> Model:
     """Learn from ``docs`` (term statistics: all of them) and ``labels`` (``doc_id`` and the 0/1 column
-    ``label``): the ``max_labelled`` documents whose ids have the smallest hashes."""
+    ``label``): the documents of the ``max_labelled`` ids with the smallest hashes."""
     df, n = document_frequencies(docs, text)
     idf = np.log((1 + n) / (1 + df)) + 1
 
@@ -113,10 +113,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, doc_id: str = "doc_id",
         pairs = [terms(t) for t in strings(texts)]
         return pa.StructArray.from_arrays([pa.array([a.astype(np.int32) for a, _ in pairs], pa.list_(pa.int32())), pa.array([c.astype(np.float32) for _, c in pairs], pa.list_(pa.float32()))], ["at", "counts"])
 
-    marks = labels.select(F.col(f"`{doc_id}`").cast("long").alias("_id"), F.col(f"`{label}`").cast("int").alias("_label")).dropna()
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("_id"), F.col(f"`{text}`").cast("string").alias("_text")).join(marks, "_id")
-    chosen = rows.orderBy(F.xxhash64("_id"), "_id", "_label", F.xxhash64("_text")).limit(max_labelled)
-    sample = chosen.select("_label", found("_text").alias("t")).select("_label", "t.at", "t.counts").collect()
+    marks = labels.select(F.col(f"`{doc_id}`").cast("long").alias("_id"), F.col(f"`{label}`").cast("int").alias("_label")).dropna().distinct()
+    # at most max_labelled ids are broadcast, so no text is shuffled to find their documents
+    chosen = F.broadcast(marks.orderBy(F.xxhash64("_id"), "_id", "_label").limit(max_labelled))
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("_id"), F.col(f"`{text}`").cast("string").alias("_text")).join(chosen, "_id")
+    rows = rows.select("_id", "_label", F.xxhash64("_text").alias("_hash"), found("_text").alias("t"))
+    rows = rows.orderBy(F.xxhash64("_id"), "_id", "_label", "_hash").limit(max_labelled)
+    sample = rows.select("_label", "t.at", "t.counts").collect()
     y = np.array([r["_label"] for r in sample], np.float32)
     x = _matrix([(np.array(r["at"], np.int64), np.array(r["counts"])) for r in sample], idf)
     random = np.random.default_rng(seed).standard_normal((WIDTH, dimensions + 16)).astype(np.float32)
