@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.catalog.base import Tables, query, rounded
-from tessella.operators import profile, rollup
+from tessella.operators import profile, rollup, vectors, words
 from tessella.operators.explain import stratified_split as split_by_class
 from tessella.operators.forecast import regression_metrics as errors
 from tessella.operators.vectors import standardize as scale
@@ -236,3 +237,23 @@ def regression_metrics(t: Tables) -> DataFrame:
     guess = t.lineitem.withColumn("guess", 2000 * F.col("l_quantity"))
     found = errors(guess, "l_extendedprice", "guess", ["l_returnflag"])
     return rounded(found.withColumn("mse", F.col("mse") / 1e6), ["rmse", "mse", "mae"])
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 50")
+def first_rows(t: Tables) -> DataFrame:
+    """The fifty cheapest orders."""
+    return rollup.first_rows(t.orders.select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"], 50)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity AS f0, l_discount AS f1, l_tax AS f2 FROM lineitem")
+def assembled_vectors(t: Tables) -> DataFrame:
+    rows = vectors.assemble(t.lineitem, ["l_quantity", "l_discount", "l_tax"])
+    values = vector_to_array("features")
+    return rows.select("l_orderkey", "l_linenumber", *[values[i].alias(f"f{i}") for i in range(3)])
+
+
+@query("SELECT vec_id, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS e_{i}" for i in range(64)) + " FROM embeddings")
+def spread_embeddings(t: Tables) -> DataFrame:
+    """Every component of the embeddings as a column."""
+    rows = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    return words.spread(rows, "embedding", 64, "e")

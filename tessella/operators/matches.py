@@ -16,6 +16,9 @@ from tessella.operators.series import event_kpi_shift
 SKY_WEIGHT = 0.25
 FULL_WEIGHT = 1.0
 OTHER_TEAM_WEIGHT = 0.05
+# Weight of a match by the hour it begins, and of a match at any other hour.
+HOUR_WEIGHTS = {21: 2.0, 18: 0.5}
+OTHER_HOUR_WEIGHT = 0.6
 
 
 def game_flag(home: str, away: str, channel: str, team: str) -> Column:
@@ -72,9 +75,10 @@ def match_kpi_with_rank(flags: Mapping[str, str], weights: Mapping[str, str]) ->
 
 
 def match_hour_weight(ts: str | Column) -> Column:
-    """2 for matches at 21, 0.5 at 18, 0.6 otherwise."""
+    """Weight of a match by the hour it begins."""
     ts = F.col(ts) if isinstance(ts, str) else ts
-    return F.when(F.hour(ts) == 21, 2.0).when(F.hour(ts) == 18, 0.5).otherwise(0.6)
+    weights = F.create_map(*[F.lit(x) for pair in HOUR_WEIGHTS.items() for x in pair])
+    return F.coalesce(F.try_element_at(weights, F.hour(ts)), F.lit(OTHER_HOUR_WEIGHT))
 
 
 def regional_kpi(

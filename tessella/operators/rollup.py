@@ -134,16 +134,6 @@ def centroids(df: DataFrame, group: str, columns: Sequence[str], encoded: str =
     return cells.groupBy(group).pivot("column", list(columns)).agg(F.first("value"))
 
 
-def joined_text(df: DataFrame, group: str, order: str, text: str, name: str = "Doc") -> DataFrame:
-    """All texts of a group as one, in a stated order.
-
-    Builds one value per group; for word statistics over large groups use ``words.top_words``,
-    which gives the same n-grams without building the text.
-    """
-    pieces = F.array_sort(F.collect_list(F.struct(F.col(order), F.col(text).alias("_t"))))
-    return df.where(F.col(text).isNotNull()).groupBy(group).agg(F.concat_ws(" ", pieces["_t"]).alias(name))
-
-
 def filter_funnel(df: DataFrame, steps: Mapping[str, Column], id_column: str) -> DataFrame:
     """Rows and distinct ids left after each of several filters applied in turn, in one scan."""
     flags, held = [], F.lit(True)

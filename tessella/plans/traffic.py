@@ -53,8 +53,8 @@ def device_days(weeks: DataFrame, measures: Mapping[str, str] = DOWN, keep: Sequ
 def province_buckets(days: DataFrame, provinces: DataFrame, kpi: DataFrame, value: str = "MAX_DS", day_type: str = "TIPO_GIORNO_DS") -> DataFrame:
     """Three-hour sums per province and day type with region and match indicator, the training table."""
     buckets = series.tumble(days, "DATA", ["PROVINCIA", day_type], [value, *FLAGS])
-    known = F.when(F.col(day_type) == "FER", 0).when(F.col(day_type) == "FES", 1)
-    buckets = buckets.withColumn(day_type, known)
+    codes = F.create_map(*[F.lit(x) for pair in DAY_TYPES.items() for x in pair])
+    buckets = buckets.withColumn(day_type, F.try_element_at(codes, F.col(day_type)))
     joined = left_enrich(left_enrich(buckets, provinces, ["PROVINCIA"]), kpi, ["REGIONE", "DATA"])
     return clean.fill_constant(joined, 0)
 

@@ -148,11 +148,17 @@ def test_block_borders(spark, monkeypatch):
     assert got == {f"w{i} w{i + 1} w{i + 2}" for i in range(38)}
 
 
+def joined_text(df, group, order, text, name="Doc"):
+    """All texts of a group as one, in a stated order; for small test data only."""
+    pieces = F.array_sort(F.collect_list(F.struct(F.col(order), F.col(text).alias("_t"))))
+    return df.where(F.col(text).isNotNull()).groupBy(group).agg(F.concat_ws(" ", pieces["_t"]).alias(name))
+
+
 def test_tfidf_equals_ml_stages(spark):
     rng = np.random.default_rng(5)
     rows = [(i, i % 4, " ".join(rng.choice(list("abcdef"), 12))) for i in range(40)]
     df = spark.createDataFrame(rows, "id int, g int, t string")
-    docs = rollup.joined_text(df, "g", "id", "t")
+    docs = joined_text(df, "g", "id", "t")
     model = Pipeline(stages=[
         Tokenizer(inputCol="Doc", outputCol="w"), NGram(n=2, inputCol="w", outputCol="n"),
         CountVectorizer(inputCol="n", outputCol="c", vocabSize=10000, minDF=2, maxDF=4 * 0.9), IDF(inputCol="c", outputCol="x"),
