@@ -92,7 +92,11 @@ def search_block(queries: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, own
             done[open_] = True
             evaluated += len(open_)
             if exact:
-                found = (x[open_] @ q[i]).astype(np.int64)
+                # where most rows are open, multiplying in place is cheaper than gathering them first
+                found = ((x @ q[i])[open_] if 4 * len(open_) > len(x) else x[open_] @ q[i]).astype(np.int64)
+                if len(found) > 4 * k:  # only what can be among the best is put in order
+                    fine = found >= np.partition(found, -k)[-k]
+                    open_, found = open_[fine], found[fine]
             else:
                 found = np.array([sum(a * b for a, b in zip(rows[j], queries[i])) for j in open_], object)
             place, score = np.concatenate([place, open_]), np.concatenate([score, found])
