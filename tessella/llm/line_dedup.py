@@ -285,8 +285,8 @@ def occurrences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = EDITS, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """The lines that go: ``doc_id, text_hash, line_no``, ``exact`` (equal to the line that stays),
-    ``first_doc`` and ``first_line`` (where that one is)."""
+    """The lines that go, once for all rows equal in id and text: ``doc_id, text_hash, line_no``, ``exact``
+    (equal to the line that stays), ``first_doc`` and ``first_line`` (where that one is)."""
     every = written(occurrences(docs, doc_id, text), "occurrences")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "line_no", "h2")
     lines = written(every.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.count("*").alias("n")), "distinct-lines")
@@ -301,7 +301,7 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", edits:
     return gone.select(
         "doc_id", "text_hash", "line_no", (F.col("h2") == F.col("first.h2")).alias("exact"),
         F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_line"),
-    )
+    ).distinct()
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = EDITS, min_bytes: int = MIN_BYTES) -> DataFrame:

@@ -167,6 +167,20 @@ def test_line_dedup(spark, messy):
     assert "_gone" in result.columns
 
 
+def test_repeated_row_that_loses_lines(spark):
+    import corpus_pipeline
+
+    said = [f"line {i} that is said before" for i in range(5)]
+    own = [f"words {chr(97 + i) * 30} of its own" for i in range(5)]
+    rows = [(1, "\n".join(said)), *[(2, "\n".join(said + own))] * 3, *[(None, "\n".join(said[:2] + ["one more"]))] * 2]
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = [(r["doc_id"], r["text"], r["n_lines"], r["n_exact"], r["n_near"]) for r in line_dedup.dedup(frame).collect()]
+    expected = [(1, rows[0][1], 5, 0, 0), *[(2, "\n".join(own), 10, 5, 0)] * 3, *[(None, "one more", 3, 2, 0)] * 2]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+    kept = [(r["doc_id"], r["text"], r["n_chars"]) for r in corpus_pipeline.lines(spark, frame, "").collect()]
+    assert sorted(kept, key=str) == sorted([(i, t, len(t)) for i, t, *_ in expected], key=str)
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(5)
     rows = [(i, rng.normal(size=8).tolist()) for i in range(300)]
