@@ -10,7 +10,8 @@ Defined results: a null text is an empty one; a text without terms, or one that
 document, gets the share of label 1 among the labelled sample, and so does everything if no label is
 known (then 0.5). Ties between neighbours are broken by the order of the sample, which is ordered by a
 hash of the id, then by id and label; labels of one id that differ count as separate rows, equal ones as
-one, null labels are left out. Null ids have no label. Repeated rows are scored each; an empty table gives an empty one.
+one, null labels are left out. Null ids have no label. Of the texts of one labelled id the one with the
+smallest hash is learnt from. Repeated rows are scored each; an empty table gives an empty one.
 Other columns stay; ``score`` and ``predicted`` are replaced if they are there.
 """
 
@@ -104,7 +105,8 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarra
 def fit(docs: DataFrame, labels: DataFrame, label: str, doc_id: str = "doc_id", text: str = "text", max_labelled: int = 3000,
         dimensions: int = 64, neighbours: int = 15, power: float = 8.0, seed: int = 7) -> Model:
     """Learn from ``docs`` (term statistics: all of them) and ``labels`` (``doc_id`` and the 0/1 column
-    ``label``): the documents of the ``max_labelled`` ids with the smallest hashes."""
+    ``label``): the documents of the ``max_labelled`` ids with the smallest hashes, one text for each id and
+    label however many rows have it."""
     df, n = document_frequencies(docs, text)
     idf = np.log((1 + n) / (1 + df)) + 1
 
@@ -117,8 +119,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, doc_id: str = "doc_id",
     # at most max_labelled ids are broadcast, so no text is shuffled to find their documents
     chosen = F.broadcast(marks.orderBy(F.xxhash64("_id"), "_id", "_label").limit(max_labelled))
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("_id"), F.col(f"`{text}`").cast("string").alias("_text")).join(chosen, "_id")
-    rows = rows.select("_id", "_label", F.xxhash64("_text").alias("_hash"), found("_text").alias("t"))
-    rows = rows.orderBy(F.xxhash64("_id"), "_id", "_label", "_hash").limit(max_labelled)
+    # tasks keep one text of each id before anything is shuffled, so an id that holds many rows takes one place
+    rows = rows.groupBy("_id", "_label").agg(F.min(F.struct(F.xxhash64("_text").alias("_hash"), "_text")).alias("one"))
+    rows = rows.select("_id", "_label", found("one._text").alias("t")).orderBy(F.xxhash64("_id"), "_id", "_label")
     sample = rows.select("_label", "t.at", "t.counts").collect()
     y = np.array([r["_label"] for r in sample], np.float32)
     x = _matrix([(np.array(r["at"], np.int64), np.array(r["counts"])) for r in sample], idf)

@@ -78,6 +78,17 @@ def test_scores_on_messy_rows(spark, messy, empty):
     assert quality_classifier.score(empty, quality_classifier.fit(empty, labels, "quality")).count() == 0
 
 
+def test_labelled_id_that_repeats(spark):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    once = [(i, " ".join(words[(i * k) % 10] for k in range(1, 30))) for i in range(8)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, quality int")
+    for repeats in ([(3, once[3][1])] * 3000, [(i, f"{once[i][1]} {n}") for n in range(2000) for i in (3, 5)]):
+        docs = spark.createDataFrame(once + repeats, "doc_id long, text string").repartition(4)
+        model = quality_classifier.fit(docs, labels, "quality", max_labelled=8)
+        assert sorted(model.labels.tolist()) == [0, 0, 0, 0, 1, 1, 1, 1]
+        assert model.prior == 0.5 and len(model.vectors) == 8
+
+
 def test_votes_equal_brute_force():
     rng = np.random.default_rng(3)
     texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps!!", "zeta|"], 30)) for _ in range(60)]
