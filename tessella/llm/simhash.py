@@ -38,18 +38,26 @@ PART_ROWS = 1 << 17  # fingerprints that one side of a subtree pair holds at mos
 PAIR_ROWS = 1 << 20  # node pairs held at a time while a level is walked
 
 
-def fingerprint_of(text: str, width: int = 3) -> int:
-    """SimHash of the ``width``-word shingles, as a signed 64-bit integer."""
+def shingle_hashes(text: str, width: int) -> np.ndarray:
+    """Hashes of the ``width``-word shingles in their order; a text with fewer words is one shingle."""
     words = text.encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     n = max(1, len(words) - width + 1)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])[:n]
     ends = ends[min(width, len(words)) - 1:]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist())), np.uint64, n)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist())), np.uint64, n)
+
+
+def fingerprint_of(text: str, width: int = 3) -> int:
+    """SimHash of the ``width``-word shingles, as a signed 64-bit integer."""
+    hashes = shingle_hashes(text, width)
+    n = len(hashes)
+    if not n:
+        return 0
     counts = np.zeros(BITS, np.int64)
     for i in range(0, n, 1 << 14):
         counts += np.unpackbits(hashes[i:i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -225,19 +233,31 @@ def near_duplicates(docs: DataFrame, budget: int = 3, doc_id: str = "doc_id", te
     return marked.join(classes, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
+def row_keys(docs: DataFrame, doc_id: str) -> list[Column]:
+    """``_id`` and ``_row``, a hash of all columns: what tells the rows of ``docs`` apart."""
+    return [F.col(f"`{doc_id}`").cast("long").alias("_id"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")]
+
+
+def first_row() -> Column:
+    """Of rows with ``row_keys`` the one that stays: smallest id (null last), then smallest hash."""
+    return F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row"))
+
+
+def staying(docs: DataFrame, named: DataFrame, doc_id: str) -> DataFrame:
+    """The rows of ``docs`` that are the smallest ``first`` of a ``root``, equal ones once."""
+    stay = written(named.groupBy("root").agg(F.min("first").alias("first")).select("first._id", "first._row"), "staying")
+    a, b = plain_name(docs, "_id"), plain_name(docs, "_row")
+    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *[c.alias(n) for c, n in zip(row_keys(docs, doc_id), (a, b))])
+    kept = rows.join(stay, rows[a].eqNullSafe(stay["_id"]) & (rows[b] == stay["_row"]), "left_semi")
+    return kept.dropDuplicates([a, b]).drop(a, b)
+
+
 def first_of_each(docs: DataFrame, budget: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component, with the columns of ``docs``: the row with the smallest id, and the
     smallest hash of all columns if several have it; where no row has an id, a null id counts as one.
     Rows equal in every column are one row."""
-    keys = [F.col(f"`{doc_id}`").cast("long").alias("_id"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")]
-    marked = docs.select(*[c.alias(n) for c, n in zip(keys, ("_id", "_row"))], _fingerprints(F.col(f"`{text}`").cast("string")).alias("fingerprint"))
-    marked = written(marked, "fingerprints")
-    distinct = written(marked.groupBy("fingerprint").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("first")), "distinct")
+    marked = written(docs.select(*row_keys(docs, doc_id), _fingerprints(F.col(f"`{text}`").cast("string")).alias("fingerprint")), "fingerprints")
+    distinct = written(marked.groupBy("fingerprint").agg(first_row().alias("first")), "distinct")
     found = written(links(distinct.select("fingerprint"), distinct.count(), budget), "links")
-    labels = components(found)
-    named = distinct.join(labels.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("label", "fingerprint"))
-    stay = written(named.groupBy("root").agg(F.min("first").alias("first")).select("first._id", "first._row"), "staying")
-    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *[c.alias(plain_name(docs, n)) for c, n in zip(keys, ("_id", "_row"))])
-    a, b = plain_name(docs, "_id"), plain_name(docs, "_row")
-    kept = rows.join(stay, rows[a].eqNullSafe(stay["_id"]) & (rows[b] == stay["_row"]), "left_semi")
-    return kept.dropDuplicates([a, b]).drop(a, b)
+    named = distinct.join(components(found).withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
+    return staying(docs, named.withColumn("root", F.coalesce("label", "fingerprint")), doc_id)
