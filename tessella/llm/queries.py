@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.catalog.base import Tables
-from tessella.llm import chat, line_dedup, packing, quality_classifier, quality_rules, sentencepiece_codec, simhash, token_files, tokens, topk_search, url_filter
-from tessella.llm.common import new_folder, written
+from tessella.llm import chat, line_dedup, packing, periodic, quality_classifier, quality_rules, sentencepiece_codec, simhash, token_files, tokens, topk_search, url_filter
+from tessella.llm.common import WORD, new_folder, written
 
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -162,3 +162,32 @@ def op3_url_filter(t: Tables) -> DataFrame:
     """Host, path, rule and verdict of every page's url."""
     words = url_filter.word_counts(t.pages, "html")
     return url_filter.judge(t.pages.select("page_id", "url"), URL_RULES, words).select("page_id", "host", "path", "rule", "verdict")
+
+
+def with_repeats(doc_id: str, text: str) -> tuple[Column, Column, Column]:
+    """Hash of the id, the words of the text, and those of ``_words`` as one text, repeated from one place on."""
+    h = F.crc32(F.col(doc_id).cast("string"))
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all(text, F.lit(f"({WORD})"))
+    n = F.size("_words")
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    word = lambda i: F.get("_words", F.when(i < a, i).otherwise(a + (i - a) % p))
+    return h, words, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), word), " ")
+
+
+@query
+def op13_periodic_runs(t: Tables) -> DataFrame:
+    """Periodic runs of every document, and the document without what they repeat."""
+    h, words, repeated = with_repeats("doc_id", "text")
+    docs = t.documents.select("doc_id", "text", F.when(h % 10 == 0, words).alias("_words"))
+    docs = docs.select("doc_id", F.when(F.size("_words") > 0, repeated).otherwise(F.col("text")).alias("text"))
+    found = periodic.collapse(docs)
+    longest = F.expr("array_min(transform(runs, r -> struct(-r.length, r.start, r.period)))")
+    listed = F.array_join(F.expr("transform(runs, r -> concat_ws(',', r.start, r.length, r.period) || '\n')"), "")
+    rows = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("l"), listed.alias("_listed"), "collapsed")
+    return rows.select(
+        "doc_id", "n_runs", F.col("l.start").alias("start"), (-F.col("l.col1")).alias("length"), F.col("l.period").alias("period"),
+        F.floor(1000 * -F.col("l.col1") / F.col("l.period")).alias("exponent_milli"),
+        F.sha2(F.col("_listed").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
