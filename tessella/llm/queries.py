@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.catalog.base import Tables
-from tessella.llm import chat, line_dedup, packing, periodic, quality_classifier, quality_rules, sentencepiece_codec, simhash, token_files, tokens, topk_search, url_filter
+from tessella.llm import chat, line_dedup, packing, periodic, quality_classifier, quality_rules, sentencepiece_codec, simhash, token_files, tokens, topk_search, url_filter, warc
 from tessella.llm.common import WORD, new_folder, written
 
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
@@ -191,3 +191,27 @@ def op13_periodic_runs(t: Tables) -> DataFrame:
         F.floor(1000 * -F.col("l.col1") / F.col("l.period")).alias("exponent_milli"),
         F.sha2(F.col("_listed").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
     )
+
+
+@query
+def op11_warc(t: Tables) -> DataFrame:
+    """Every page's record, written to a content-addressed archive and read back."""
+    path = new_folder(t.spark, "archive")
+    warc.write(t.pages, path)
+    found = warc.parsed(warc.records(t.spark, path))
+    return found.select(
+        warc.page_of("record_id").alias("page_id"), F.length("payload").cast("long").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
+        "record_type", warc.page_of("refers_to").alias("refers_to"), "target_uri",
+    )
+
+
+ORACLES["op11_warc"] = """
+    WITH p AS (SELECT page_id, url, encode(coalesce(html, '')) AS payload FROM pages),
+    d AS (SELECT page_id, url, octet_length(payload) AS payload_bytes, sha256(payload) AS payload_digest FROM p),
+    f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d)
+    SELECT page_id, payload_bytes, payload_digest,
+        CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to,
+        replace(replace(url, chr(13), '%0D'), chr(10), '%0A') AS target_uri
+    FROM f
+"""
