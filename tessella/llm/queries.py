@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.catalog.base import Tables
-from tessella.llm import chat, line_dedup, packing, periodic, quality_classifier, quality_rules, sentencepiece_codec, simhash, token_files, tokens, topk_search, url_filter, warc
+from tessella.llm import chat, line_dedup, packing, periodic, quality_classifier, quality_rules, sentencepiece_codec, simhash, token_files, tokens, topk_search, trie, url_filter, warc
 from tessella.llm.common import WORD, new_folder, written
 
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
@@ -215,3 +215,68 @@ ORACLES["op11_warc"] = """
         replace(replace(url, chr(13), '%0D'), chr(10), '%0A') AS target_uri
     FROM f
 """
+
+
+def borrowed() -> Column:
+    """How many turns a conversation takes from the first one of its twenty."""
+    return F.crc32(F.col("conv_id").cast("string")) % 4
+
+
+def rebuilt(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Turns and conversations, each with the first turns of another one before its own."""
+    sizes = written(placed.groupBy("conv_id").agg((F.max("pos") + 1).alias("n")), "sizes")
+    lent = sizes.select(F.col("conv_id").alias("base"), F.col("n").alias("n_base"))
+    base = F.col("conv_id") - F.col("conv_id") % 20
+    shape = sizes.withColumns({"h": borrowed(), "base": base}).join(lent, "base", "left")
+    shape = written(shape.withColumn("m", F.least("h", F.coalesce("n_base", F.lit(0)))).select("conv_id", "base", "h", "m", "n"), "shape")
+    heads = placed.where((F.col("pos") < 3) & (F.col("conv_id") % 20 == 0)).withColumnRenamed("conv_id", "base")
+    taken = shape.select("conv_id", "base", "m").join(heads, "base").where("pos < m").select("conv_id", "pos", "h1", "h2", "words")
+    moves = shape.select("conv_id", (F.col("m") - F.col("h")).alias("by"))
+    own = placed.where(F.col("pos") >= borrowed()).join(moves, "conv_id").select("conv_id", (F.col("pos") + F.col("by")).alias("pos"), "h1", "h2", "words")
+    convs = shape.select("conv_id", (F.col("m") + F.greatest(F.col("n") - F.col("h"), F.lit(0))).alias("n_turns"))
+    return written(taken.unionByName(own), "rebuilt"), convs
+
+
+@query
+def op12_prefix_trie(t: Tables) -> DataFrame:
+    """Nodes of the prefix trie of the rebuilt conversations."""
+    return trie.nodes(*rebuilt(trie.turns(t.conversations)))
+
+
+ORACLES["op12_prefix_trie"] = """
+    WITH own AS (
+        SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+            row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS pos
+        FROM conversations WHERE conv_id IS NOT NULL
+    ),
+    n AS (SELECT conv_id, count(*) AS n FROM own GROUP BY conv_id),
+    b AS (
+        SELECT conv_id, n, xor(4294967295, list_reduce(
+            list_prepend(4294967295::bigint, list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)::bigint)),
+            lambda c, x: list_reduce(list_prepend(xor(c, x), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda r, z: xor(r >> 1, (r & 1) * 3988292384))
+        )) % 4 AS h FROM n
+    ),
+    h AS (SELECT b.*, least(h, coalesce(n.n, 0)) AS m FROM b LEFT JOIN n ON n.conv_id = b.conv_id - b.conv_id % 20),
+    r AS (
+        SELECT h.conv_id, pos + 1 AS d, role, text FROM h JOIN own o ON o.conv_id = h.conv_id - h.conv_id % 20 AND pos < m
+        UNION ALL SELECT conv_id, pos - h + m + 1, role, text FROM own JOIN h USING (conv_id) WHERE pos >= h
+    ),
+    k AS (
+        SELECT conv_id, d, sha256(string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER (PARTITION BY conv_id ORDER BY d)) AS key,
+            len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words
+        FROM r UNION ALL SELECT conv_id, 0, '', 0 FROM h
+    ),
+    e AS (SELECT conv_id, max(d) AS ended FROM k GROUP BY conv_id),
+    g AS (
+        SELECT d, key, min(conv_id) AS rep, count(*) AS n, (count(*) - 1) * max(words) AS worth, string_agg(conv_id::varchar, ',' ORDER BY conv_id) FILTER (d = ended) AS ends
+        FROM k JOIN e USING (conv_id) GROUP BY d, key
+    ),
+    j AS (SELECT conv_id, d, key, rep FROM k JOIN g USING (d, key)),
+    p AS (SELECT g.*, j.rep AS parent, j.key AS parent_key FROM g LEFT JOIN j ON j.conv_id = g.rep AND j.d = g.d - 1),
+    c AS (SELECT d - 1 AS d, parent_key AS key, count(*) AS n_children FROM p WHERE d > 0 GROUP BY ALL),
+    v AS (SELECT p.*, coalesce(n_children, 0) AS n_children FROM p LEFT JOIN c USING (d, key)),
+    s AS (SELECT j.d, j.key, count(*) FILTER (n_children = 0) AS n_leaves, sum(worth) AS saved FROM j JOIN v ON v.rep = j.conv_id AND v.d >= j.d GROUP BY j.d, j.key)
+    SELECT rep AS conv_id, d::bigint AS depth, parent AS parent_conv_id, n::bigint AS n_convs, n_children::bigint AS n_children, n_leaves::bigint AS n_leaves,
+        saved::bigint AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+    FROM v JOIN s USING (d, key)
+"""
