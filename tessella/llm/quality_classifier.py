@@ -163,13 +163,14 @@ def _top(cosine: np.ndarray, k: int) -> np.ndarray:
 
 def score(docs: DataFrame, model: Model, text: str = "text", accept: float = 0.7) -> DataFrame:
     """Add ``score`` (0 to 1) and ``predicted`` (1 from ``accept`` on)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # plain arrays, which a worker reads without this package
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(model))
 
     @F.arrow_udf("double")
     def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             texts = strings(batch)
-            out = [votes(shared.value, [terms(t) for t in texts[i:i + BLOCK]]) for i in range(0, len(texts), BLOCK)]
+            out = [votes(Model(*shared.value), [terms(t) for t in texts[i:i + BLOCK]]) for i in range(0, len(texts), BLOCK)]
             yield pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
 
     return docs.withColumn("score", scores(F.col(f"`{text}`").cast("string"))).withColumn("predicted", (F.col("score") >= accept).cast("int"))

@@ -79,7 +79,7 @@ def op2_simhash(t: Tables) -> DataFrame:
 
 
 def held_out() -> Column:
-    return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
 def quality_model(docs: DataFrame, labels: DataFrame) -> quality_classifier.Model:

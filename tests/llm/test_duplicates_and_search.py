@@ -75,36 +75,16 @@ def test_near_duplicates(spark, messy, part_rows, monkeypatch):
     assert sorted(r["doc_id"] for r in stay if r["doc_id"] is not None) == sorted(smallest.values())
 
 
-def test_near_duplicate_stage_by_similarity(spark, messy):
+def test_near_duplicate_stage(spark, messy):
     import corpus_pipeline
-    from tessella.llm import similar
-
-    def shingles(text):
-        words = (text or "").translate({i: i + 32 for i in range(65, 91)}).encode().split()
-        return {b" ".join(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
     random.seed(8)
-    rows = [(r["doc_id"], r["text"]) for r in messy.collect()]
-    for group in range(30):
-        base = [f"w{random.randrange(3000)}" for _ in range(random.randint(60, 300))]
-        for i in range(6):
-            words = list(base)
-            for _ in range(int(len(base) * i * 0.005) + (i > 0)):
-                words[random.randrange(len(words))] = f"w{random.randrange(3000)}"
-            rows.append((100 + 6 * group + i, " ".join(words)))
-    sets = [shingles(t) for _, t in rows]
-    links = [(i, j) for i in range(len(rows)) for j in range(i) if not sets[i] | sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
-    up = classes(range(len(rows)), links)
-    smallest = {}
-    for i, (doc, _) in enumerate(rows):
-        if doc is not None:
-            smallest[up[i]] = min(doc, smallest.get(up[i], doc))
-    frame = spark.createDataFrame([(a, b, 1) for a, b in rows], "doc_id long, text string, x int").repartition(5)
-    stay = corpus_pipeline.near_duplicates(spark, frame, "").collect()
-    assert 60 < len(links) and 40 < len(set(up.values())) < 180
-    assert len(stay) == len(set(up.values())) and stay[0].__fields__ == frame.columns
-    assert sorted(r["doc_id"] for r in stay if r["doc_id"] is not None) == sorted(smallest.values())
-    assert similar.first_of_similar(frame.limit(0)).count() == 0
+    clash = messy.selectExpr("doc_id", "text", "1 AS _id", "2 AS _row", "3 AS node", "4 AS first", "5 AS label", "6 AS fingerprint")
+    stay = corpus_pipeline.near_duplicates(spark, clash, "").collect()
+    prints = [plain_fingerprint(r["text"]) for r in messy.collect()]
+    up = classes(range(len(prints)), [(i, j) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 3])
+    assert len(stay) == len(set(up.values())) and stay[0].__fields__ == clash.columns
+    assert corpus_pipeline.near_duplicates(spark, clash.limit(0), "").count() == 0
 
 
 def test_no_rows(spark, empty):
