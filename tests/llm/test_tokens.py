@@ -1,6 +1,7 @@
 """Codec, token files and packing against the libraries themselves."""
 
 import hashlib
+import json
 import random
 import zlib
 from array import array
@@ -73,14 +74,40 @@ def test_codec_on_messy_rows(spark, messy, empty, library):
 @pytest.mark.parametrize("make, file", [(tokens.word_encoder, "word_bpe_49k.json"), (tokens.byte_encoder, "byte_bpe_50k.json")])
 def test_part_encoder_equals_library(make, file, messy):
     tokenizer = Tokenizer.from_file(public_tokenizers.path(file))
-    tokenizer.encode_special_tokens = True
     random.seed(7)
-    alphabet = ["a", "B", "word", "é", ",", ".", " ", "  ", "\n", " \n", " ", " ", "\x1c", "'s", "12", "日", "Σ", "!", "\t", "é"]
+    alphabet = ["a", "B", "word", "é", ",", ".", " ", "  ", "\n", " \n", " ", " ", "\x1c", "'s", "12", "日", "Σ", "!", "\t", "é", "\v", "“", "’s", "<|endoftext|>", "<|", "½"]
     texts = ["".join(random.choice(alphabet) for _ in range(random.randint(0, 25))) for _ in range(1500)] + [r["text"] or "" for r in messy.collect()]
     encoder = make("test " + file, model_text(file))
     for i in range(0, len(texts), 100):
         part = texts[i:i + 100]
         assert encoder.encode(part) == [raw(tokenizer.encode(t, add_special_tokens=False).ids) for t in part]
+    plain = ["a", "Word", "é", ",", " ", "  ", "\n", "\t", "'s", "'S", "12", "!", "“", "—", "x" * 700, " " * 40, "don't", "<|endoftext|>"]
+    texts = ["".join(random.choice(plain) for _ in range(random.randint(0, 25))) for _ in range(1500)] + ["<|ENDOFTEXT|> <|startoftext|>x", " ", "\n \n"]
+    assert encoder.encode(texts) == [raw(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+def test_special_tokens_as_text():
+    for kind, file in ((tokens.PartEncoder, "word_bpe_49k.json"), (tokens.ByteEncoder, "byte_bpe_50k.json")):
+        tokenizer = Tokenizer.from_file(public_tokenizers.path(file))
+        tokenizer.encode_special_tokens = True
+        more = (tokens.words_of, "", "", "</w>") if kind is tokens.PartEncoder else ()
+        encoder = kind("as text " + file, model_text(file), *more, special_is_text=True)
+        assert encoder.encode(["a <|endoftext|> b"]) == [raw(tokenizer.encode("a <|endoftext|> b", add_special_tokens=False).ids)]
+
+
+def test_merging_needs_ids_in_order():
+    said = json.loads(model_text("byte_bpe_50k.json"))
+    assert tokens._merger(json.dumps(said)) is not None
+    said["model"]["merges"] = said["model"]["merges"][::-1]
+    assert tokens._merger(json.dumps(said)) is None
+
+
+@pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_documents_encode_as_the_library_does(spark, file):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(file))
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    encoder = (tokens.word_encoder if file[0] == "w" else tokens.byte_encoder)("documents " + file, model_text(file))
+    assert encoder.encode(texts) == [raw(x.ids) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def test_directly_addressable_codes():
@@ -97,7 +124,6 @@ def test_directly_addressable_codes():
 
 def test_token_files_on_messy_rows(spark, messy, empty):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     text = model_text("word_bpe_49k.json")
 
     def run(df):
@@ -136,7 +162,6 @@ def test_patterns_place_everything():
 
 def test_packing_on_messy_rows(messy, empty):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     rows = packed(messy, 64).collect()
     expected, got = defaultdict(int), defaultdict(int)
     for r in messy.collect():
