@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessella.catalog.base import Tables, query, rounded
 from tessella.functions import columns as C
-from tessella.operators import clean, matches, reshape, rollup, series
+from tessella.operators import clean, matches, reshape, rollup, scan, series
 from tessella.plans import traffic as plan
 from tessella.sources import literals
 
@@ -277,6 +277,23 @@ def chronological_split(t: Tables) -> DataFrame:
     return series.chronological_split(regular_grid(t), "ts", "user_id")
 
 
+# a third of the users are one series, which no task may hold as a whole
+SKEWED = "SELECT CASE WHEN user_id % 3 = 0 THEN -1 ELSE user_id END AS series, event_id, ts, value, CASE WHEN value > 100 THEN event_type END AS kind FROM events"
+
+
+@query(f"""
+    SELECT series, event_id, last_value(kind IGNORE NULLS) OVER o AS kind, coalesce(lead(value) OVER o, 0) AS pred, row_number() OVER o - 1 AS position,
+           coalesce(lag(value, 1) OVER o, 0) AS lag_1, coalesce(lag(value, 2) OVER o, 0) AS lag_2
+    FROM (SELECT * FROM ({SKEWED})) WINDOW o AS (PARTITION BY series ORDER BY ts, event_id)""")
+def skewed_series(t: Tables) -> DataFrame:
+    """Last known kind, next value, place and lags of every event in its series, one of which has a third of all events."""
+    key = F.when(F.col("user_id") % 3 == 0, F.lit(-1).cast("long")).otherwise(F.col("user_id"))
+    rows = t.events.select(key.alias("series"), "event_id", "ts", "value", F.when(F.col("value") > 100, F.col("event_type")).alias("kind"))
+    found = scan.carried(rows, ["series"], ["ts", "event_id"], scan.last_known(["kind"]), scan.next_row(["value"]), scan.position())
+    found = found.select("*", F.coalesce(F.col("next.value"), F.lit(0.0)).alias("pred"))
+    return scan.lags(found, "value", ["series"], ["ts", "event_id"], 2, 0.0).select("series", "event_id", "kind", "pred", "position", "lag_1", "lag_2")
+
+
 @query("SELECT user_id, event_id, ts + INTERVAL 3 HOUR AS ts FROM events")
 def prediction_time_shift(t: Tables) -> DataFrame:
     return series.shift_time(t.events.select("user_id", "event_id", "ts"), "ts")

@@ -1,7 +1,7 @@
 """Fixed time windows, regular grids, gap filling, lead targets, splits.
 
-Rows are merged to one per series and bucket first. Window functions then see at most
-(time span / bucket width) rows per series, however many events the series had.
+Rows are merged to one per series and bucket first. What is carried along a series (the next bucket, the
+last known value, a row's place) goes through ``scan``, so a series may hold any share of the rows.
 """
 
 from __future__ import annotations
@@ -10,9 +10,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessella.functions.columns import bucket_start, drop_missing
+from tessella.operators.scan import carried, lags as lagged, last_known, next_row, numbered, with_totals
 
 WIDTH = "3 hours"
 
@@ -54,36 +54,38 @@ def on_grid(df: DataFrame, ts: str, keys: Sequence[str], width: str = WIDTH) ->
     Each row is followed by the empty buckets up to the next one, so the series is read once and no
     join is needed. Expects one row per series and bucket.
     """
-    step = F.expr(f"interval {width}")
-    following = F.lead(ts).over(Window.partitionBy(*keys).orderBy(ts))
-    last = F.coalesce(F.greatest(F.col("_next") - step, F.col(ts)), F.col(ts))
-    slots = df.withColumn("_next", following).select("*", F.posexplode(F.sequence(F.col(ts), last, step)).alias("_gap", "_slot"))
+    rows = carried(df, keys, [ts], next_row([ts], "_next"))
     values = [c for c in df.columns if c not in (*keys, ts)]
+    slots = _slots(rows, ts, F.col("_next")[ts], width)
     return slots.select(*keys, F.col("_slot").alias(ts), *[F.when(F.col("_gap") == 0, F.col(c)).alias(c) for c in values])
 
 
+def _slots(rows: DataFrame, ts: str, following: Column, width: str) -> DataFrame:
+    """Each row once for its own bucket (``_gap`` 0) and once for each empty one behind it: ``_slot``."""
+    step = F.expr(f"interval {width}")
+    last = F.coalesce(F.greatest(following - step, F.col(ts)), F.col(ts))
+    return rows.select("*", F.posexplode(F.sequence(F.col(ts), last, step)).alias("_gap", "_slot"))
+
+
 def forward_fill(df: DataFrame, columns: Sequence[str], keys: Sequence[str], order: str) -> DataFrame:
     """Nulls take the last value before them in their series."""
-    past = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({c: F.last(c, ignorenulls=True).over(past) for c in columns})
+    return carried(df, keys, [order], last_known(columns))
 
 
 def lead_target(df: DataFrame, value: str, keys: Sequence[str], order: str, name: str = "PRED") -> DataFrame:
     """The next value of the series as target; 0 for the last row."""
-    following = Window.partitionBy(*keys).orderBy(order)
-    return df.withColumn(name, F.coalesce(F.lead(value, 1).over(following), F.lit(0.0)))
+    rows = carried(df, keys, [order], next_row([value], "_next"))
+    return rows.withColumn(name, F.coalesce(F.col("_next")[value], F.lit(0.0))).drop("_next")
 
 
 def min_max_scale(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """Scale to 0 … 1 within each series; a constant column becomes 0."""
-    series = Window.partitionBy(*keys)
-    scaled = {}
-    for c in columns:
-        low, high = F.min(c).over(series), F.max(c).over(series)
-        scaled[c] = F.when(high > low, (F.col(c) - low) / (high - low)).otherwise(
-            F.when(F.col(c).isNotNull(), F.lit(0.0))
-        )
-    return df.withColumns(scaled)
+    ends = {f"_{end}_{i}": f(c) for i, c in enumerate(columns) for end, f in (("low", F.min), ("high", F.max))}
+    rows, scaled = with_totals(df, keys, ends), {}
+    for i, c in enumerate(columns):
+        low, high = F.col(f"_low_{i}"), F.col(f"_high_{i}")
+        scaled[c] = F.when(high > low, (F.col(c) - low) / (high - low)).otherwise(F.when(F.col(c).isNotNull(), F.lit(0.0)))
+    return rows.withColumns(scaled).select(*df.columns)
 
 
 def one_row_per_bucket(df: DataFrame, ts: str, key: str, sums: Sequence[str], maxima: Sequence[str]) -> DataFrame:
@@ -108,14 +110,14 @@ def series_for_key(
     value of the first measure as target, everything scaled to 0 … 1 per series.
     """
     merged = one_row_per_bucket(df, ts, key, sums, [*state, *event])
-    full = on_grid(merged, ts, [key], width)
-    full = full.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in (*sums, *event)})
-    if state:
-        full = forward_fill(full, state, [key], ts)
-    columns = [*sums, *state, *event]
-    if target:
-        full = lead_target(full, sums[0], [key], ts, target)
-        columns.append(target)
+    merged = merged.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in (*sums, *event)})
+    rows = carried(merged, [key], [ts], next_row([ts, sums[0]], "_next"), last_known(state))
+    slots = _slots(rows, ts, F.col("_next")[ts], width)
+    here = [F.when(F.col("_gap") == 0, F.col(c)).otherwise(0.0).alias(c) for c in (*sums, *event)]
+    follows = F.col("_slot") + F.expr(f"interval {width}") == F.col("_next")[ts]
+    pred = [F.when(follows, F.col("_next")[sums[0]]).otherwise(0.0).alias(target)] if target else []
+    full = slots.select(key, F.col("_slot").alias(ts), *here, *state, *pred).select(key, ts, *sums, *state, *event, *([target] if target else []))
+    columns = [*sums, *state, *event, *([target] if target else [])]
     return min_max_scale(full, columns, [key]) if scale else full
 
 
@@ -125,12 +127,11 @@ def chronological_split(df: DataFrame, ts: str, key: str, train_share: float = 0
     The cut is ``int(days * per_day * train_share)`` rows; of these the first
     ``int(cut * fit_share)`` train and the rest validate.
     """
-    series = Window.partitionBy(key)
-    position = F.row_number().over(series.orderBy(ts)) - 1
-    days = F.datediff(F.max(F.col(ts).cast("date")).over(series), F.min(F.col(ts).cast("date")).over(series))
-    placed = df.withColumn("_at", position).withColumn("_cut", F.floor(days * F.lit(per_day) * F.lit(train_share)))
+    day = F.col(ts).cast("date")
+    placed = numbered(with_totals(df, [key], {"_days": F.datediff(F.max(day), F.min(day))}), [key], [ts], "_at")
+    placed = placed.withColumn("_cut", F.floor(F.col("_days") * F.lit(per_day) * F.lit(train_share)))
     part = F.when(F.col("_at") < F.floor(F.col("_cut") * F.lit(fit_share)), "train").when(F.col("_at") < F.col("_cut"), "val").otherwise("test")
-    return placed.withColumn("split", part).drop("_at", "_cut")
+    return placed.withColumn("split", part).drop("_at", "_cut", "_days")
 
 
 def shift_time(df: DataFrame, ts: str, by: str = "3 hours") -> DataFrame:
@@ -154,8 +155,7 @@ def weeks_wide(df: DataFrame, keys: Sequence[str], weeks: Sequence, value: str)
 
 def lag_features(df: DataFrame, value: str, keys: Sequence[str], order: str, lags: int = 8) -> DataFrame:
     """``lag_1 … lag_n`` of a value within its series, 0 before its start."""
-    past = Window.partitionBy(*keys).orderBy(order)
-    return df.withColumns({f"lag_{i}": F.coalesce(F.lag(value, i).over(past), F.lit(0.0)) for i in range(1, lags + 1)})
+    return lagged(df, value, keys, [order], lags, 0.0)
 
 
 def event_kpi_shift(df: DataFrame, ts: str, keys: Sequence[str], value: str, width: str = WIDTH) -> DataFrame:
