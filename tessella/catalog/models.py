@@ -82,7 +82,7 @@ def silhouette_sweep(t: Tables) -> DataFrame:
     return clusters.silhouette_sweep(points, range(2, 20, 2))
 
 
-# value and time of day of an event as a point: hours and tens
+# balance in hundreds and nation of a customer as a point
 POINTS = "SELECT c_custkey AS id, c_acctbal / 100 AS x, c_nationkey AS y FROM customer"
 
 
@@ -119,6 +119,27 @@ def dbscan(t: Tables) -> DataFrame:
     return density.dbscan(points, ["x", "y"], "id", eps=1.2, min_samples=5)
 
 
+WIDE, NEAR_SQUARED = 25, 0.34
+WIDE_POINTS = f"SELECT vec_id AS id, embedding[1:{WIDE}]::DOUBLE[] AS x FROM embeddings"
+
+
+@query(f"""
+    WITH RECURSIVE p AS ({WIDE_POINTS}),
+    near AS (SELECT a.id AS id, b.id AS other FROM p a JOIN p b ON list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) <= {NEAR_SQUARED}),
+    core AS (SELECT id FROM near GROUP BY id HAVING count(*) >= 5),
+    link AS (SELECT * FROM near WHERE id IN (SELECT id FROM core) AND other IN (SELECT id FROM core)),
+    reach(id, root) AS (SELECT id, id FROM core UNION SELECT link.other, reach.root FROM reach JOIN link ON link.id = reach.id),
+    named AS (SELECT id, min(root) AS cluster FROM reach GROUP BY id),
+    touched AS (SELECT near.id, min(cluster) AS cluster FROM near JOIN named ON named.id = near.other GROUP BY near.id)
+    SELECT p.id, CASE WHEN named.id IS NOT NULL THEN 'core' WHEN touched.id IS NOT NULL THEN 'border' ELSE 'noise' END AS kind,
+        coalesce(named.cluster, touched.cluster, -1) AS cluster
+    FROM p LEFT JOIN named ON named.id = p.id LEFT JOIN touched ON touched.id = p.id""")
+def dbscan_wide(t: Tables) -> DataFrame:
+    """Kind and cluster of every vector by twenty-five of its columns."""
+    rows = t.embeddings.select(F.col("vec_id").alias("id"), *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(WIDE)])
+    return density.dbscan(rows, [f"x{i}" for i in range(WIDE)], "id", eps=NEAR_SQUARED ** 0.5, min_samples=5).select("id", "kind", "cluster")
+
+
 @query()
 def isolation_forest(t: Tables) -> DataFrame:
     rows = t.lineitem.groupBy("l_orderkey").agg(

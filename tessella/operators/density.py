@@ -1,6 +1,6 @@
-"""DBSCAN for one to three dimensions as Spark jobs on a grid.
+"""DBSCAN as Spark jobs: on a grid for one to three dimensions, on balls around pivots for more.
 
-Cells have side eps / sqrt(d), so two points of a cell are always neighbours. That removes the pairs
+Cells of the grid have side eps / sqrt(d), so two points of a cell are always neighbours. That removes the pairs
 inside a cell, however full it is:
 
 * all points of a cell with at least ``min_samples`` points are core points;
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.columns import drop_missing
 from tessella.functions.sizing import small_table
+from tessella.operators import balls
 from tessella.session import cut
 
 HOT_ROWS = 100_000
@@ -162,8 +163,10 @@ def dbscan(df: DataFrame, features: Sequence[str], id_column: str, eps: float, m
     to several clusters joins the one with the smallest name. Ids must be unique integers.
     """
     d = len(features)
-    if not 1 <= d <= 3:
-        raise ValueError("one to three features; project more on principal components first")
+    if not d:
+        raise ValueError("one feature at least")
+    if d > 3:
+        return _in_many_dimensions(df, features, id_column, eps, min_samples)
     xs = [f"x{i}" for i in range(d)]
     side = eps / math.sqrt(d) * SHRINK
     points = df.select(F.col(id_column).alias("_id"), *[F.col(f"`{c}`").cast("double").alias(x) for c, x in zip(features, xs)])
@@ -198,3 +201,13 @@ def dbscan(df: DataFrame, features: Sequence[str], id_column: str, eps: float, m
     )
     marks = core_rows.unionByName(rest).withColumnRenamed("_id", id_column)
     return df.join(marks, id_column, "left")
+
+
+def _in_many_dimensions(df: DataFrame, features: Sequence[str], id_column: str, eps: float, min_samples: int) -> DataFrame:
+    """Equal points become one with a weight, named by their smallest id, and are marked alike."""
+    vector = F.array(*[F.col(f"`{c}`").cast("double") + F.lit(0.0) for c in features])  # -0.0 is 0.0
+    points = df.select(F.col(id_column).alias("_id"), vector.alias("_x")).where(F.forall("_x", lambda v: v.isNotNull() & ~F.isnan(v)))
+    distinct = cut(points.groupBy(F.col("_x").alias("x")).agg(F.min("_id").alias("node"), F.count("*").alias("weight")))
+    marks = balls.dbscan_points(distinct, len(features), eps, min_samples)
+    by_point = distinct.join(marks, "node").select(F.col("x").alias("_x"), "kind", "cluster")
+    return df.join(points.join(by_point, "_x").select(F.col("_id").alias(id_column), "kind", "cluster"), id_column, "left")
