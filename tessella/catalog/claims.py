@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.catalog.base import Tables, longs, query, rounded
@@ -276,6 +276,10 @@ def centroids(t: Tables) -> DataFrame:
     return rounded(joins.dictionary_rejoin(found, coded, {"priority_encoded": "priority"}), ["price"])
 
 
+def funnel_steps() -> dict[str, Column]:
+    return {"returned": F.col("l_returnflag") == "R", "large": F.col("l_quantity") >= 25, "discounted": F.col("l_discount") > 0.05}
+
+
 @query(f"""
     WITH lines AS (SELECT l_orderkey AS id, l_returnflag = 'R' AS a, l_quantity >= 25 AS b, l_discount > 0.05 AS c FROM lineitem)
     SELECT 0 AS step, 'all' AS name, count(*) AS rows, count(DISTINCT id) AS ids FROM lines
@@ -283,8 +287,18 @@ def centroids(t: Tables) -> DataFrame:
     UNION ALL SELECT 2, 'large', count(*), count(DISTINCT id) FROM lines WHERE a AND b
     UNION ALL SELECT 3, 'discounted', count(*), count(DISTINCT id) FROM lines WHERE a AND b AND c""")
 def filter_funnel(t: Tables) -> DataFrame:
-    steps = {"returned": F.col("l_returnflag") == "R", "large": F.col("l_quantity") >= 25, "discounted": F.col("l_discount") > 0.05}
-    return rollup.filter_funnel(t.lineitem, steps, "l_orderkey")
+    return rollup.filter_funnel(t.lineitem, funnel_steps(), "l_orderkey")
+
+
+@query("""
+    WITH lines AS (SELECT l_returnflag = 'R' AS a, l_quantity >= 25 AS b, l_discount > 0.05 AS c FROM lineitem)
+    SELECT 0 AS step, 'all' AS name, count(*) AS rows FROM lines UNION ALL SELECT 1, 'returned', count(*) FROM lines WHERE a
+    UNION ALL SELECT 2, 'large', count(*) FROM lines WHERE a AND b UNION ALL SELECT 3, 'discounted', count(*) FROM lines WHERE a AND b AND c""")
+def observed_funnel(t: Tables) -> DataFrame:
+    """Rows left after each filter, as counted by the job that writes the filtered lines."""
+    left, counts = rollup.observed_funnel(t.lineitem, funnel_steps())
+    left.write.parquet(t.new_folder("discounted-lines"))
+    return t.spark.createDataFrame(counts(), "step int, name string, rows long")
 
 
 @query("""

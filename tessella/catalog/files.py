@@ -94,3 +94,13 @@ def columns_by_pattern(t: Tables) -> DataFrame:
     """Keys, columns whose name fits a pattern and a percentage as a ratio, side by side."""
     found = clean.columns_like(t.lineitem, "^l_(disc|tax)")
     return clean.side_by_side(t.lineitem, ["l_orderkey", "l_linenumber"], found, [C.percent_to_ratio("l_quantity").alias("ratio")])
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderpriority AS note FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 5 <> 0")
+def tilde_long_lines(t: Tables) -> DataFrame:
+    """Lines with one empty field too many, or several, are left out of a ``~`` folder."""
+    path = t.new_folder("orders-long")
+    key = F.col("o_orderkey")
+    note = F.when(key % 7 == 0, F.concat("o_orderpriority", F.lit("~"))).when(key % 5 == 0, F.lit("a~b~_~")).otherwise(F.col("o_orderpriority"))
+    t.orders.select("o_orderkey", note.alias("note")).write.option("header", True).option("sep", "~").option("quote", "\u0000").csv(path)
+    return files.read_tilde_folder(t.spark, path)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessella.catalog.base import Tables, query, rounded
 from tessella.functions import columns as C
-from tessella.operators import clean, matches, reshape, rollup, scan, series
+from tessella.operators import clean, joins, matches, reshape, rollup, scan, series, streams
 from tessella.plans import traffic as plan
 from tessella.sources import literals
 
@@ -196,6 +196,17 @@ def tumble_3h(t: Tables) -> DataFrame:
     return rounded(series.tumble(rows, "ts", ["event_type", "day_type"], ["value", "over"], count="n"), ["value"])
 
 
+@query(f"""
+    SELECT time_bucket(INTERVAL '3 hours', ts) AS ts, event_type, {DAY_TYPE % 'ts'} AS day_type, round(sum(value), 4) AS value, count(*) AS n
+    FROM events GROUP BY ALL""")
+def tumble_3h_stream(t: Tables) -> DataFrame:
+    """The events as a stream of files through three-hour windows, until all are closed."""
+    stream = t.spark.readStream.schema(t.events.schema).parquet(f"{t.folder}/events.parquet*")
+    rows = stream.select("ts", "event_type", day_type("ts").alias("day_type"), "value")
+    closed, _ = streams.tumbled(rows, "ts", ["event_type", "day_type"], ["value"], t.new_folder("stream"), count="n")
+    return rounded(closed, ["value"])
+
+
 GRID = """
     WITH m AS (SELECT user_id, time_bucket(INTERVAL '3 hours', ts) AS ts, round(sum(value), 4) AS value, avg(value) AS mean, max(event_type) AS kind FROM events GROUP BY 1, 2),
     g AS (SELECT user_id, unnest(generate_series(min(ts), max(ts), INTERVAL '3 hours')) AS ts FROM m GROUP BY 1)"""
@@ -294,6 +305,25 @@ def skewed_series(t: Tables) -> DataFrame:
     return scan.lags(found, "value", ["series"], ["ts", "event_id"], 2, 0.0).select("series", "event_id", "kind", "pred", "position", "lag_1", "lag_2")
 
 
+SPANS = """SELECT user_id % 40 AS device, event_id AS span_id, ts AS since, ts + to_seconds((event_id % 3000) * (event_id % 3000)) AS until
+           FROM events WHERE event_type = 'view'"""
+
+
+@query(f"""
+    WITH s AS ({SPANS})
+    SELECT e.event_id, arg_min(s.span_id, (s.since, s.until, s.span_id)) AS span_id
+    FROM events e LEFT JOIN s ON s.device = e.user_id % 40 AND e.ts BETWEEN s.since AND s.until GROUP BY e.event_id""")
+def interval_at_time(t: Tables) -> DataFrame:
+    """Every event with the earliest open view of its device; views stay open for seconds to a hundred days."""
+    number = F.col("event_id") % 3000
+    views = t.events.where("event_type = 'view'").select(
+        (F.col("user_id") % 40).alias("device"), F.col("event_id").alias("span_id"), F.col("ts").alias("since"),
+        (F.col("ts") + F.make_dt_interval(secs=(number * number).cast("decimal(18,6)"))).alias("until"),
+    )
+    moments = t.events.select("event_id", (F.col("user_id") % 40).alias("device"), "ts")
+    return joins.interval_at(moments, "ts", views, "since", "until", ["device"], ["span_id"]).select("event_id", "span_id")
+
+
 @query("SELECT user_id, event_id, ts + INTERVAL 3 HOUR AS ts FROM events")
 def prediction_time_shift(t: Tables) -> DataFrame:
     return series.shift_time(t.events.select("user_id", "event_id", "ts"), "ts")

@@ -24,6 +24,16 @@ def small_table(df: DataFrame, max_rows: int = SMALL_ROWS) -> tuple[DataFrame, b
     return cut(df), False
 
 
+def spread_out(df: DataFrame) -> DataFrame:
+    """``df`` dealt evenly over the cores where it has fewer partitions than those, for costly row-wise work.
+
+    A file of one row group is one task however many cores wait; on a large table the partitions are
+    many and nothing is moved. Rows and their values stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def attach(df: DataFrame, table: DataFrame, keys: Sequence[str], fits: bool) -> DataFrame:
     """Add the columns of ``table`` to the rows of ``df`` with the same keys.
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.functions.sizing import small_table
+from tessella.operators.scan import carried, largest_before, last_known
 
 
 def inner_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -80,6 +81,36 @@ def interval_lookup(
     return df.withColumn("_day", day.cast("date")).join(daily, [*on, "_day"], "left").drop("_day")
 
 
+def interval_at(df: DataFrame, ts: str, intervals: DataFrame, start: str, end: str, on: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Left join with the interval that contains a moment, both ends included; of several the earliest start
+    wins, then the earliest end.
+
+    Intervals of a key are read in the order of their start. An instant up to the latest end before is taken
+    already, so each interval wins on what lies beyond that: the winners are disjoint, whatever overlaps.
+    Moments and winners are then read together in order of time, and the last winner is carried along. Both
+    steps go through ranges (``scan``), so neither the length of an interval nor a key's share of the rows
+    matters, and no row is copied. Null moments and keys have no interval; intervals with a null or reversed
+    end hold none.
+    """
+    sides = intervals.where(F.col(start).isNotNull() & (F.col(end) >= F.col(start)))
+    for c in on:
+        sides = sides.where(F.col(c).isNotNull())
+    ranked = carried(sides.select(*on, F.col(start).alias("_start"), F.col(end).alias("_end"), F.struct(*values).alias("_value")), on, ["_start", "_end"], largest_before("_end", "_taken"))
+    late = F.col("_taken") >= F.col("_start")
+    winners = ranked.where(F.col("_taken").isNull() | (F.col("_end") > F.col("_taken"))).select(
+        *on, F.when(late, F.col("_taken")).otherwise(F.col("_start")).alias("_at_time"),
+        F.when(late, 2).otherwise(0).alias("_turn"), F.struct(F.col("_end").alias("until"), F.col("_value").alias("value")).alias("_hit"),
+    )
+    # winners from their start on come before moments, those from behind an instant after them
+    asked = df.select(*on, F.col(ts).alias("_at_time"), F.lit(1).alias("_turn"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
+    both = winners.unionByName(asked, allowMissingColumns=True)
+    found = carried(both, on, ["_at_time", "_turn"], last_known(["_hit"])).where(F.col("_turn") == 1)
+    known = F.col("_at_time") <= F.col("_hit.until")
+    for c in on:
+        known = known & F.col(c).isNotNull()
+    return found.select("_row.*", *[F.when(known, F.col("_hit.value")[v]).alias(v) for v in values])
+
+
 def rank_weight(position: str | Column, size: int = 20) -> Column:
     """1 for the first place down to 1/size for the last."""
     position = F.col(position) if isinstance(position, str) else position

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -152,3 +152,14 @@ def filter_funnel(df: DataFrame, steps: Mapping[str, Column], id_column: str) ->
         for i, n in enumerate(names)
     ])
     return wide.select(F.explode(rows).alias("_s")).select("_s.*")
+
+
+def observed_funnel(df: DataFrame, steps: Mapping[str, Column]) -> tuple[DataFrame, Callable[[], list[tuple[int, str, int]]]]:
+    """``df`` filtered step by step, and a function that gives ``step, name, rows`` of every step once the result
+    was written: the running job counts as it goes, no row is read again for it. The result must run once."""
+    seen = [Observation()]
+    df = df.observe(seen[0], F.count("*").alias("rows"))
+    for condition in steps.values():
+        seen.append(Observation())
+        df = df.where(condition).observe(seen[-1], F.count("*").alias("rows"))
+    return df, lambda: [(i, name, o.get["rows"]) for i, (name, o) in enumerate(zip(["all", *steps], seen))]

@@ -80,6 +80,18 @@ def last_known(columns: Sequence[str]) -> Maker:
     return make
 
 
+def largest_before(column: str, to: str) -> Maker:
+    """The largest value of ``column`` in the rows before within the key, null for the first one."""
+
+    def make(inside: WindowSpec, parts: WindowSpec) -> Carry:
+        return Carry(
+            {"_top_here": F.max(f"`{column}`").over(before(inside))}, {"_top": F.max(f"`{column}`")}, {"_top_ahead": F.max("_top").over(before(parts))},
+            {to: F.greatest("_top_here", "_top_ahead")},
+        )
+
+    return make
+
+
 def carried(df: DataFrame, keys: Sequence[str], order: Sequence[str], *makers: Maker, keep: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
     """``df`` with what each of ``makers`` carries along ``keys`` in ``order``.
 

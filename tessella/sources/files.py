@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.operators.clean import nan_to_null
 
-OVERFLOW = "_extra"
+RAW = "_raw_line"
 
 
 def read_header_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
@@ -58,22 +59,30 @@ def _headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
     return groups
 
 
+def field_count(line: str, sep: str) -> Column:
+    """Number of fields of a raw line; separators inside a quoted field do not count."""
+    cut = re.escape(sep)
+    bare = F.regexp_replace(line, rf'(^|{cut})"(?:[^"\\]|\\.|"")*"(?={cut}|$)', "$1")
+    return F.regexp_count(bare, F.lit(cut)) + 1
+
+
 def read_tilde_folder(spark: SparkSession, path: str, sep: str = "~", null: str = "_") -> DataFrame:
     """All ``*.csv`` files of a folder put together by column name, every column text.
 
     Files may have different columns (each week names its own days). ``null`` marks missing values,
-    so that the text ``NA`` stays a value. Lines with too many fields are left out, short lines are
-    filled with nulls.
+    so that the text ``NA`` stays a value. Lines with too many fields are left out, whatever those hold, short
+    lines are filled with nulls.
     """
     frames = []
     for header, files in sorted(_headers(spark, path).items()):
         names = header.split(sep)
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, OVERFLOW]])
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, RAW]])
         lines = (
             spark.read.schema(schema).option("header", True).option("sep", sep).option("nullValue", null)
-            .option("enforceSchema", True).option("mode", "PERMISSIVE").csv(sorted(files))
+            .option("enforceSchema", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", RAW).csv(sorted(files))
         )
-        frames.append(lines.where(F.col(OVERFLOW).isNull()).drop(OVERFLOW))
+        # the reader keeps the raw line where its number of fields is not that of the header
+        frames.append(lines.where(F.col(RAW).isNull() | (field_count(RAW, sep) <= len(names))).drop(RAW))
     if not frames:
         raise FileNotFoundError(path)
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -11,10 +11,10 @@ from tessella.sources import files, literals, sinks
 
 
 def test_tilde_folder(spark, tmp_path):
-    (tmp_path / "w1.csv").write_text("A~B~MAX DS 01_01_2020\nx~NA~1\ny~_~2\nlong~a~b~c\nshort~q\n~e~3\n")
+    (tmp_path / "w1.csv").write_text("A~B~MAX DS 01_01_2020\nx~NA~1\ny~_~2\nlong~a~b~c\nshort~q\n~e~3\nempty~a~b~\nnulls~_~_~_~_\n\"q~\"~a~b\n\"r~\"~a~b~\n")
     (tmp_path / "w2.csv").write_text("A~B~MAX DS 08_01_2020\nz~RM~0,5\n")
     rows = {r["A"]: r for r in files.read_tilde_folder(spark, str(tmp_path)).collect()}
-    assert set(rows) == {"x", "y", "short", None, "z"}  # only the over-long line goes
+    assert set(rows) == {"x", "y", "short", None, "z", "q~"}  # only the over-long lines go
     assert rows["x"]["B"] == "NA" and rows["y"]["B"] is None
     assert rows["short"]["MAX DS 01_01_2020"] is None
     assert rows["x"]["MAX DS 08_01_2020"] is None and rows["z"]["MAX DS 08_01_2020"] == "0,5"
