@@ -197,6 +197,39 @@ def one_step_forecast(t: Tables) -> DataFrame:
     return forecast.one_step_forecast(series.series_for_key(traffic.features(t)))
 
 
+@query()
+def series_forecast(t: Tables) -> DataFrame:
+    """One step ahead with a model of its own for each province, with and without the match indicator."""
+    return forecast.series_forecast(series.series_for_key(traffic.features(t)))
+
+
+@query("""
+    SELECT user_id, count(*) AS rows, round(coalesce(regr_slope(value, minute), 0), 6) AS slope,
+           round(coalesce(regr_intercept(value, minute), avg(value)), 6) AS intercept
+    FROM (SELECT user_id, value, hour(ts) * 60 + minute(ts) AS minute FROM events) GROUP BY user_id HAVING count(DISTINCT minute) > 1""")
+def series_trend(t: Tables) -> DataFrame:
+    """A line through the values of each user by minute of the day."""
+    rows = t.events.select("user_id", "value", (F.hour("ts") * 60 + F.minute("ts")).alias("minute"))
+    several = rows.groupBy("user_id").agg(F.count_distinct("minute").alias("n")).where("n > 1")
+    models = forecast.series_models(rows.join(several, "user_id", "left_semi"), ["minute"], "value", ["user_id"])
+    found = models.select("user_id", "rows", F.col("coefficients")[1].alias("slope"), F.col("coefficients")[0].alias("intercept"))
+    return rounded(found, ["slope", "intercept"], 6)
+
+
+@query("""
+    SELECT user_id, count(*) AS rows, round(sqrt(avg(e * e)), 6) AS rmse, round(avg(abs(e)), 6) AS mae FROM (
+        SELECT user_id, value - (regr_slope(value, minute) OVER u * minute + regr_intercept(value, minute) OVER u) AS e
+        FROM (SELECT user_id, value, hour(ts) * 60 + minute(ts) AS minute FROM events) WINDOW u AS (PARTITION BY user_id))
+    WHERE e IS NOT NULL GROUP BY user_id""")
+def series_trend_errors(t: Tables) -> DataFrame:
+    """How far the values of each user are from their line."""
+    rows = t.events.select("user_id", "value", (F.hour("ts") * 60 + F.minute("ts")).alias("minute"))
+    several = rows.groupBy("user_id").agg(F.count_distinct("minute").alias("n")).where("n > 1").select("user_id")
+    rows = rows.join(several, "user_id", "left_semi")
+    said = forecast.series_predictions(rows, forecast.series_models(rows, ["minute"], "value", ["user_id"]), ["minute"], ["user_id"])
+    return rounded(forecast.regression_metrics(said, "value", "predicted", ["user_id"]).select("user_id", "rows", "rmse", "mae"), ["rmse", "mae"], 6)
+
+
 @query()
 def two_target_model(t: Tables) -> DataFrame:
     """Toxicity as binary and quality as number target from simple measures of the text."""
