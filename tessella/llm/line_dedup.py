@@ -1,16 +1,18 @@
-"""Lines that are there already, exactly or within a few edits.
-
-Two lines are near when at most ``edits`` bytes (of UTF-8) must be inserted, deleted or replaced. A line is
-cut into ``edits + 1`` segments; if another line is near, one of the segments stands in it unchanged, at a
-place that the two lengths and the number of the segment confine. Every line therefore gives its own
-segments and, for every shorter length within reach, the substrings that can be a segment of such a line,
-each as one hash of length, segment number and bytes. Lines that share a hash meet, and a banded
-bit-parallel edit distance (one machine word for the band, many lines at a time) has the last word.
-Lines that are linked already are not compared again, so a hash shared by many near copies costs work in
-proportion to their number, and only a spanning forest of the links leaves the task.
-
-Lines without a word are never touched; lines shorter than ``min_bytes`` are compared exactly only. Of a
-class of lines the first one stays: by document id (null last), hash of the text, line number.
+"""Lines that are there already, exactly or within a few words.
+
+A line is a sequence of words. Two lines are near when at most ``limit_of(n)`` words must be inserted, deleted
+or replaced, ``n`` being the number of words of the shorter one: one word in ten, ``MOST_EDITS`` at most, so a
+line of under ten words has exact copies only. The shorter line is cut into as many segments as edits and one
+more; if the lines are near, one of the segments stands in the longer one unchanged, at a place that
+the two lengths and the number of the segment confine. Every line therefore gives its own segments and, for every
+shorter length within reach, the runs of words that can be a segment of such a line, each as one hash of
+length, segment number and words. Lines that share a hash meet, and a banded bit-parallel edit distance
+(one machine word for the band, many lines at a time) has the last word. A hash that many lines share is dealt into
+parts, and each pair of parts is compared on its own. Lines that are linked already are not compared again, so many
+near copies cost work in proportion to their number, and only a spanning forest of the links leaves the task.
+
+Lines without a word are never touched. Of a class of lines the first one stays: by document id (null last), hash
+of the text, line number.
 
 Defined results: a null text has no lines and stays null; rows equal in id and text are the same document
 and are treated alike; ties cannot occur then; an empty table gives an empty table. Other columns stay.
@@ -19,7 +21,9 @@ Lines are told apart by 128 bits of hash.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import accumulate, count
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +35,20 @@ from tessella.llm.common import plain_name, strings, written
 from tessella.llm.components import components
 from tessella.llm.simhash import Forest
 
-EDITS, MIN_BYTES = 2, 32
-CELLS = 1 << 18  # bytes of lines compared at a time
+SHARE, MOST_EDITS = 10, 3  # one edit for so many words, and the most
+CELLS = 1 << 18  # words of lines compared at a time
+PART_LINES = 1024  # lines of one hash that are compared together; of a hash with more, two parts at a time
+MET = 1 << 20  # lines a task remembers so as not to give them twice
 BITS = 1 << 25  # of the filter in front of the join that fetches lines; a fixed size, 4 MB
 SEED = 42
 HAS_WORD = r"[^\x20\x09-\x0D]"
 
 
+def limit_of(words: int, most: int = MOST_EDITS) -> int:
+    """Edits between near lines of which the shorter has so many words."""
+    return min(most, words // SHARE)
+
+
 def segments(length: int, edits: int) -> list[tuple[int, int]]:
     """Start and length of the ``edits + 1`` segments of a line, as even as can be, longer ones last."""
     parts = edits + 1
@@ -47,23 +58,25 @@ def segments(length: int, edits: int) -> list[tuple[int, int]]:
     return list(zip(starts, sizes))
 
 
-def probes(length: int, edits: int, min_bytes: int) -> tuple[list[tuple[int, int, int]], list[bool]]:
-    """For a line of a length: ``start, end, seed`` of every substring to hash, and which are its own
+def probes(length: int, most: int = MOST_EDITS) -> tuple[list[tuple[int, int, int]], list[bool]]:
+    """For a line of so many words: ``start, end, seed`` of every run of words to hash, and which are its own
     segments. The seed says the length of the line searched and the segment's number."""
     found, own = [], []
-    for other in range(max(min_bytes, length - edits), length + 1):
-        shift = length - other
+    for other in range(max(SHARE, length - most), length + 1):
+        shift, edits = length - other, limit_of(other, most)
+        if not edits or shift > edits:
+            continue
         for i, (start, size) in enumerate(segments(other, edits)):
             low = max(start - i, start + shift - (edits - i), 0)
             high = min(start + i, start + shift + (edits - i), length - size)
             for at in range(low, high + 1):
-                found.append((at, at + size, other * (edits + 1) + i))
+                found.append((at, at + size, other * (MOST_EDITS + most + 1) + i))
                 own.append(shift == 0 and at == start)
     return found, own
 
 
-def _core(a: bytes, b: bytes, limit: int) -> tuple[bytes, bytes]:
-    """Two lines without what they begin and end with in common; a few equal bytes behind both, which
+def _core(a: list[int], b: list[int], limit: int) -> tuple[list[int], list[int]]:
+    """Two lines without what they begin and end with in common; a few equal words behind both, which
     change no distance, keep them longer than ``limit``."""
     lengths = []
     for cut in (lambda x, n: x[:n], lambda x, n: x[len(x) - n:]):
@@ -72,34 +85,36 @@ def _core(a: bytes, b: bytes, limit: int) -> tuple[bytes, bytes]:
             middle = (low + high + 1) // 2
             low, high = (middle, high) if cut(a, middle) == cut(b, middle) else (low, middle - 1)
         lengths.append(low)
-    end = bytes(limit + 1)
+    end = [0] * (limit + 1)
     return a[lengths[0]:len(a) - lengths[1]] + end, b[lengths[0]:len(b) - lengths[1]] + end
 
 
-def within(pairs: list[tuple[bytes, bytes]], limit: int) -> np.ndarray:
-    """Whether the two lines of each pair are at most ``limit`` edits apart; many pairs of about one
+def within(pairs: list[tuple[list[int], list[int]]], most: int = MOST_EDITS) -> np.ndarray:
+    """Whether the two lines of each pair, words as numbers above zero, are near; many pairs of about one
     length at a time."""
-    cores = [_core(a, b, limit) for a, b in pairs]
     near = np.zeros(len(pairs), bool)
-    order = sorted((k for k, (a, b) in enumerate(cores) if abs(len(a) - len(b)) <= limit), key=lambda k: len(cores[k][1]))
-    while order:
-        few = order[-max(1, CELLS // (len(cores[order[-1]][1]) + 1)):]
-        del order[-len(few):]
-        near[few] = _banded([cores[k] for k in few], limit)
+    limits = [limit_of(min(len(a), len(b)), most) for a, b in pairs]
+    for limit in range(1, most + 1):
+        cores = {k: _core(*pairs[k], limit) for k, x in enumerate(limits) if x == limit and abs(len(pairs[k][0]) - len(pairs[k][1])) <= limit}
+        order = sorted(cores, key=lambda k: len(cores[k][1]))
+        while order:
+            few = order[-max(1, CELLS // (len(cores[order[-1]][1]) + 1)):]
+            del order[-len(few):]
+            near[few] = _banded([cores[k] for k in few], limit)
     return near
 
 
-def _banded(pairs: list[tuple[bytes, bytes]], limit: int) -> np.ndarray:
+def _banded(pairs: list[tuple[list[int], list[int]]], limit: int) -> np.ndarray:
     """One word holds the differences down a column, its highest bit the row ``limit`` below the diagonal;
-    letters are compared on the ``2 * limit + 1`` diagonals that matter only. The distance is followed
+    words are compared on the ``2 * limit + 1`` diagonals that matter only. The distance is followed
     along the lowest diagonal to the last row and along that row to the end; pairs that cannot come back
     below the limit are left, and the walk ends when no pair is."""
     m, n = (np.array([len(p[k]) for p in pairs], np.int64) for k in (0, 1))
-    rows = np.zeros((len(pairs), int(m.max()) + 2 * limit + 1), np.int16) - 1
-    columns = np.zeros((len(pairs), int(n.max())), np.int16) - 2
+    rows = np.zeros((len(pairs), int(m.max()) + 2 * limit + 1), np.int32) - 1
+    columns = np.zeros((len(pairs), int(n.max())), np.int32) - 2
     for k, (a, b) in enumerate(pairs):
-        rows[k, limit:limit + len(a)] = np.frombuffer(a, np.uint8)
-        columns[k, :len(b)] = np.frombuffer(b, np.uint8)
+        rows[k, limit:limit + len(a)] = a
+        columns[k, :len(b)] = b
     word = np.uint64
     one = word(1)
     near = np.zeros(len(pairs), bool)
@@ -137,9 +152,9 @@ def _lines(text: str) -> list[bytes]:
     return [line for line in text.encode().split(b"\n") if line.strip(b" \t\n\x0b\x0c\r")]
 
 
-def _substrings(edits: int, min_bytes: int):
-    """Task that gives ``key, id, own``: a hash for every substring to look for, once for each line that
-    the task meets."""
+def _runs(most: int):
+    """Task that gives ``key, id, own``: a hash for every run of words to look for, once for each line that
+    the task meets (again for those it no longer remembers)."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest, plans, met = xxhash.xxh64_intdigest, {}, set()
@@ -148,11 +163,16 @@ def _substrings(edits: int, min_bytes: int):
                 keys, ids, counts, own = [], [], [], []
                 for text in strings(batch.column(0).slice(at, 2000)):
                     for line in _lines(text):
-                        if len(line) < min_bytes or (name := digest(line, SEED)) in met:
+                        words = line.split()
+                        n = len(words)
+                        if n < SHARE or (name := digest(line, SEED)) in met:
                             continue
+                        if len(met) >= MET:
+                            met.clear()
                         met.add(name)
-                        plan = plans.get(len(line)) or plans.setdefault(len(line), probes(len(line), edits, min_bytes))
-                        keys += [digest(line[a:b], seed) for a, b, seed in plan[0]]
+                        plan = plans.get(n) or plans.setdefault(n, probes(n, most))
+                        plain, starts = b" ".join(words), [0, *accumulate(len(w) + 1 for w in words)]
+                        keys += [digest(plain[starts[a]:starts[b] - 1], seed) for a, b, seed in plan[0]]
                         own += plan[1]
                         ids.append(name)
                         counts.append(len(plan[1]))
@@ -196,13 +216,15 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(key[keep]), pa.array(name[keep])], ["key", "id"])
 
 
-def _forests(edits: int):
+def _forests(most: int):
     """Task that gives a spanning forest ``a, b`` of the near lines of each key, from rows sorted by key."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_groups(batches, 2000):
             key, name = table.column(0).to_numpy(), table.column(1).to_numpy()
-            lines = table.column(2).to_pylist()
+            number: dict[bytes, int] = defaultdict(count(1).__next__)
+            lines = [list(map(number.__getitem__, line.split())) for line in table.column(2).to_pylist()]
+            reach = [limit_of(len(x), most) for x in lines]
             forest, found = Forest(len(key)), []
             # one line of each group at a time against those of the group that it is not yet linked to
             open_ = [(a, b) for a, b in zip(*_bounds(key))]
@@ -210,13 +232,13 @@ def _forests(edits: int):
                 root = forest.roots()
                 ahead, pairs = [], []
                 for first, stop in open_:
-                    others = [j for j in range(first + 1, stop) if root[j] != root[first] and abs(len(lines[j]) - len(lines[first])) <= edits]
-                    pairs += [(first, j) for j in others]
+                    n, r = len(lines[first]), reach[first]
+                    pairs += [(first, j) for j in range(first + 1, stop) if root[j] != root[first] and abs(len(lines[j]) - n) <= min(r, reach[j])]
                     if stop - first > 2:
                         ahead.append((first + 1, stop))
                 for i in range(0, len(pairs), 4096):
                     part = np.array(pairs[i:i + 4096])
-                    near = part[within([(lines[x], lines[y]) for x, y in part.tolist()], edits)]
+                    near = part[within([(lines[x], lines[y]) for x, y in part.tolist()], most)]
                     a, b = forest.add(near[:, 0], near[:, 1])
                     found.append(np.column_stack([name[a], name[b]]))
                 open_ = ahead
@@ -231,18 +253,30 @@ def _bounds(key: np.ndarray) -> tuple[list[int], list[int]]:
     return starts.tolist(), np.append(starts[1:], len(key)).tolist()
 
 
-def near_lines(docs: DataFrame, text: str = "text", edits: int = EDITS, min_bytes: int = MIN_BYTES) -> DataFrame:
+def near_lines(docs: DataFrame, text: str = "text", most: int = MOST_EDITS) -> DataFrame:
     """``node, label``: hashes of the lines that are near another one, with the smallest hash of the class."""
     texts = docs.select(F.col(f"`{text}`").cast("string").alias("_text"))
-    keys = texts.mapInArrow(_substrings(edits, min_bytes), "key long, id long, own boolean")
+    keys = texts.mapInArrow(_runs(most), "key long, id long, own boolean")
     live = keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_shared, "key long, id long")
     live = written(live, "shared-segments")
     asked = written(live.select("id").distinct(), "lines-asked")
     lines = texts.mapInArrow(_named_lines(_filter_of(asked)), "id long, line binary")
     known = written(lines.join(asked, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line")), "lines")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # comparing costs more than its bytes suggest
-    met = live.join(known, "id").select("key", "id", "line").repartition(parts, "key").sortWithinPartitions("key", "id")
-    return components(written(met.mapInArrow(_forests(edits), "a long, b long"), "near-lines"))
+    met = in_parts(live).join(known, "id").select("key", "id", "line").repartition(parts, "key").sortWithinPartitions("key", "id")
+    return components(written(met.mapInArrow(_forests(most), "a long, b long"), "near-lines"))
+
+
+def in_parts(live: DataFrame, part_lines: int | None = None) -> DataFrame:
+    """``key, id`` with the keys of many ids dealt into parts; each pair of parts is a key of its own."""
+    part_lines = part_lines or PART_LINES
+    hot = live.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > part_lines)
+    hot = written(hot.select("key", F.ceil(F.col("n") / part_lines).cast("int").alias("parts")), "hot-segments")
+    dealt = live.join(hot, "key", "left").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
+    dealt = dealt.select("key", "id", "own", "parts", other.alias("other"))
+    pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    return dealt.select(F.when(F.col("parts").isNull(), F.col("key")).otherwise(pair).alias("key"), "id")
 
 
 def _filter_of(asked: DataFrame):
@@ -270,6 +304,8 @@ def _named_lines(wanted):
                 new = []
                 for k in hits:
                     if names[k] not in met:
+                        if len(met) >= MET:
+                            met.clear()
                         met.add(names[k])
                         new.append(k)
                 yield pa.record_batch([pa.array(names[new].view(np.int64)), pa.array([lines[k] for k in new], pa.binary())], ["id", "line"])
@@ -284,13 +320,13 @@ def occurrences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return rows.where(F.col("line").rlike(HAS_WORD)).select("doc_id", "text_hash", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
-def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = EDITS, min_bytes: int = MIN_BYTES) -> DataFrame:
+def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = MOST_EDITS) -> DataFrame:
     """The lines that go, once for all rows equal in id and text: ``doc_id, text_hash, line_no``, ``exact``
     (equal to the line that stays), ``first_doc`` and ``first_line`` (where that one is)."""
     every = written(occurrences(docs, doc_id, text), "occurrences")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "line_no", "h2")
     lines = written(every.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.count("*").alias("n")), "distinct-lines")
-    labels = near_lines(docs, text, edits, min_bytes).select(F.col("node").alias("h1"), "label")
+    labels = near_lines(docs, text, most).select(F.col("node").alias("h1"), "label")
     classed = lines.join(labels, "h1", "left").withColumns({"c1": F.coalesce("label", "h1"), "c2": F.when(F.col("label").isNull(), F.col("h2"))})
     firsts = written(classed.groupBy("c1", "c2").agg(F.min("place").alias("first"), F.sum("n").alias("total")).where("total > 1"), "classes")
     first_of = classed.join(firsts, classed["c1"].eqNullSafe(firsts["c1"]) & classed["c2"].eqNullSafe(firsts["c2"]))
@@ -304,13 +340,11 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", edits:
     ).distinct()
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = EDITS, min_bytes: int = MIN_BYTES) -> DataFrame:
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = MOST_EDITS) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text``, and ``n_lines`` (with a word, before),
     ``n_exact`` and ``n_near`` (lines that went) and ``first_docs`` (ids of the documents that keep them)."""
-    if edits >= min_bytes:
-        raise ValueError("lines must be longer than the number of edits")
     g = {c: plain_name(docs, f"_{c}") for c in ("id", "hash", "gone", "exact", "near", "firsts", "row_id", "row_hash", "lines")}
-    gone = repeated(docs, doc_id, text, edits, min_bytes).groupBy(F.col("doc_id").alias(g["id"]), F.col("text_hash").alias(g["hash"])).agg(
+    gone = repeated(docs, doc_id, text, most).groupBy(F.col("doc_id").alias(g["id"]), F.col("text_hash").alias(g["hash"])).agg(
         F.collect_list("line_no").alias(g["gone"]), F.count_if("exact").alias(g["exact"]), F.count_if(~F.col("exact")).alias(g["near"]),
         F.sort_array(F.collect_set("first_doc")).alias(g["firsts"]),
     )

@@ -111,45 +111,56 @@ def distance(a, b):
     return row[-1]
 
 
-def edited(line, n):
-    out = bytearray(line)
+def edited(words, n):
+    out = list(words)
     for _ in range(n):
         i, kind = random.randrange(len(out)), random.randrange(3)
         if kind == 0:
-            out.insert(i, random.choice(b"abc "))
+            out.insert(i, random.choice("abcd"))
         elif kind == 1:
             del out[i]
         else:
-            out[i] = random.choice(b"abc ")
-    return bytes(out)
+            out[i] = random.choice("abcd")
+    return out
 
 
-@pytest.mark.parametrize("limit", [1, 2, 3])
-def test_banded_distance_and_segments(limit):
-    random.seed(limit)
+def near_words(a, b):
+    limit = line_dedup.limit_of(min(len(a), len(b)))
+    return limit > 0 and abs(len(a) - len(b)) <= limit and distance(a, b) <= limit
+
+
+@pytest.mark.parametrize("least, most", [(10, 19), (20, 29), (30, 60)])
+def test_banded_distance_and_segments(least, most):
+    random.seed(least)
     pairs = []
     for _ in range(700):
-        line = bytes(random.choice(b"abc ") for _ in range(random.randint(14, 60)))
-        pairs.append((line, edited(line, random.randint(0, limit + 2))))
-    near = [distance(a, b) <= limit for a, b in pairs]
-    assert line_dedup.within(pairs, limit).tolist() == near
+        line = [random.choice("abcd") for _ in range(random.randint(least, most))]
+        pairs.append((line, edited(line, random.randint(0, 5))))
+    near = [near_words(a, b) for a, b in pairs]
+    assert 100 < sum(near) < 650
+    assert line_dedup.within([([ord(x) for x in a], [ord(x) for x in b]) for a, b in pairs]).tolist() == near
     for (a, b), ok in zip(pairs, near):
-        if ok and min(len(a), len(b)) >= 8:
+        if ok:
             long, short = (a, b) if len(a) >= len(b) else (b, a)
-            keys = {(long[x:y], seed) for x, y, seed in line_dedup.probes(len(long), limit, 8)[0]}
-            assert any((short[x:x + n], len(short) * (limit + 1) + i) in keys for i, (x, n) in enumerate(line_dedup.segments(len(short), limit)))
+            keys = {(tuple(long[x:y]), seed) for x, y, seed in line_dedup.probes(len(long))[0]}
+            every, own = line_dedup.probes(len(short))
+            assert any((tuple(short[x:y]), seed) in keys for (x, y, seed), mine in zip(every, own) if mine)
+            assert sum(own) == line_dedup.limit_of(len(short)) + 1
 
 
-def test_line_dedup(spark, messy):
+@pytest.mark.parametrize("part_lines", [3, 1024])
+def test_line_dedup(spark, messy, monkeypatch, part_lines):
+    monkeypatch.setattr(line_dedup, "PART_LINES", part_lines)  # a segment that many lines share is dealt into parts
     random.seed(9)
-    lines = ["".join(random.choice("abcdefgh ") for _ in range(random.randint(33, 50))) for _ in range(40)]
-    rows = [(r["doc_id"], r["text"]) for r in messy.collect()]
+    lines = [[random.choice("abcdefgh") for _ in range(random.randint(9, 42))] for _ in range(40)]
+    lines += [lines[30][:8] + [random.choice("abcdefgh") for _ in range(20)] for _ in range(12)]
+    rows = [(r["doc_id"], r["text"]) for r in messy.collect() if len(r["text"] or "") < 10_000]
     for i in range(120):
-        own = [edited(random.choice(lines).encode(), random.choice([0, 0, 1, 2, 3])).decode() for _ in range(4)]
+        own = [" ".join(edited(random.choice(lines), random.choice([0, 0, 1, 2, 3]))) for _ in range(4)]
         rows.append((100 + i, "\n".join([*own, "", "short"])))
     frame = spark.createDataFrame([(a, b, 1, 2) for a, b in rows], "doc_id long, text string, n_lines int, _gone int").repartition(4)
     texts = sorted({x for _, t in rows for x in line_dedup._lines(t or "")})
-    near = [(a, b) for i, a in enumerate(texts) for b in texts[i + 1:] if min(len(a), len(b)) >= line_dedup.MIN_BYTES and abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2]
+    near = [(a, b) for i, a in enumerate(texts) for b in texts[i + 1:] if near_words(a.split(), b.split())]
     assert len(near) > 100
     up = classes(texts, near)
     signed = lambda h: h - 2**64 if h >= 2**63 else h
@@ -179,6 +190,16 @@ def test_line_dedup(spark, messy):
     assert "_gone" in result.columns
 
 
+def test_lines_with_one_word_changed(spark):
+    random.seed(10)
+    words = [f"word{i}" for i in range(400)]
+    lines = [[random.choice(words) for _ in range(random.randint(12, 40))] for _ in range(60)]
+    changed = [[*x[:5], "other" + str(i), *x[6:]] for i, x in enumerate(lines)]
+    rows = [(i, " ".join(x)) for i, x in enumerate(lines)] + [(1000 + i, " ".join(x)) for i, x in enumerate(changed)]
+    got = {r["doc_id"]: (r["n_near"], r["text"]) for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == (0, " ".join(x)) for i, x in enumerate(lines)) and all(got[1000 + i] == (1, "") for i in range(60))
+
+
 def test_repeated_row_that_loses_lines(spark):
     import corpus_pipeline
 
