@@ -4,7 +4,9 @@ Names in a host are written together; a unigram model of the words in the pages
 ways to cut a name, Viterbi's algorithm finds the one with the highest product of word probabilities.
 Names, their substrings and the word counts meet in joins, so the vocabulary is never broadcast. A
 multinomial naive Bayes model over host words and path tokens, hashed into a fixed number of buckets (its
-tables are bounded), learns from the urls that a rule decides and from seed words, and decides the rest.
+tables are bounded), learns from the urls that a rule decides; seed words among the tokens add fixed odds of their own. What is learnt
+are shares of the class's tokens, each with ``LEAST_SHARE`` added, so the odds depend on the make-up of the table and
+not on its size. A url is blocked where the log odds are over ``SURE``.
 
 Defined results: a url that is null or has no ``://`` has an empty host and path, no tokens, and the class
 with the higher prior, as has any url without tokens; equal odds allow. Of rules of one length that fit,
@@ -26,11 +28,16 @@ from pyspark.sql import functions as F
 from tessella.llm.common import plain_name, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LONGEST_WORD = 24
+LONGEST_WORD = 63  # fixed value: a name in a host has no more letters
 BUCKETS = 1 << 16
 # fixed values: words whose presence in a host or path speaks for a page nobody wants
-SEED_WORDS = "casino bets bet poker pills pill viagra pharmacy adult porn xxx sex spam ads track farm loan cheap win free".split()
-SEED_COUNT = 20
+SEED_WORDS = """
+    ad ads adult advert affiliate bet bets betting bingo bonus bookmaker bulk casino cash cheap clickbait coupon crack
+    credit cupid dating deals diet discount escort farm free gambling hentai hookup jackpot lender loan loans lottery lotto
+    meds nude payday pharma pharmacy pill pills poker porn prize promo replica roulette sale sex sexy slots spam spin
+    sweepstake tracker track tracking traffic viagra voucher wager warez win winner xxx
+""".split()
+SEED_ODDS, LEAST_SHARE, SURE = 8.0, 0.002, 2.0
 
 
 class Rule(NamedTuple):
@@ -130,29 +137,23 @@ def _bucket(token: Column) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
 
 
-def naive_bayes(examples: DataFrame, seeds: Sequence[str] = SEED_WORDS) -> tuple[float, np.ndarray]:
-    """Log odds of ``block`` against ``allow`` before and for each bucket, from ``tokens`` and ``blocked``.
-    Seed words count as ``SEED_COUNT`` blocked ones each, in host and path."""
+def naive_bayes(examples: DataFrame) -> tuple[float, np.ndarray]:
+    """Log odds of ``block`` against ``allow`` before and for each bucket, from ``tokens`` and ``blocked``; a
+    class without tokens has the same share everywhere."""
     priors = {r["blocked"]: r["n"] for r in examples.groupBy("blocked").agg(F.count("*").alias("n")).collect()}
-    spark = examples.sparkSession
     rows = examples.select("blocked", F.explode("tokens").alias("token")).groupBy("blocked", _bucket(F.col("token")).alias("b")).agg(F.count("*").alias("n"))
     counts = np.zeros((2, BUCKETS))
     for r in rows.collect():  # at most two rows for each bucket
         counts[int(r["blocked"]), r["b"]] = r["n"]
-    if seeds:
-        seeded = spark.createDataFrame([(f"{place} {w}",) for w in seeds for place in ("host", "path")], "token string")
-        for r in seeded.select(_bucket(F.col("token")).alias("b")).collect():
-            counts[1, r["b"]] += SEED_COUNT
-    smooth = np.log(counts + 1) - np.log(counts.sum(1, keepdims=True) + BUCKETS)
+    total = counts.sum(1, keepdims=True)
+    share = np.divide(counts, total, out=np.full_like(counts, 1 / BUCKETS), where=total > 0) + LEAST_SHARE
     prior = math.log(priors.get(True, 0) + 1) - math.log(priors.get(False, 0) + 1)
-    return prior, smooth[1] - smooth[0]
+    return prior, np.log(share[1]) - np.log(share[0])
 
 
-def judge(pages: DataFrame, rules: Sequence[Rule], words: DataFrame, url: str = "url") -> DataFrame:
-    """``pages`` with ``host``, ``path``, ``rule`` (text of the rule that fits) and ``verdict``.
-
-    ``words``: a table of ``word, n``; the urls that a rule decides are the examples for the rest.
-    """
+def tokenized(pages: DataFrame, rules: Sequence[Rule], words: DataFrame, url: str) -> tuple[DataFrame, str, list[str]]:
+    """The rows with ``host``, ``path``, ``rule`` and the rule's ``verdict``, and their tokens; with the name of
+    that column and the columns that stay."""
     keep = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
     host, path = host_and_path(F.col(f"`{url}`"))
     rows = pages.select(*[F.col(f"`{c}`") for c in keep], host.alias("host"), path.alias("path"))
@@ -166,15 +167,44 @@ def judge(pages: DataFrame, rules: Sequence[Rule], words: DataFrame, url: str =
     by_host = by_host.withColumnsRenamed({"host": name, "tokens": of_host})
     none = F.array().cast("array<string>")
     rows = rows.join(by_host, rows["host"] == by_host[name], "left").withColumn(tokens, F.concat(F.coalesce(of_host, none), path_tokens(F.col("path"))))
-    rows = rows.select(*[F.col(f"`{c}`") for c in keep], "host", "path", "rule", "verdict", tokens)
-    examples = rows.where("rule IS NOT NULL").select(F.col(tokens).alias("tokens"), (F.col("verdict") == "block").alias("blocked"))
-    prior, odds = naive_bayes(examples)
-    shared = pages.sparkSession.sparkContext.broadcast(odds)
+    return rows.select(*[F.col(f"`{c}`") for c in keep], "host", "path", "rule", "verdict", tokens), tokens, keep
+
+
+def _blocked(tokens: str, prior: float, odds: np.ndarray, df: DataFrame, seeds: Sequence[str]) -> Column:
+    """Whether the odds of a row's tokens speak for ``block``."""
+    shared = df.sparkSession.sparkContext.broadcast(odds)
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for buckets in batches:
             yield pa.array([prior + float(shared.value[b].sum()) if (b := x or []) else prior for x in buckets.to_pylist()], pa.float64())
 
-    verdict = F.when(F.col("rule").isNotNull(), F.col("verdict")).when(score(F.transform(F.col(tokens), _bucket)) > 0, "block").otherwise("allow")
+    listed = F.array(*[F.lit(f"{place} {w}") for w in seeds for place in ("host", "path")]).cast("array<string>")
+    known = F.size(F.filter(F.col(tokens), lambda x: F.array_contains(listed, x)))
+    return score(F.transform(F.col(tokens), _bucket)) + SEED_ODDS * known > SURE
+
+
+def _examples(rows: DataFrame, tokens: str) -> DataFrame:
+    return rows.where("rule IS NOT NULL").select(F.col(tokens).alias("tokens"), (F.col("verdict") == "block").alias("blocked"))
+
+
+def judge(pages: DataFrame, rules: Sequence[Rule], words: DataFrame, url: str = "url", seeds: Sequence[str] = SEED_WORDS) -> DataFrame:
+    """``pages`` with ``host``, ``path``, ``rule`` (text of the rule that fits) and ``verdict``.
+
+    ``words``: a table of ``word, n``; the urls that a rule decides are the examples for the rest.
+    """
+    rows, tokens, _ = tokenized(pages, rules, words, url)
+    blocked = _blocked(tokens, *naive_bayes(_examples(rows, tokens)), pages, seeds)
+    verdict = F.when(F.col("rule").isNotNull(), F.col("verdict")).when(blocked, "block").otherwise("allow")
     return rows.withColumn("verdict", verdict).drop(tokens)
+
+
+def held_out_accuracy(pages: DataFrame, rules: Sequence[Rule], words: DataFrame, url: str = "url") -> tuple[int, float]:
+    """How many urls that a rule decides were held out (by a hash of the url), and the share of them that a model of
+    the other ones, which sees no rule, decides as the rule does."""
+    rows, tokens, _ = tokenized(pages, rules, words, url)
+    held = F.pmod(F.crc32(F.col(f"`{url}`").cast("string")), F.lit(4)) == 2
+    blocked = _blocked(tokens, *naive_bayes(_examples(rows.where(~held), tokens)), pages, SEED_WORDS)
+    right = rows.where(held & F.col("rule").isNotNull()).select(((F.col("verdict") == "block") == blocked).cast("int").alias("right"))
+    n, share = right.agg(F.count("*"), F.coalesce(F.avg("right"), F.lit(0.0))).first()
+    return n, share

@@ -7,6 +7,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.catalog.base import Tables
 from tessella.llm import chat, quality_classifier, quality_rules, url_filter
@@ -141,12 +142,73 @@ def test_viterbi_equals_all_cuts():
 
 def test_naive_bayes_equals_plain_counts(spark):
     rows = [(["host a", "path x"], True), (["host a", "path y"], True), (["host b", "path y"], False)]
-    prior, odds = url_filter.naive_bayes(spark.createDataFrame(rows, "tokens array<string>, blocked boolean"), seeds=())
+    prior, odds = url_filter.naive_bayes(spark.createDataFrame(rows, "tokens array<string>, blocked boolean"))
     assert prior == pytest.approx(math.log(3 / 2))
-    size = url_filter.BUCKETS
-    one = lambda blocked, allowed: math.log(blocked / (4 + size)) - math.log(allowed / (2 + size))
-    expected = {one(3, 1), one(2, 1), one(2, 2), one(1, 2), one(1, 1)}  # host a, path x, path y, host b, all others
-    assert sorted(set(odds.round(9))) == pytest.approx(sorted({round(x, 9) for x in expected}))
+    one = lambda blocked, allowed: math.log((blocked / 4 + url_filter.LEAST_SHARE) / (allowed / 2 + url_filter.LEAST_SHARE))
+    expected = {one(2, 0), one(1, 0), one(1, 1), one(0, 1), 0.0}  # host a, path x, path y, host b, all others
+    assert sorted(set(odds.round(9))) == pytest.approx(sorted({round(x, 9) for x in expected}), abs=1e-8)
+    # the same table ten times over gives the same odds
+    assert np.allclose(url_filter.naive_bayes(spark.createDataFrame(rows * 10, "tokens array<string>, blocked boolean"))[1], odds)
+
+
+def test_verdicts_equal_a_plain_filter(spark):
+    tables = Tables(spark, FOLDER)
+    pages = [(r["page_id"], r["url"]) for r in tables.pages.collect()] + [(-1, None), (-2, "https://cheapwatchesnow.example.net/fr/1"), (-3, "https://best-casino.example.org2/fr/x")]
+    texts = [r["html"] or "" for r in tables.pages.collect()]
+    counts = Counter(w for t in texts for w in re.findall(r"[^\W\d_]+", re.sub("<[^>]*>", " ", t).lower()))
+    total = sum(counts.values())
+
+    def cut(name):
+        best = [(0.0, [])]
+        for end in range(1, len(name) + 1):
+            options = []
+            for start in range(end):
+                word = name[start:end]
+                cost = math.log(counts[word] / total) if word in counts and len(word) <= url_filter.LONGEST_WORD else -math.log(10.0 * total) - len(word) * math.log(10.0)
+                options.append((best[start][0] + cost, [*best[start][1], word]))
+            best.append(max(options, key=lambda o: o[0]))
+        return best[-1][1]
+
+    def parts(url):
+        found = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
+        host, path = (found.group(1), found.group(2)) if found else ("", "")
+        host = host.translate({i: i + 32 for i in range(65, 91)})
+        tokens = [f"host {w}" for name in re.split(r"[\W\d_]+", host) if name for w in cut(name)]
+        tokens += [f"path {x}" for x in re.split(r"(?:[^\w]|[1-9_])+", re.sub("[0-9]+", "0", path.lower())) if x]
+        fits = [r for r in URL_RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        return tokens, max(fits, key=lambda r: len(r.text)) if fits else None
+
+    split = {i: parts(u) for i, u in pages}
+    seen = sorted({t for tokens, _ in split.values() for t in tokens})
+    bucket = {r["t"]: r["b"] for r in spark.createDataFrame([(t,) for t in seen], "t string").select("t", url_filter._bucket(F.col("t")).alias("b")).collect()}
+    share = {}
+    for action in ("allow", "block"):
+        mine = Counter(bucket[t] for tokens, rule in split.values() if rule and rule.action == action for t in tokens)
+        share[action] = lambda b, mine=mine, n=sum(mine.values()): (mine[b] / n if n else 1 / url_filter.BUCKETS) + url_filter.LEAST_SHARE
+    decided = Counter(rule.action for _, rule in split.values() if rule)
+    prior = math.log(decided["block"] + 1) - math.log(decided["allow"] + 1)
+    frame = spark.createDataFrame(pages, "page_id long, url string").repartition(3)
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(frame, URL_RULES, url_filter.word_counts(tables.pages, "html")).collect()}
+    assert len(got) == len(pages)
+    seeds = {f"{place} {w}" for place in ("host", "path") for w in url_filter.SEED_WORDS}
+    n_blocked = 0
+    for i, (tokens, rule) in split.items():
+        odds = prior + sum(math.log(share["block"](bucket[t]) / share["allow"](bucket[t])) + url_filter.SEED_ODDS * (t in seeds) for t in tokens)
+        if abs(odds - url_filter.SURE) > 1e-6:
+            assert got[i] == (rule.action if rule else "block" if odds > url_filter.SURE else "allow"), (i, tokens, odds)
+        n_blocked += rule is None and got[i] == "block"
+    assert n_blocked > 5
+
+
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_unwanted_hosts_are_blocked_at_every_size(spark, folder):
+    tables = Tables(spark, folder)
+    free = QUERIES["op3_url_filter"](tables).where("rule IS NULL").select("host", "verdict").collect()
+    unwanted = [r["verdict"] for r in free if re.search("casino|bets|adult|pill|track", r["host"])]
+    assert unwanted and unwanted.count("block") == len(unwanted)
+    assert sum(r["verdict"] == "allow" for r in free) > 0.8 * len(free)
+    n, right = url_filter.held_out_accuracy(tables.pages, URL_RULES, url_filter.word_counts(tables.pages, "html"))
+    assert n >= 20 and right > 0.7
 
 
 def test_preferences(spark):
