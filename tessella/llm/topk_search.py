@@ -14,7 +14,7 @@ does one without an id; missing components of a shorter vector are 0; an empty v
 all; equal scores are ordered by the smaller id; repeated rows are candidates each, a query's own row is
 left out of its own search only (other rows with its id are not). Ids that repeat among the queries give
 one list for each row, told apart by ``copy``. Scores that doubles may not hold are computed with Python integers, and
-a score beyond 64 bits becomes the nearest 64-bit number. An empty table gives an empty one.
+a score beyond 64 bits becomes the nearest 64-bit number after it was ranked. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -89,11 +89,17 @@ def search_block(queries: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, own
                 break
             if len(open_) > step:
                 open_ = open_[np.argpartition(bound[open_], step)[:step]]
-            done[open_] = True
-            evaluated += len(open_)
+            if exact and 4 * len(open_) > len(x):
+                # the bounds leave most rows: one product with all of them is cheaper than several with parts
+                open_ = np.flatnonzero(~done & np.isfinite(bound))
+                done[:] = True
+                evaluated += len(x)
+                found = (x @ q[i])[open_].astype(np.int64)
+            else:
+                done[open_] = True
+                evaluated += len(open_)
+                found = (x[open_] @ q[i]).astype(np.int64) if exact else None
             if exact:
-                # where most rows are open, multiplying in place is cheaper than gathering them first
-                found = ((x @ q[i])[open_] if 4 * len(open_) > len(x) else x[open_] @ q[i]).astype(np.int64)
                 if len(found) > 4 * k:  # only what can be among the best is put in order
                     fine = found >= np.partition(found, -k)[-k]
                     open_, found = open_[fine], found[fine]
@@ -110,17 +116,25 @@ def search_block(queries: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, own
     return best, scores, evaluated
 
 
+def _double(score: int) -> float:
+    try:
+        return float(score)
+    except OverflowError:
+        return math.inf if score > 0 else -math.inf
+
+
 def _searcher(k: int, pivots: int):
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query": [], "copy": [], "id": [], "score": []}).astype("int64")
+            return pd.DataFrame({"query": [], "copy": [], "id": [], "score": [], "size": []}).astype({"query": "int64", "copy": "int64", "id": "int64", "score": "int64", "size": "float64"})
         ids, copies = right["id"].to_numpy(np.int64), right["copy"].to_numpy(np.int64)
         places = {(a, b): i for i, (a, b) in enumerate(zip(ids.tolist(), copies.tolist()))}
         own = np.array([places.get((a, b), -1) for a, b in zip(left["id"], left["copy"])], np.int64)
         best, scores, _ = search_block(_ints(list(left["vector"])), _ints(list(right["vector"])), ids, own, k, pivots)
         at, rank = np.nonzero(best >= 0)
         score = np.array([min(max(int(s), -2 ** 63), 2 ** 63 - 1) for s in scores[at, rank]], np.int64)
-        return pd.DataFrame({"query": left["id"].to_numpy(np.int64)[at], "copy": left["copy"].to_numpy(np.int64)[at], "id": ids[best[at, rank]], "score": score})
+        size = np.array([_double(s) for s in scores[at, rank]])  # what 64 bits may not hold
+        return pd.DataFrame({"query": left["id"].to_numpy(np.int64)[at], "copy": left["copy"].to_numpy(np.int64)[at], "id": ids[best[at, rank]], "score": score, "size": size})
 
     return lambda key, left, right: search(left, right)
 
@@ -130,10 +144,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, ve
     """``query_id, copy, rank, vec_id, score`` of the ``k`` rows with the highest inner product of
     ``floor(scale * x)`` for every row that fulfils ``is_query``, its own row left out."""
     raw = F.col(f"`{embedding}`")
-    fine = raw.isNotNull() & F.forall(raw, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) != math.inf))
+    fine = raw.isNotNull() & F.forall(raw, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double") * scale) != math.inf))
     rows = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.when(fine, raw).alias("raw"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = rows.where("raw IS NOT NULL AND id IS NOT NULL")
-    rows = rows.select("id", "asks", F.transform("raw", lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("vector"))
+    # a double of this size is whole already, and beyond the integers that floor gives
+    whole = lambda x: F.when(F.abs(x) < 2.0**53, F.floor(x).cast("double")).otherwise(x)
+    rows = rows.select("id", "asks", F.transform("raw", lambda x: whole(x.cast("double") * scale)).alias("vector"))
     # a third of all rows may be one vector; they differ in their ids, and rows with one id in their copy
     rows = written(rows.withColumn("copy", F.monotonically_increasing_id()), "vectors")
     sizes = rows.agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).first()
@@ -141,7 +157,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, ve
     dealt = rows.select("id", "copy", "vector", "asks", F.pmod(F.xxhash64("copy"), F.lit(blocks)).alias("x"), F.pmod(F.xxhash64("copy", F.lit(1)), F.lit(asking)).alias("q"))
     left = dealt.where("asks").select("id", "copy", "vector", "q", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("x"))
     right = dealt.select("id", "copy", "vector", F.explode(F.expr(f"sequence(0L, {asking - 1}L)")).alias("q"), "x")
-    found = left.groupBy("q", "x").cogroup(right.groupBy("q", "x")).applyInPandas(_searcher(k, pivots), "query long, copy long, id long, score long")
-    order = Window.partitionBy("query", "copy").orderBy(F.desc("score"), "id")
+    found = left.groupBy("q", "x").cogroup(right.groupBy("q", "x")).applyInPandas(_searcher(k, pivots), "query long, copy long, id long, score long, size double")
+    order = Window.partitionBy("query", "copy").orderBy(F.desc("size"), F.desc("score"), "id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select(F.col("query").alias("query_id"), "copy", "rank", F.col("id").alias("vec_id"), "score")

@@ -233,6 +233,22 @@ def test_top_k(spark):
     assert topk_search.top_k(frame.limit(0), frame["vec_id"] % 20 == 0).count() == 0
 
 
+def test_large_components(spark):
+    rows = [(20, [1.0, 1.0]), (1, [1e18, 0.0]), (2, [1e19, 0.0]), (3, [1e20, 0.0]), (4, [-1e20, 0.0]), (5, [3e38, 1.0]), (6, [0.5, 0.25])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = topk_search.top_k(frame, frame["vec_id"] % 20 == 0).orderBy("rank").collect()
+    assert [r["vec_id"] for r in found] == [5, 3, 2, 1, 6, 4]
+    exact = {i: sum(int(np.floor(64 * a)) * int(np.floor(64 * b)) for a, b in zip(v, rows[0][1])) for i, v in rows[1:]}
+    assert all(r["score"] == min(max(exact[r["vec_id"]], -2**63), 2**63 - 1) for r in found)
+
+
+def test_products_are_counted_whole():
+    rng = np.random.default_rng(2)
+    rows = np.floor(rng.normal(size=(3000, 64)) * 64)  # bounds say nothing here
+    _, _, evaluated = topk_search.search_block(rows[:5], rows, np.arange(3000), np.arange(5), 10, 8)
+    assert evaluated >= 5 * 2999
+
+
 def test_few_products_are_evaluated():
     rng = np.random.default_rng(6)
     centres = rng.normal(size=(30, 6)) * 400
