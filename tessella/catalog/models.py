@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessella.catalog import claims, traffic
 from tessella.catalog.base import Tables, query, rounded
-from tessella.operators import clusters, density, explain, forecast, isolation, series, vectors
+from tessella.operators import clusters, density, explain, forecast, isolation, joint, series, vectors
 from tessella.plans import claims as claims_plan
 from tessella.plans import topics as topics_plan
 
@@ -230,16 +230,29 @@ def series_trend_errors(t: Tables) -> DataFrame:
     return rounded(forecast.regression_metrics(said, "value", "predicted", ["user_id"]).select("user_id", "rows", "rmse", "mae"), ["rmse", "mae"], 6)
 
 
-@query()
-def two_target_model(t: Tables) -> DataFrame:
-    """Toxicity as binary and quality as number target from simple measures of the text."""
+TEXT_MEASURES = ["chars", "words", "distinct_words", "lines", "digits", "capitals"]
+
+
+def labelled_measures(t: Tables) -> DataFrame:
+    """Simple measures of the labelled texts, split three ways."""
     words = F.split("text", r"\s+")
     rows = t.documents.join(t.labels, "doc_id").select(
         "doc_id", "quality", "toxic", F.col("n_chars").cast("double").alias("chars"), F.size(words).cast("double").alias("words"),
         F.size(F.array_distinct(words)).cast("double").alias("distinct_words"), F.size(F.split("text", "\n")).cast("double").alias("lines"),
         F.length(F.regexp_replace("text", "[^0-9]", "")).cast("double").alias("digits"), F.length(F.regexp_replace("text", "[^A-Z]", "")).cast("double").alias("capitals"),
     )
-    split = explain.three_way_split(rows, ["doc_id"])
-    features = ["chars", "words", "distinct_words", "lines", "digits", "capitals"]
-    found = forecast.two_target_model(split, features, "toxic", "quality")
+    return explain.three_way_split(rows, ["doc_id"])
+
+
+@query()
+def two_target_model(t: Tables) -> DataFrame:
+    """Toxicity as binary and quality as number target from simple measures of the text."""
+    found = forecast.two_target_model(labelled_measures(t), TEXT_MEASURES, "toxic", "quality")
+    return found.select("doc_id", "split", "quality", "toxic", "predicted_toxic", "predicted_quality")
+
+
+@query()
+def two_target_joint(t: Tables) -> DataFrame:
+    """The same two targets from one network whose layers both share."""
+    found, _ = joint.joint_model(labelled_measures(t), TEXT_MEASURES, "toxic", "quality", rounds=40)
     return found.select("doc_id", "split", "quality", "toxic", "predicted_toxic", "predicted_quality")

@@ -338,10 +338,10 @@ def weekly_overlay(t: Tables) -> DataFrame:
 
 @query("""
     SELECT slice, event_type, round(sum(value), 4) AS value FROM (
-        SELECT CAST(DATE '2024-01-03' + CAST(floor(datediff('day', DATE '2024-01-03', CAST(ts AS DATE)) / 7) AS INTEGER) * 7 AS DATE) AS slice, event_type, value
-        FROM events WHERE ts >= TIMESTAMP '2024-01-03') GROUP BY 1, 2""")
+        SELECT CAST(DATE '2023-12-27' + CAST(floor(datediff('day', DATE '2023-12-27', CAST(ts AS DATE)) / 7) AS INTEGER) * 7 AS DATE) AS slice, event_type, value
+        FROM events WHERE ts >= TIMESTAMP '2023-12-27') GROUP BY 1, 2""")
 def weekly_slices(t: Tables) -> DataFrame:
-    return rounded(rollup.sum_by(series.time_slices(t.events, "ts", "2024-01-03"), ["slice", "event_type"], ["value"]), ["value"])
+    return rounded(rollup.sum_by(series.time_slices(t.events, "ts", "2023-12-27"), ["slice", "event_type"], ["value"]), ["value"])
 
 
 @query("""
@@ -356,10 +356,10 @@ def event_slot_report(t: Tables) -> DataFrame:
     return rounded(report, ["sum_value"])
 
 
-@query("SELECT date_trunc('hour', ts) AS hour, round(avg(value), 6) AS value FROM events WHERE event_type = 'click' GROUP BY 1")
+@query("SELECT event_type, date_trunc('hour', ts) AS hour, round(avg(value), 6) AS value FROM events GROUP BY 1, 2")
 def mean_by_time(t: Tables) -> DataFrame:
-    rows = clean.keep_equal(t.events, "event_type", "click").withColumn("hour", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
-    return rounded(rollup.mean_by(rows, ["hour"], ["value"]), ["value"], 6)
+    rows = t.events.withColumn("hour", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
+    return rounded(rollup.mean_by(rows, ["event_type", "hour"], ["value"]), ["value"], 6)
 
 
 @query("""
