@@ -24,6 +24,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import accumulate, count
+from operator import ne
 
 import numpy as np
 import pyarrow as pa
@@ -93,9 +94,17 @@ def within(pairs: list[tuple[list[int], list[int]]], most: int = MOST_EDITS) ->
     """Whether the two lines of each pair, words as numbers above zero, are near; many pairs of about one
     length at a time."""
     near = np.zeros(len(pairs), bool)
-    limits = [limit_of(min(len(a), len(b)), most) for a, b in pairs]
-    for limit in range(1, most + 1):
-        cores = {k: _core(*pairs[k], limit) for k, x in enumerate(limits) if x == limit and abs(len(pairs[k][0]) - len(pairs[k][1])) <= limit}
+    open_: dict[int, list[int]] = defaultdict(list)
+    for k, (a, b) in enumerate(pairs):
+        limit = limit_of(min(len(a), len(b)), most)
+        if abs(len(a) - len(b)) > limit or not limit:
+            continue
+        if len(a) == len(b) and sum(map(ne, a, b)) <= limit:  # replaced words only
+            near[k] = True
+        elif len(set(a).difference(b)) <= limit and len(set(b).difference(a)) <= limit:  # an edit brings one new word at most
+            open_[limit].append(k)
+    for limit, places in open_.items():
+        cores = {k: _core(*pairs[k], limit) for k in places}
         order = sorted(cores, key=lambda k: len(cores[k][1]))
         while order:
             few = order[-max(1, CELLS // (len(cores[order[-1]][1]) + 1)):]
@@ -205,7 +214,10 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.T
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key and id those whose key is a segment of some line and stands in another."""
+    """Of rows sorted by key and id those whose key is a segment of some line and stands in another.
+
+    They get a key made of all ids that share theirs, so lines that meet in several segments meet once.
+    """
     for table in _whole_groups(batches, 20_000):
         key, name, own = (table.column(k).to_numpy() for k in range(3))
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -213,7 +225,11 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         live = (np.add.reduceat(new.astype(np.int64), starts) > 1) & np.logical_or.reduceat(own, starts)
         keep = new & np.repeat(live, np.diff(np.append(starts, len(key))))
         if keep.any():
-            yield pa.record_batch([pa.array(key[keep]), pa.array(name[keep])], ["key", "id"])
+            mixed = name.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            everyone = np.add.reduceat(np.where(new, mixed, np.uint64(0)), starts)
+            together = np.repeat(everyone, np.diff(np.append(starts, len(key)))).view(np.int64)
+            yield pa.record_batch([pa.array(together[keep]), pa.array(name[keep])], ["key", "id"])
 
 
 def _forests(most: int):
@@ -258,7 +274,7 @@ def near_lines(docs: DataFrame, text: str = "text", most: int = MOST_EDITS) -> D
     texts = docs.select(F.col(f"`{text}`").cast("string").alias("_text"))
     keys = texts.mapInArrow(_runs(most), "key long, id long, own boolean")
     live = keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_shared, "key long, id long")
-    live = written(live, "shared-segments")
+    live = written(live.distinct(), "shared-segments")
     asked = written(live.select("id").distinct(), "lines-asked")
     lines = texts.mapInArrow(_named_lines(_filter_of(asked)), "id long, line binary")
     known = written(lines.join(asked, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line")), "lines")
