@@ -179,15 +179,18 @@ def _runs(most: int):
                         if len(met) >= MET:
                             met.clear()
                         met.add(name)
-                        plan = plans.get(n) or plans.setdefault(n, probes(n, most))
+                        plan = plans.get(n)
+                        if plan is None:
+                            found, mine = probes(n, most)
+                            plan = plans[n] = (found, np.array(mine, bool))
                         plain, starts = b" ".join(words), [0, *accumulate(len(w) + 1 for w in words)]
                         keys += [digest(plain[starts[a]:starts[b] - 1], seed) for a, b, seed in plan[0]]
-                        own += plan[1]
+                        own.append(plan[1])
                         ids.append(name)
                         counts.append(len(plan[1]))
                 yield pa.record_batch([
-                    pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.repeat(np.array(ids, np.uint64).view(np.int64), np.array(counts, np.int64))),
-                    pa.array(own, pa.bool_()),
+                    pa.array(np.fromiter(keys, np.uint64, len(keys)).view(np.int64)), pa.array(np.repeat(np.array(ids, np.uint64).view(np.int64), np.array(counts, np.int64))),
+                    pa.array(np.concatenate(own) if own else np.zeros(0, bool)),
                 ], ["key", "id", "own"])
 
     return find
