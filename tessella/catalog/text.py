@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tessella.catalog.base import Tables, query, rounded
 from tessella.functions import columns as C
-from tessella.operators import words
+from tessella.operators import boundaries, words
+from tessella.session import cut
 
 STOP_WORDS = ("the", "of", "and", "to", "in", "for", "der", "die", "und", "le", "la", "les", "de", "el", "que")
 # DuckDB and Spark count the ASCII white space below as white space
@@ -94,3 +95,67 @@ def zip_explode(t: Tables) -> DataFrame:
     rows = t.conversations.select("conv_id", "turn", F.split("text", " ").alias("w"))
     rows = rows.withColumn("n", F.transform("w", lambda x: F.length(x).cast("long")))
     return words.zip_explode(rows, ["conv_id", "turn"], "w", "n")
+
+
+def _bare(x: str) -> str:
+    return rf"lower(regexp_replace(regexp_replace({x}, '^[^\p{{L}}\p{{N}}]+', ''), '[^\p{{L}}\p{{N}}.]+$', ''))"
+
+
+def _has_dot(w: str) -> str:
+    return f"({w} LIKE '%.' AND {w} NOT LIKE '%..')"
+
+
+def _stem(w: str) -> str:
+    return f"(CASE WHEN {_has_dot(w)} THEN left({w}, -1) ELSE {w} END)"
+
+
+WORDS_SQL = rf"""
+    toks AS (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i FROM (
+        SELECT doc_id, {_bare('x')} AS w, i FROM (
+            SELECT doc_id, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, string_split_regex(text, '{SPACE}+') AS p FROM documents))) WHERE w <> ''),
+    counts AS (SELECT {_stem('w')} AS word, count(*) FILTER ({_has_dot('w')}) AS n_dotted, count(*) FILTER (NOT {_has_dot('w')}) AS n_plain FROM toks GROUP BY 1),
+    whole AS (SELECT sum(n_dotted + n_plain)::DOUBLE AS n, sum(n_dotted)::DOUBLE AS dots FROM counts),
+    abbr AS (SELECT word, n_dotted, n_plain, score FROM (
+        SELECT word, n_dotted, n_plain,
+            2 * (n_dotted * ln(0.99 / (dots / n)) + n_plain * ln(0.01 / (1 - dots / n)))
+            * exp(-(length(word) - periods)) * (periods + 1) * pow((length(word) - periods)::DOUBLE, -n_plain::DOUBLE) AS score
+        FROM (SELECT *, length(word) - length(replace(word, '.', '')) AS periods FROM counts, whole WHERE n_dotted > 0 AND regexp_matches(word, '\p{{L}}'))) WHERE score >= 0.3)"""
+COLLOCATIONS_SQL = rf"""
+    pairs AS (SELECT {_stem('w')} AS word, {_stem('f')} AS following, count(*)::DOUBLE AS k FROM (
+        SELECT w, lead(w) OVER (PARTITION BY doc_id ORDER BY i) AS f FROM toks) WHERE f IS NOT NULL AND regexp_full_match(w, '(\p{{L}}|\p{{N}}+)\.') GROUP BY 1, 2),
+    sized AS (SELECT pairs.*, (a.n_dotted + a.n_plain)::DOUBLE AS c1, (b.n_dotted + b.n_plain)::DOUBLE AS c2, n FROM pairs
+        JOIN counts a ON a.word = pairs.word JOIN counts b ON b.word = pairs.following, whole WHERE k > 1),
+    coll AS (SELECT word, following, k::BIGINT AS n, score FROM (SELECT *, 2 * (
+            k * ln(k / c1) + CASE WHEN c1 > k THEN (c1 - k) * ln(1 - k / c1) ELSE 0 END
+            + CASE WHEN c2 > k THEN (c2 - k) * ln((c2 - k) / (n - c1)) ELSE 0 END
+            + CASE WHEN n - c1 > c2 - k THEN (n - c1 - c2 + k) * ln(1 - (c2 - k) / (n - c1)) ELSE 0 END
+            - k * ln(c2 / n) - (c1 - k) * ln(1 - c2 / n)
+            - (c2 - k) * ln(c2 / n) - (n - c1 - c2 + k) * ln(1 - c2 / n)) AS score
+        FROM sized WHERE n > c1 AND k * n > c1 * c2) WHERE score >= 7.88)"""
+
+
+@query(f"WITH {WORDS_SQL} SELECT word, n_dotted, n_plain, round(score, 6) AS score FROM abbr")
+def abbreviations(t: Tables) -> DataFrame:
+    """Words of the documents whose period is their own, with the figures that say so."""
+    return rounded(boundaries.abbreviations(cut(boundaries.word_counts(t.documents, "text"))), ["score"], 6)
+
+
+@query(f"WITH {WORDS_SQL}, {COLLOCATIONS_SQL} SELECT word, following, n, round(score, 4) AS score FROM coll")
+def collocations(t: Tables) -> DataFrame:
+    """Words that belong to the number or initial with a period in front of them."""
+    return rounded(boundaries.collocations(t.documents, "text", cut(boundaries.word_counts(t.documents, "text"))), ["score"], 4)
+
+
+@query(rf"""
+    WITH {WORDS_SQL}, {COLLOCATIONS_SQL},
+    pieces AS (SELECT doc_id, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM (
+        SELECT doc_id, string_split(regexp_replace(text, '([.!?])({SPACE})', '\1' || chr(1) || '\2', 'g'), chr(1)) AS p FROM documents)),
+    ends AS (SELECT *, {_bare(f"string_split_regex(x, '{SPACE}+')[-1]")} AS last, {_bare(f"coalesce(string_split_regex(x, '{SPACE}+')[2], '')")} AS first FROM pieces),
+    seen AS (SELECT *, lag(last) OVER d AS before, lag(x) OVER d AS left_x FROM ends WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+    cuts AS (SELECT *, i > 1 AND left_x LIKE '%.' AND {_has_dot('before')} AND (
+        {_stem('before')} IN (SELECT word FROM abbr) OR {_stem('before')} || ' ' || {_stem('first')} IN (SELECT word || ' ' || following FROM coll)) AS held FROM seen),
+    numbered AS (SELECT *, sum(CASE WHEN held THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM cuts)
+    SELECT doc_id, CAST(s - 1 AS INTEGER) AS sentence_no, regexp_replace(string_agg(x, '' ORDER BY i), '^{SPACE}+', '') AS sentence FROM numbered GROUP BY doc_id, s""")
+def sentences_by_statistics(t: Tables) -> DataFrame:
+    """Whole sentences of the documents, cut where the documents' own statistics see no abbreviation."""
+    return boundaries.split_sentences(t.documents, "text", ["doc_id"])

@@ -15,6 +15,7 @@ from tessella.session import cut
 # Fixed value: what the normaliser removes from a token.
 CLEANUP_PATTERN = r"[^\w\s]|http\S+|\d+|[A-Z][a-z]+"
 BLOCK = 4096
+SKETCH_CELLS = 1 << 22
 
 
 def sentences(text: str | Column) -> Column:
@@ -56,10 +57,15 @@ def words_of(text: str | Column) -> Column:
     return F.split(F.lower(text), r"\s")
 
 
+def grams_of(words: Column, n: int) -> Column:
+    """All runs of ``n`` words inside one array, each an array."""
+    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.slice(words, i, n))
+
+
 def ngrams_of(words: Column, n: int) -> Column:
     """All runs of ``n`` words inside one array, joined by blanks."""
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+    return F.transform(grams_of(words, n), lambda g: F.array_join(g, " "))
 
 
 def _word_offsets(df: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
@@ -78,42 +84,111 @@ def _word_offsets(df: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
     return counted.withColumn("_at", F.col("_start") + F.coalesce(F.sum("_size").over(inner), F.lit(0))).drop("_range", "_start")
 
 
+def _word_rows(df: DataFrame, group: str, order: Sequence[str], text: str) -> DataFrame:
+    rows = spread_out(df.select(group, *order, text).where(F.col(text).isNotNull() & F.col(group).isNotNull()))
+    return rows.select(group, *order, words_of(text).alias("_w"))
+
+
+def _crossing(rows: DataFrame, group: str, order: Sequence[str], n: int) -> DataFrame:
+    """``group, _g``: the n-grams that begin in one text of a group and end in a later one, as arrays.
+
+    Only the first and last ``n - 1`` words of each text move, in blocks of consecutive positions.
+    """
+    edge = n - 1
+    lean = rows.select(
+        group, *order, F.size("_w").cast("long").alias("_size"),
+        F.slice("_w", 1, edge).alias("_head"),
+        F.slice("_w", F.greatest(F.size("_w") - edge + 1, F.lit(1)), edge).alias("_tail"),
+    )
+    placed = _word_offsets(lean, group, order)  # a few words per text
+    head = F.transform("_head", lambda w, i: F.struct((F.col("_at") + i).alias("at"), w.alias("w"), F.col("_at").alias("of")))
+    tail_at = F.col("_at") + F.greatest(F.col("_size") - edge, F.lit(0))
+    tail = F.transform("_tail", lambda w, i: F.struct((tail_at + i).alias("at"), w.alias("w"), F.col("_at").alias("of")))
+    words = placed.select(group, F.explode(F.array_distinct(F.concat(head, tail))).alias("_x")).select(group, "_x.*")
+    block = F.floor(F.col("at") / BLOCK)
+    # the first words of a block are also needed at the end of the block before
+    copies = F.when((F.col("at") % BLOCK < edge) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))
+    words = words.select(group, "at", "w", "of", block.alias("home"), F.explode(copies).alias("block"))
+    run = Window.partitionBy(group, "block").orderBy("at").rowsBetween(0, edge)
+    runs = words.select(
+        group, "at", "of", "home", "block",
+        F.collect_list("w").over(run).alias("_g"), F.max("at").over(run).alias("_end"), F.max("of").over(run).alias("_last"),
+    )
+    crossing = runs.where((F.col("home") == F.col("block")) & (F.col("_end") == F.col("at") + edge) & (F.col("_last") > F.col("of")))
+    return crossing.where(F.size("_g") == n).select(group, "_g")
+
+
+def _counted(grams: DataFrame, group: str) -> DataFrame:
+    grams = grams.select(group, F.array_join("_g", " ").alias("ngram"))
+    # the null test is what the joins on the n-gram add; stated here, all uses share one shuffle
+    return grams.where(F.col("ngram").isNotNull()).groupBy(group, "ngram").agg(F.count("*").alias("tf"))
+
+
 def group_ngrams(df: DataFrame, group: str, order: Sequence[str], text: str, n: int) -> DataFrame:
     """``group, ngram, tf``: n-grams of all texts of a group read one after the other.
 
-    Equal to joining the texts of a group with blanks, but no group is ever put in one place.
-    n-grams inside a text are counted where the text lies; for those that cross texts only the
-    first and last ``n - 1`` words of each text move, in blocks of consecutive positions.
+    Equal to joining the texts of a group with blanks, but no group is ever put in one place:
+    n-grams inside a text are counted where the text lies, those that cross texts come from its edges.
     """
-    rows = spread_out(df.select(group, *order, text).where(F.col(text).isNotNull() & F.col(group).isNotNull()))
-    rows = rows.select(group, *order, words_of(text).alias("_w"))
-    inside = rows.select(group, F.explode(ngrams_of(F.col("_w"), n)).alias("ngram"))
+    rows = _word_rows(df, group, order, text)
+    grams = rows.select(group, F.explode(grams_of(F.col("_w"), n)).alias("_g"))
+    return _counted(grams.unionByName(_crossing(rows, group, order, n)) if n > 1 else grams, group)
+
+
+def _in_mask(mask: DataFrame, gram: str, cells: int) -> Column:
+    """Whether the bit of an n-gram's cell is set in the one array of ``mask``."""
+    cell = F.pmod(F.xxhash64(gram), F.lit(cells))
+    word = F.get(mask.scalar(), F.shiftright(cell, 6).cast("int"))
+    return F.call_function("shiftright", word, (cell % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
+def _mask(cells: DataFrame, size: int) -> DataFrame:
+    """The given cells as bits of one array of ``size / 64`` numbers."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("_cell") % 64).cast("int"))
+    packed = cells.groupBy(F.shiftright("_cell", 6).alias("id")).agg(F.bit_or(bit).alias("bits"))
+    every = cells.sparkSession.range(size // 64).join(packed, "id", "left")
+    in_order = F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
+    return cut(every.agg(in_order["bits"].alias("mask")))
+
+
+def frequent_ngrams(
+    df: DataFrame, group: str, order: Sequence[str], text: str, n: int, vocabulary: int, min_df: int = 2, max_df: float = 0.9, cells: int = SKETCH_CELLS
+) -> DataFrame:
+    """``group, ngram, tf`` with exact counts, of all n-grams that ``tfidf`` can take into its vocabulary.
+
+    A count sketch comes first: n-grams are counted by hash cell, ``cells`` numbers for each task that merge
+    in the shuffle. A cell bounds each of its n-grams from above, and a cell that saw one group only holds
+    none of several groups. Cells at or above a bound become a bitmap (``cells`` bits), and only their
+    n-grams are shuffled. If fewer than ``vocabulary`` fitting n-grams reach the bound it is lowered and the
+    count repeated, so the vocabulary is the same as that of all n-grams, ties included. ``cells`` is a power of
+    two of at least 64.
+    """
+    rows = _word_rows(df, group, order, text)
+    grams = rows.select(group, F.explode(grams_of(F.col("_w"), n)).alias("_g"))
     if n > 1:
-        edge = n - 1
-        lean = rows.select(
-            group, *order, F.size("_w").cast("long").alias("_size"),
-            F.slice("_w", 1, edge).alias("_head"),
-            F.slice("_w", F.greatest(F.size("_w") - edge + 1, F.lit(1)), edge).alias("_tail"),
-        )
-        placed = _word_offsets(lean, group, order)  # a few words per text
-        head = F.transform("_head", lambda w, i: F.struct((F.col("_at") + i).alias("at"), w.alias("w"), F.col("_at").alias("of")))
-        tail_at = F.col("_at") + F.greatest(F.col("_size") - edge, F.lit(0))
-        tail = F.transform("_tail", lambda w, i: F.struct((tail_at + i).alias("at"), w.alias("w"), F.col("_at").alias("of")))
-        words = placed.select(group, F.explode(F.array_distinct(F.concat(head, tail))).alias("_x")).select(group, "_x.*")
-        block = F.floor(F.col("at") / BLOCK)
-        # the first words of a block are also needed at the end of the block before
-        copies = F.when((F.col("at") % BLOCK < edge) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))
-        words = words.select(group, "at", "w", "of", block.alias("home"), F.explode(copies).alias("block"))
-        run = Window.partitionBy(group, "block").orderBy("at").rowsBetween(0, edge)
-        runs = words.select(
-            group, "at", "of", "home", "block",
-            F.collect_list("w").over(run).alias("_run"), F.max("at").over(run).alias("_end"), F.max("of").over(run).alias("_last"),
-        )
-        crossing = runs.where((F.col("home") == F.col("block")) & (F.col("_end") == F.col("at") + edge) & (F.col("_last") > F.col("of")))
-        crossing = crossing.where(F.size("_run") == n).select(group, F.array_join("_run", " ").alias("ngram"))
-        inside = inside.unionByName(crossing)
-    # the null test is what the joins on the n-gram add; stated here, all uses share one shuffle
-    return inside.where(F.col("ngram").isNotNull()).groupBy(group, "ngram").agg(F.count("*").alias("tf"))
+        grams = grams.unionByName(cut(_crossing(rows, group, order, n)))
+    n_groups, n_marks = df.where(F.col(text).isNotNull()).agg(F.count_distinct(group), F.count_distinct(F.xxhash64(group))).first()
+    marks = grams.select(F.pmod(F.xxhash64("_g"), F.lit(cells)).alias("_cell"), F.xxhash64(group).alias("_of"))
+    sketch = marks.groupBy("_cell").agg(F.count("*").alias("n"), F.min("_of").alias("_a"), F.max("_of").alias("_b"))
+    least = max(1, min_df)  # as many groups, so at least as often
+    several = (F.col("_a") != F.col("_b")) if min_df > 1 and n_groups == n_marks else F.lit(True)
+    sketch = cut(sketch.where(several & (F.col("n") >= least)).select("_cell", "n"))
+    top = sketch.orderBy(F.desc("n")).limit(2 * vocabulary).agg(F.count("*"), F.min("n")).first()
+    bound = top[1] if top[0] == 2 * vocabulary else least
+    while True:
+        mask = _mask(sketch.where(F.col("n") >= bound), cells)
+        counts = cut(_counted(grams.where(_in_mask(mask, "_g", cells)), group))
+        if bound <= least:
+            return counts
+        sure = _terms(counts, n_groups, min_df, max_df).where(F.col("total") >= bound)
+        if sure.limit(vocabulary).count() == vocabulary:
+            return counts
+        bound = max(least, bound // 4)
+
+
+def _terms(counts: DataFrame, n_groups: int, min_df: int, max_df: float) -> DataFrame:
+    terms = counts.groupBy("ngram").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+    return terms.where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_groups))
 
 
 def tfidf(counts: DataFrame, group: str, n_groups: int, vocabulary: int | None = 10_000, min_df: int = 2, max_df: float = 0.9) -> DataFrame:
@@ -121,10 +196,7 @@ def tfidf(counts: DataFrame, group: str, n_groups: int, vocabulary: int | None =
 
     The vocabulary is the ``vocabulary`` most frequent such terms, ties in alphabetical order.
     """
-    terms = (
-        counts.groupBy("ngram").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
-        .where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_groups))
-    )
+    terms = _terms(counts, n_groups, min_df, max_df)
     if vocabulary is not None:
         terms = terms.orderBy(F.desc("total"), "ngram").limit(vocabulary)
     idf = F.log((F.lit(n_groups) + 1.0) / (F.col("df") + 1.0))
@@ -144,7 +216,11 @@ def top_words(
 ) -> DataFrame:
     """The ``top`` n-grams of each group by TF-IDF: ``group, rank, ngram, tfidf``."""
     n_groups = df.where(F.col(text).isNotNull()).agg(F.count_distinct(group)).first()[0]
-    scored = tfidf(group_ngrams(df, group, order, text, n), group, n_groups, vocabulary, min_df, max_df)
+    if vocabulary is None:
+        counts = group_ngrams(df, group, order, text, n)
+    else:
+        counts = frequent_ngrams(df, group, order, text, n, vocabulary, min_df, max_df)
+    scored = tfidf(counts, group, n_groups, vocabulary, min_df, max_df)
     ranked = Window.partitionBy(group).orderBy(F.desc("tfidf"), "ngram")
     return (
         scored.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= top)
