@@ -184,6 +184,21 @@ def sentence_embedding(t: Tables) -> DataFrame:
     return rows.select("conv_id", "turn", "embedding")
 
 
+def _token_measures():
+    """An encoder as a caller would hand it over: length and first letter of each token."""
+    return lambda texts: [[(len(w), w[0] in "aeiou") for w in t.split(" ") if w] for t in texts]
+
+
+@query("""
+    SELECT conv_id, turn, list_avg(list_transform(w, lambda x: length(x)))::FLOAT::DOUBLE AS embedding_0,
+           list_avg(list_transform(w, lambda x: (x[1] IN ('a', 'e', 'i', 'o', 'u'))::INTEGER))::FLOAT::DOUBLE AS embedding_1
+    FROM (SELECT conv_id, turn, list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM conversations WHERE text IS NOT NULL)""")
+def encoded_turns(t: Tables) -> DataFrame:
+    """Means of the token vectors of a given encoder for each turn."""
+    rows = vectors.encode_texts(t.conversations.select("conv_id", "turn", "text"), "text", _token_measures, per_token=True)
+    return rows.select("conv_id", "turn", *[F.col("embedding")[i].cast("double").alias(f"embedding_{i}") for i in range(2)])
+
+
 @query()
 def topic_extraction(t: Tables) -> DataFrame:
     """Conversation sentences, cleaned and embedded, in twelve topics with the words that stand out."""

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import PCA, ElementwiseProduct, StandardScaler, Tokenizer, VectorAssembler, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -127,11 +128,13 @@ def average_word_vectors(df: DataFrame, text: str, name: str = "embedding", size
     return model.transform(words).drop("_words")
 
 
-def encode_texts(df: DataFrame, text: str, make_encoder: Callable[[], Callable[[list[str]], np.ndarray]], name: str = "embedding") -> DataFrame:
+def encode_texts(df: DataFrame, text: str, make_encoder: Callable[[], Callable[[list[str]], np.ndarray]], name: str = "embedding", per_token: bool = False) -> DataFrame:
     """Run a given encoder over the texts in Arrow batches.
 
     ``make_encoder`` is called once per task and returns a function from a list of texts to a
-    matrix with one row per text, for instance a sentence transformer loaded from disk.
+    matrix with one row per text, for instance a sentence transformer loaded from disk. With ``per_token``
+    the function returns one matrix for each text, with one row per token, and the text gets their mean;
+    a text without tokens gets a null. Rows without a text are left out.
     """
     from pyspark.sql import types as T
 
@@ -140,7 +143,11 @@ def encode_texts(df: DataFrame, text: str, make_encoder: Callable[[], Callable[[
     def run(batches: Iterator):
         encoder = make_encoder()
         for batch in batches:
-            vectors = np.asarray(encoder(batch[text].tolist()), dtype="float32")
-            yield batch.assign(**{name: list(vectors)})
+            found = encoder(batch[text].tolist())
+            if per_token:
+                vectors = [np.mean(np.asarray(m, dtype="float64"), axis=0).astype("float32") if len(m) else None for m in found]
+            else:
+                vectors = list(np.asarray(found, dtype="float32"))
+            yield batch.assign(**{name: pd.Series(vectors, index=batch.index, dtype=object)})
 
     return df.where(F.col(text).isNotNull()).mapInPandas(run, schema)
