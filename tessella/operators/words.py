@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tessella.functions.sizing import attach, small_table, spread_out
@@ -15,7 +20,8 @@ from tessella.session import cut
 # Fixed value: what the normaliser removes from a token.
 CLEANUP_PATTERN = r"[^\w\s]|http\S+|\d+|[A-Z][a-z]+"
 BLOCK = 4096
-SKETCH_CELLS = 1 << 22
+MASK_CELLS = 1 << 24
+CHUNK_BYTES = 6 << 20  # bytes of text whose n-grams are counted at once; the end of a chunk is the end of a text
 
 
 def sentences(text: str | Column) -> Column:
@@ -84,9 +90,46 @@ def _word_offsets(df: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
     return counted.withColumn("_at", F.col("_start") + F.coalesce(F.sum("_size").over(inner), F.lit(0))).drop("_range", "_start")
 
 
-def _word_rows(df: DataFrame, group: str, order: Sequence[str], text: str) -> DataFrame:
+def _lower_rows(df: DataFrame, group: str, order: Sequence[str], text: str) -> DataFrame:
     rows = spread_out(df.select(group, *order, text).where(F.col(text).isNotNull() & F.col(group).isNotNull()))
-    return rows.select(group, *order, words_of(text).alias("_w"))
+    return rows.select(group, *order, F.lower(text).alias("_t"))
+
+
+def _word_lists(texts: pa.Array) -> pa.Array:
+    """``words_of`` lower-cased texts."""
+    return pc.split_pattern_regex(texts, r"[ \t\n\x0b\f\r]")
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows with about ``CHUNK_BYTES`` bytes of text, the last column, in each part."""
+    sizes = pc.binary_length(batch.column(batch.num_columns - 1)).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (np.cumsum(sizes) - sizes) // CHUNK_BYTES
+    starts = np.flatnonzero(np.diff(part, prepend=-1))
+    for at, end in zip(starts, [*starts[1:], len(part)]):
+        yield batch.slice(at, end - at)
+
+
+def _edges(rows: DataFrame, group: str, order: Sequence[str], edge: int) -> DataFrame:
+    """``_size``, the number of words of each text, and its first and last ``edge`` words."""
+    columns = [group, *order]
+
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _parts(batch):
+                lists = _word_lists(part.column(len(columns)))
+                sizes, flat = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten()
+                ends, few = np.cumsum(sizes), np.minimum(sizes, edge)
+                offsets = np.concatenate([[0], np.cumsum(few)])
+                inner = np.arange(offsets[-1]) - np.repeat(offsets[:-1], few)
+                sides = [
+                    pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), flat.take(pa.array(np.repeat(at, few) + inner)))
+                    for at in (ends - sizes, ends - few)
+                ]
+                yield pa.record_batch([*part.columns[:-1], pa.array(sizes), *sides], [*columns, "_size", "_head", "_tail"])
+
+    words = T.ArrayType(T.StringType())
+    new = [T.StructField("_size", T.LongType()), T.StructField("_head", words), T.StructField("_tail", words)]
+    return rows.mapInArrow(edges, T.StructType([*[rows.schema[c] for c in columns], *new]))
 
 
 def _crossing(rows: DataFrame, group: str, order: Sequence[str], n: int) -> DataFrame:
@@ -95,12 +138,7 @@ def _crossing(rows: DataFrame, group: str, order: Sequence[str], n: int) -> Data
     Only the first and last ``n - 1`` words of each text move, in blocks of consecutive positions.
     """
     edge = n - 1
-    lean = rows.select(
-        group, *order, F.size("_w").cast("long").alias("_size"),
-        F.slice("_w", 1, edge).alias("_head"),
-        F.slice("_w", F.greatest(F.size("_w") - edge + 1, F.lit(1)), edge).alias("_tail"),
-    )
-    placed = _word_offsets(lean, group, order)  # a few words per text
+    placed = _word_offsets(cut(_edges(rows, group, order, edge)), group, order)  # a few words per text, sampled and then dealt
     head = F.transform("_head", lambda w, i: F.struct((F.col("_at") + i).alias("at"), w.alias("w"), F.col("_at").alias("of")))
     tail_at = F.col("_at") + F.greatest(F.col("_size") - edge, F.lit(0))
     tail = F.transform("_tail", lambda w, i: F.struct((tail_at + i).alias("at"), w.alias("w"), F.col("_at").alias("of")))
@@ -118,10 +156,86 @@ def _crossing(rows: DataFrame, group: str, order: Sequence[str], n: int) -> Data
     return crossing.where(F.size("_g") == n).select(group, "_g")
 
 
-def _counted(grams: DataFrame, group: str) -> DataFrame:
-    grams = grams.select(group, F.array_join("_g", " ").alias("ngram"))
+def _gram_hashes(words: pa.Array, codes: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit hash of the ``n`` words from each start, from hashes of the distinct words."""
+    of = pd.util.hash_array(np.array(words.to_pylist(), dtype=object), categorize=False)
+    total = np.zeros(len(starts), np.uint64)
+    for k in range(n):
+        total = (total ^ (total >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + of[codes[starts + k]]
+    return total.view(np.int64)
+
+
+def _chunk_grams(chunk: pa.RecordBatch, n: int) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray, np.ndarray] | None:
+    """Distinct n-grams of a chunk: their groups, the words, their codes, where each n-gram starts, how often it is there."""
+    groups, lists = chunk.column(0), _word_lists(chunk.column(1))
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    encoded = lists.flatten().dictionary_encode()
+    codes = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    starts = np.flatnonzero(np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes)) >= n)
+    if not len(starts):
+        return None
+    kinds = groups.dictionary_encode()
+    key = np.repeat(kinds.indices.to_numpy(zero_copy_only=False).astype(np.int64), sizes)[starts]
+    most, base = len(kinds.dictionary), len(encoded.dictionary)
+    for k in range(n):
+        if most * base >= 1 << 62:  # numbers stay exact: names are dealt anew before they overflow
+            key, names = pd.factorize(key)
+            most = len(names)
+        key, most = key * base + codes[starts + k], most * base
+    _, first, times = np.unique(key, return_index=True, return_counts=True)
+    rows = np.repeat(np.arange(len(sizes)), sizes)[starts[first]]
+    return groups.take(pa.array(rows)), encoded.dictionary, codes, starts[first], times
+
+
+def _counted(texts: DataFrame, group: str, n: int, mask: np.ndarray | None = None) -> DataFrame:
+    """``group, ngram, tf`` of the n-grams inside the lower-cased texts of ``group, _t``.
+
+    Each chunk of texts counts its n-grams as numbers; strings are made of distinct ones only. ``mask``
+    leaves those whose hash cell has its bit.
+    """
+    shared = None if mask is None else texts.sparkSession.sparkContext.broadcast(mask)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in _parts(batch):
+                found = _chunk_grams(chunk, n)
+                if found is None:
+                    continue
+                of, words, codes, starts, times = found
+                if shared is not None:
+                    cell = _gram_hashes(words, codes, starts, n) & (len(shared.value) * 64 - 1)
+                    kept = np.flatnonzero((shared.value[cell >> 6] >> (cell & 63)) & 1)
+                    of, starts, times = of.take(pa.array(kept)), starts[kept], times[kept]
+                grams = pc.binary_join_element_wise(*[words.take(pa.array(codes[starts + k])) for k in range(n)], " ")
+                yield pa.record_batch([of, grams, pa.array(times.astype(np.int64))], [group, "ngram", "n"])
+
+    kind = T.StructType([texts.schema[group], T.StructField("ngram", T.StringType()), T.StructField("n", T.LongType())])
+    counted = texts.select(group, "_t").mapInArrow(count, kind)
     # the null test is what the joins on the n-gram add; stated here, all uses share one shuffle
-    return grams.where(F.col("ngram").isNotNull()).groupBy(group, "ngram").agg(F.count("*").alias("tf"))
+    return counted.where(F.col("ngram").isNotNull()).groupBy(group, "ngram").agg(F.sum("n").alias("tf"))
+
+
+def _hashed(texts: DataFrame, group: str, n: int) -> DataFrame:
+    """``_h, df, total``: in how many groups and how often each hash of an n-gram is there, in one shuffle by the hash."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in _parts(batch):
+                found = _chunk_grams(chunk, n)
+                if found is not None:
+                    of, words, codes, starts, times = found
+                    yield pa.record_batch([pa.array(_gram_hashes(words, codes, starts, n)), of, pa.array(times.astype(np.int64))], ["_h", group, "n"])
+
+    kind = T.StructType([T.StructField("_h", T.LongType()), texts.schema[group], T.StructField("n", T.LongType())])
+    counted = texts.select(group, "_t").mapInArrow(count, kind).repartition("_h")
+    return counted.groupBy("_h", group).agg(F.sum("n").alias("n")).groupBy("_h").agg(F.count("*").alias("df"), F.sum("n").alias("total"))
+
+
+def _texts(df: DataFrame, group: str, order: Sequence[str], text: str, n: int) -> DataFrame:
+    """``group, _t``: the lower-cased texts, and each n-gram that crosses texts as a text of its own."""
+    rows = _lower_rows(df, group, order, text)
+    inside = rows.select(group, "_t")
+    return inside.unionByName(cut(_crossing(rows, group, order, n)).select(group, F.array_join("_g", " ").alias("_t"))) if n > 1 else inside
 
 
 def group_ngrams(df: DataFrame, group: str, order: Sequence[str], text: str, n: int) -> DataFrame:
@@ -130,54 +244,41 @@ def group_ngrams(df: DataFrame, group: str, order: Sequence[str], text: str, n:
     Equal to joining the texts of a group with blanks, but no group is ever put in one place:
     n-grams inside a text are counted where the text lies, those that cross texts come from its edges.
     """
-    rows = _word_rows(df, group, order, text)
-    grams = rows.select(group, F.explode(grams_of(F.col("_w"), n)).alias("_g"))
-    return _counted(grams.unionByName(_crossing(rows, group, order, n)) if n > 1 else grams, group)
-
+    return _counted(_texts(df, group, order, text, n), group, n)
 
-def _in_mask(mask: DataFrame, gram: str, cells: int) -> Column:
-    """Whether the bit of an n-gram's cell is set in the one array of ``mask``."""
-    cell = F.pmod(F.xxhash64(gram), F.lit(cells))
-    word = F.get(mask.scalar(), F.shiftright(cell, 6).cast("int"))
-    return F.call_function("shiftright", word, (cell % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
 
-
-def _mask(cells: DataFrame, size: int) -> DataFrame:
-    """The given cells as bits of one array of ``size / 64`` numbers."""
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("_cell") % 64).cast("int"))
-    packed = cells.groupBy(F.shiftright("_cell", 6).alias("id")).agg(F.bit_or(bit).alias("bits"))
-    every = cells.sparkSession.range(size // 64).join(packed, "id", "left")
-    in_order = F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
-    return cut(every.agg(in_order["bits"].alias("mask")))
+def _mask(hashes: DataFrame, cells: int) -> np.ndarray:
+    """The cells of the given hashes as bits of ``cells / 64`` numbers."""
+    cell = F.col("_h").bitwiseAND(F.lit(cells - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (cell % 64).cast("int"))
+    packed = hashes.groupBy(F.shiftright(cell, 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()  # cells / 64 rows at most
+    mask = np.zeros(cells // 64, np.int64)
+    mask[packed["at"].to_numpy()] = packed["bits"].to_numpy()
+    return mask
 
 
 def frequent_ngrams(
-    df: DataFrame, group: str, order: Sequence[str], text: str, n: int, vocabulary: int, min_df: int = 2, max_df: float = 0.9, cells: int = SKETCH_CELLS
+    df: DataFrame, group: str, order: Sequence[str], text: str, n: int, vocabulary: int, min_df: int = 2, max_df: float = 0.9, cells: int = MASK_CELLS
 ) -> DataFrame:
     """``group, ngram, tf`` with exact counts, of all n-grams that ``tfidf`` can take into its vocabulary.
 
-    A count sketch comes first: n-grams are counted by hash cell, ``cells`` numbers for each task that merge
-    in the shuffle. A cell bounds each of its n-grams from above, and a cell that saw one group only holds
-    none of several groups. Cells at or above a bound become a bitmap (``cells`` bits), and only their
-    n-grams are shuffled. If fewer than ``vocabulary`` fitting n-grams reach the bound it is lowered and the
-    count repeated, so the vocabulary is the same as that of all n-grams, ties included. ``cells`` is a power of
-    two of at least 64.
+    N-grams are counted by a 64-bit hash first: numbers are shuffled, no strings. A hash bounds the groups and
+    the count of each of its n-grams from above, so n-grams of hashes in too few groups or below the count of the
+    ``vocabulary``-th fitting hash are left out. The cells of the others become a bitmap (``cells`` bits, a power
+    of two of at least 64), and only n-grams of its cells are counted as strings. Should n-grams that share a hash
+    have put the bound too high, it is lowered and the count repeated, so the vocabulary is the same as that of all
+    n-grams, ties included.
     """
-    rows = _word_rows(df, group, order, text)
-    grams = rows.select(group, F.explode(grams_of(F.col("_w"), n)).alias("_g"))
-    if n > 1:
-        grams = grams.unionByName(cut(_crossing(rows, group, order, n)))
-    n_groups, n_marks = df.where(F.col(text).isNotNull()).agg(F.count_distinct(group), F.count_distinct(F.xxhash64(group))).first()
-    marks = grams.select(F.pmod(F.xxhash64("_g"), F.lit(cells)).alias("_cell"), F.xxhash64(group).alias("_of"))
-    sketch = marks.groupBy("_cell").agg(F.count("*").alias("n"), F.min("_of").alias("_a"), F.max("_of").alias("_b"))
+    texts = _texts(df, group, order, text, n)
+    n_groups = df.where(F.col(text).isNotNull()).agg(F.count_distinct(group)).first()[0]
     least = max(1, min_df)  # as many groups, so at least as often
-    several = (F.col("_a") != F.col("_b")) if min_df > 1 and n_groups == n_marks else F.lit(True)
-    sketch = cut(sketch.where(several & (F.col("n") >= least)).select("_cell", "n"))
-    top = sketch.orderBy(F.desc("n")).limit(2 * vocabulary).agg(F.count("*"), F.min("n")).first()
-    bound = top[1] if top[0] == 2 * vocabulary else least
+    hashes = cut(_hashed(texts, group, n).where(F.col("df") >= min_df))
+    fitting = hashes.where(F.col("df") <= max_df * n_groups).select("total")
+    top = fitting.orderBy(F.desc("total")).limit(vocabulary).agg(F.count("*"), F.min("total")).first()
+    bound = top[1] if vocabulary and top[0] == vocabulary else least
     while True:
-        mask = _mask(sketch.where(F.col("n") >= bound), cells)
-        counts = cut(_counted(grams.where(_in_mask(mask, "_g", cells)), group))
+        mask = _mask(hashes.where(F.col("total") >= bound), cells)
+        counts = cut(_counted(texts, group, n, mask))
         if bound <= least:
             return counts
         sure = _terms(counts, n_groups, min_df, max_df).where(F.col("total") >= bound)

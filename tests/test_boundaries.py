@@ -1,5 +1,9 @@
 """Sentence boundaries from statistics, and the vocabulary behind a count sketch."""
 
+import re
+from collections import Counter
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,3 +68,32 @@ def test_sketch_spares_the_shuffle(spark):
     )
     every = words.group_ngrams(rows, "g", ["id"], "text", 2).count()
     assert words.frequent_ngrams(rows, "g", ["id"], "text", 2, 10).count() < every / 100
+
+
+def test_full_cells_do_not_bring_all_ngrams_back(spark):
+    texts = [("a", 1, " ".join(f"a{i}" for i in range(20_000)) + " one two"), ("b", 1, " ".join(f"b{i}" for i in range(20_000)) + " one two")]
+    rows = spark.createDataFrame([*texts, ("c", 1, "three")], "g string, id int, text string")
+    few = words.frequent_ngrams(rows, "g", ["id"], "text", 2, 10, cells=1 << 12)
+    assert few.count() < 400  # before: 40,004, as n-grams of both groups met in every cell
+    assert {tuple(r) for r in few.where("ngram = 'one two'").collect()} == {("a", "one two", 1), ("b", "one two", 1)}
+
+
+def test_ngrams_are_counted_as_numbers(spark, monkeypatch):
+    monkeypatch.setattr(words, "CHUNK_BYTES", 64)
+    texts = [("a", i, f"w{i % 7} ü  \tx{i}\x0b" + " ".join(f"y{j}" for j in range(i % 5))) for i in range(60)] + [("a", 99, ""), (None, 1, "n n"), ("b", 2, None)]
+    rows = spark.createDataFrame(texts, "g string, id int, text string")
+    for n in (1, 2, 4):
+        found = words.group_ngrams(rows, "g", ["id"], "text", n)
+        assert "MapInArrow" in found._jdf.queryExecution().toString()  # before: an array of words for each n-gram
+        every = re.split(r"[ \t\n\x0b\f\r]", " ".join(t for _, _, t in texts[:61]))
+        expected = Counter(" ".join(every[i:i + n]) for i in range(len(every) - n + 1))
+        assert {r["ngram"]: r["tf"] for r in found.collect()} == expected
+
+
+def test_many_names_do_not_overflow():
+    texts = pa.array([" ".join(f"{'abc'[i % 3]}{i % 1000}" for i in range(4_000))] * 2)
+    chunk = pa.record_batch([pa.array(["g", "g"]), texts], ["g", "t"])
+    of, names, codes, starts, times = words._chunk_grams(chunk, 9)  # 3,000 ** 9 is beyond 64 bits
+    every = texts[0].as_py().split(" ")
+    expected = Counter(tuple(every[i:i + 9]) for i in range(len(every) - 8))
+    assert len(starts) == len(expected) and set(times) == {2 * v for v in expected.values()}
