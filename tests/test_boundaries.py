@@ -97,3 +97,11 @@ def test_many_names_do_not_overflow():
     every = texts[0].as_py().split(" ")
     expected = Counter(tuple(every[i:i + 9]) for i in range(len(every) - 8))
     assert len(starts) == len(expected) and set(times) == {2 * v for v in expected.values()}
+
+
+def test_many_known_words_move_no_texts(spark, texts):
+    known = spark.createDataFrame([(f"w{i}",) for i in range(3_000)] + [("dr",), ("12 mai",)], "known string")
+    found = boundaries.split_sentences(texts, "text", ["doc_id"], known)
+    assert "Join" not in found._jdf.queryExecution().toString()  # before: whole texts were joined beyond 1,000 entries
+    said = {r["sentence"] for r in found.collect()}
+    assert {"Gestern sprach Dr. Rossi lange.", "Am 12. Mai begann es.", "Dr. Neri kam."} <= said
