@@ -35,3 +35,20 @@ def test_odd_rows(spark):
     got = {r["id"]: (r["kind"], r["cluster"]) for r in density.dbscan(df, wide, "id", 0.5, 4).collect()}
     assert got[0] == ("core", 0) and got[7] == ("core", 1) and got[10] == got[11] == (None, None) and got[12] == ("noise", -1)
     assert density.dbscan(df.limit(0), wide, "id", 0.5, 4).count() == 0
+
+
+@pytest.mark.parametrize("large", [1 << 12, 32 << 20])
+def test_points_without_structure_move_few_times(spark, monkeypatch, large):
+    monkeypatch.setattr(balls, "LARGE_BYTES", large)
+    monkeypatch.setattr(balls, "BLOCK", 1 << 10)
+    x = np.random.default_rng(3).normal(0, 1, (900, 16))
+    points = spark.createDataFrame([(i, 1, p.tolist()) for i, p in enumerate(x)], "node long, weight long, x array<double>")
+    eps = 3.6
+    core, cluster = brute_dbscan(x, eps, 5)
+    assert 0 < core.sum() < len(x)
+    rows, part_rows = balls._shown(points, eps, 16, 10, 4096)
+    left, right = balls._grouped(rows, [], part_rows)
+    parts = max(8, 900 * 16 * 8 // large)
+    assert left.count() + right.count() <= 2.2 * len(x) * (parts + 1)  # before: more than 160 times as many as points
+    got = {r["node"]: r["cluster"] for r in balls.dbscan_points(points, 16, eps, 5, 10).collect()}
+    assert all(got[i] == cluster[i] for i in range(len(x)))
