@@ -89,27 +89,33 @@ def fit_forest(df: DataFrame, features: Sequence[str], id_columns: Sequence[str]
     return chosen.groupBy("tree").applyInPandas(grow, NODE).toPandas().sort_values(["tree", "node"])
 
 
+def _levels(tree: pd.DataFrame) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """A tree with all leaves on one level: ``feature, cut`` of each level, then the depths; a short branch goes on both ways."""
+    feature, cut, left, right, depth = (tree[c].to_numpy() for c in ("feature", "cut", "left", "right", "depth"))
+    at, levels = np.zeros(1, np.int64), []
+    while (feature[at] >= 0).any():
+        inner = feature[at] >= 0
+        levels.append((np.where(inner, feature[at], 0), cut[at]))
+        at = np.stack([np.where(inner, left[at], at), np.where(inner, right[at], at)], axis=1).ravel()
+    return levels, depth[at]
+
+
 def _score(x: np.ndarray, forest: list[tuple], norm: float) -> np.ndarray:
     total = np.zeros(len(x))
-    every = np.arange(len(x))
-    for feature, cut, left, right, depth in forest:
-        node = np.zeros(len(x), dtype=int)
-        while True:
-            f = feature[node]
-            inner = f >= 0
-            if not inner.any():
-                break
-            rows, at = every[inner], node[inner]
-            node[inner] = np.where(x[rows, f[inner]] < cut[at], left[at], right[at])
-        total += depth[node]
+    values, base = np.ascontiguousarray(x).ravel(), np.arange(len(x)) * x.shape[1]
+    for levels, depth in forest:
+        node = np.zeros(len(x), dtype=np.int64)
+        for feature, cut in levels:
+            right = ~(values.take(feature.take(node) + base) < cut.take(node))
+            node += node
+            node += right
+        total += depth.take(node)
     return -np.power(2.0, -(total / len(forest)) / norm)
 
 
 def score_forest(df: DataFrame, features: Sequence[str], nodes: pd.DataFrame, sample: int = 256, name: str = "score") -> DataFrame:
     """Add the score of each row, from -1 (isolated at once) towards 0; null features give null."""
-    forest = [
-        tuple(t[c].to_numpy() for c in ("feature", "cut", "left", "right", "depth")) for _, t in nodes.groupby("tree")
-    ]
+    forest = [_levels(t.sort_values("node")) for _, t in nodes.groupby("tree")]
     norm = float(mean_path(np.array([sample]))[0]) or 1.0
     shipped = df.sparkSession.sparkContext.broadcast(forest)  # bounded by trees * sample
 
@@ -133,14 +139,18 @@ def isolation_forest(
     trees: int = 100,
     sample: int = 256,
     seed: int = 42,
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
     """Add ``score`` and ``anomaly``: -1 for rows below the contamination quantile of the scores, else 1.
 
-    Rows with a missing feature take no part; both are null for them.
+    Rows with a missing feature take no part; both are null for them. ``keep`` names the columns that stay beside
+    the two, all by default.
     """
     clean = drop_missing(df, features)
     nodes = fit_forest(clean, features, id_columns, trees, sample, seed)
     used = min(sample, clean.limit(sample).count())
-    scored = cut(score_forest(df, features, nodes, used))  # the quantile reads the scores several times
-    limit = exact_quantiles(scored, "score", [contamination]).first()["quantiles"][0]
+    scored = score_forest(df, features, nodes, used)
+    scored = cut(scored if keep is None else scored.select(*[F.col(f"`{c}`") for c in keep], "score"))
+    # the quantile reads the scores several times, and nothing else
+    limit = exact_quantiles(cut(scored.select("score")), "score", [contamination]).first()["quantiles"][0]
     return scored.withColumn("anomaly", F.when(F.col("score") < F.lit(limit), -1).when(F.col("score").isNotNull(), 1))

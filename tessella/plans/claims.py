@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,7 +72,8 @@ def claim_outliers(
 ) -> ClaimOutliers:
     """Drop columns that repeat others, project on components, mark outliers.
 
-    The mark is attached to the row it was computed from, so a claim with several rows does not fan out.
+    The components travel beside the row they were computed from and so does the mark: nothing is joined back, and a
+    claim with several rows does not fan out.
     """
     features = cut(features)  # read by every step below
     numbers = [c for c in clean.numeric_columns(features) if c not in keys]
@@ -79,10 +81,10 @@ def claim_outliers(
     kept = [c for c in numbers if c not in dropped]
     lean = features.drop(*dropped)
     fitted = fit_components(lean, kept, min(k, len(kept)))
-    points = cut(fitted.transform_columns(lean))
-    names = [c for c in points.columns if c.startswith("PC") and c[2:].isdigit()]
-    marked = isolation_forest(points, names, list(keys), contamination, trees, seed=seed).select(*keys, "score", "anomaly")
-    return ClaimOutliers(lean.join(marked, list(keys)), fitted, dropped)
+    values, names = vector_to_array(F.col(fitted.output)), [f"PC{i + 1}" for i in range(len(fitted.variance))]
+    columns = [*keys, *[c for c in lean.columns if c not in keys]]
+    points = cut(fitted.transform(lean).select(*[F.col(f"`{c}`") for c in columns], *[values[i].alias(c) for i, c in enumerate(names)]))
+    return ClaimOutliers(isolation_forest(points, names, list(keys), contamination, trees, seed=seed, keep=columns), fitted, dropped)
 
 
 def outlier_patterns(rows: DataFrame, flags: Sequence[str], value: str = "total_work_hours") -> DataFrame:

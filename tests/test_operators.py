@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tessella.functions.quantiles import exact_quantiles
 from tessella.functions.sizing import literal_rows, small_table
 from tessella.operators import clean, density, explain, forecast, isolation, joins, matches, profile, reshape, rollup, series, vectors, words
+from tessella.plans import claims as claims_plan
 from tessella.plans import topics, wine
 from tessella.sources import literals
 
@@ -359,3 +360,29 @@ def test_checkpoints_without_a_named_folder(spark, monkeypatch):
 
     folder = session.shared_dir(Session())
     assert folder == session.shared_dir(Session())
+
+
+def test_marks_stay_beside_their_rows(spark):
+    rng = np.random.default_rng(8)
+    rows = pd.DataFrame({"k": np.arange(400) // 2, **{c: rng.normal(size=400) for c in "xyz"}})  # each key twice
+    found = claims_plan.claim_outliers(spark.createDataFrame(rows), ["k"], k=2, trees=20).rows
+    assert found.columns == ["k", "x", "y", "z", "score", "anomaly"] and found.count() == 400  # before: 800, by a join on the keys
+    assert "Join" not in found._jdf.queryExecution().toString()
+
+
+def test_levels_of_a_tree_score_as_its_nodes(spark):
+    rng = np.random.default_rng(9)
+    points = rng.normal(size=(100, 3)).round(1)
+    nodes = pd.DataFrame(isolation._grow(points, rng, 7), columns=["node", "feature", "cut", "left", "right", "depth"]).sort_values("node")
+    levels, depth = isolation._levels(nodes)
+    assert len(levels) <= 7 and len(depth) == 2 ** len(levels)
+
+    def walk(x):
+        at = 0
+        while nodes["feature"][at] >= 0:
+            at = nodes["left"][at] if x[nodes["feature"][at]] < nodes["cut"][at] else nodes["right"][at]
+        return nodes["depth"][at]
+
+    nodes = {c: dict(zip(nodes["node"], nodes[c])) for c in nodes}
+    x = np.concatenate([points, [[np.inf] * 3, [-np.inf] * 3, [np.inf, -np.inf, 0]]])
+    assert isolation._score(x, [(levels, depth)], 3.0) == pytest.approx([-(2.0 ** (-walk(r) / 3.0)) for r in x])
