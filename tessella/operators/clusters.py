@@ -10,10 +10,15 @@ from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.sql import DataFrame
 
+from tessella.functions.sizing import spread_out
+
 
 def kmeans(df: DataFrame, k: int, features: str = "pca_features", max_iter: int = 1000, seed: int = 42) -> tuple[DataFrame, KMeansModel]:
-    """The frame with ``prediction`` and the fitted model."""
-    model = KMeans(featuresCol=features, k=k, maxIter=max_iter, seed=seed).fit(df)
+    """The frame with ``prediction`` and the fitted model.
+
+    Each round reads all points, so they are dealt over all cores before the first.
+    """
+    model = KMeans(featuresCol=features, k=k, maxIter=max_iter, seed=seed).fit(spread_out(df.select(features)))
     return model.transform(df), model
 
 
@@ -22,7 +27,7 @@ def silhouette_sweep(df: DataFrame, ks: Iterable[int], features: str = "pca_feat
 
     The fits share one persisted frame and run side by side, so the cluster stays busy.
     """
-    held = df.select(features).persist(StorageLevel.MEMORY_AND_DISK)
+    held = spread_out(df.select(features)).persist(StorageLevel.MEMORY_AND_DISK)
     evaluator = ClusteringEvaluator(featuresCol=features, metricName="silhouette", distanceMeasure="squaredEuclidean")
 
     def run(k: int) -> tuple[int, float, float]:

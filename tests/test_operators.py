@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.quantiles import exact_quantiles
 from tessella.functions.sizing import literal_rows, small_table
-from tessella.operators import clean, density, explain, forecast, isolation, joins, matches, profile, reshape, rollup, series, vectors, words
+from tessella.operators import clean, clusters, density, explain, forecast, isolation, joins, matches, profile, reshape, rollup, series, vectors, words
 from tessella.plans import claims as claims_plan
 from tessella.plans import topics, wine
 from tessella.sources import literals
@@ -386,3 +386,11 @@ def test_levels_of_a_tree_score_as_its_nodes(spark):
     nodes = {c: dict(zip(nodes["node"], nodes[c])) for c in nodes}
     x = np.concatenate([points, [[np.inf] * 3, [-np.inf] * 3, [np.inf, -np.inf, 0]]])
     assert isolation._score(x, [(levels, depth)], 3.0) == pytest.approx([-(2.0 ** (-walk(r) / 3.0)) for r in x])
+
+
+def test_kmeans_reads_points_on_all_cores(spark, monkeypatch):
+    seen, fit = [], clusters.KMeans.fit
+    monkeypatch.setattr(clusters.KMeans, "fit", lambda self, df: seen.append(df.rdd.getNumPartitions()) or fit(self, df))
+    points = vectors.as_vector(spark.createDataFrame([(i, [float(i % 3), float(i)]) for i in range(90)], "id int, x array<double>"), "x", "v").coalesce(1)
+    found, _ = clusters.kmeans(points, 3, "v")
+    assert found.count() == 90 and seen == [spark.sparkContext.defaultParallelism]  # before: one partition
