@@ -8,6 +8,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import PCA, ElementwiseProduct, StandardScaler, Tokenizer, VectorAssembler, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -15,6 +17,10 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.session import cut
+
+MOST_NAMES = 1 << 19  # words with a vector of their own; the driver gets about 700 bytes for each
+
 
 def assemble(df: DataFrame, columns: Sequence[str], name: str = "features", invalid: str = "keep") -> DataFrame:
     """Number columns as one vector column."""
@@ -115,13 +121,45 @@ def first_components(df: DataFrame, vector: str, keep: Sequence[str], n: int = 3
     return df.select(*keep, *[values[i].alias(f"pca{i + 1}") for i in range(n)])
 
 
-def average_word_vectors(df: DataFrame, text: str, name: str = "embedding", size: int = 64, seed: int = 42, min_count: int = 2, texts_per_task: int = 20_000) -> DataFrame:
+def _shared_names(words: DataFrame, array: str, min_count: int, most: int) -> DataFrame:
+    """The lists of words as they are, if at most ``most`` words occur ``min_count`` times.
+
+    Otherwise the more frequent half of ``most`` keep their names and all others share as many names by a hash: no word
+    is left out, and what a model holds for each name stays bounded however many words there are.
+    """
+    counts = cut(words.select(F.explode(array).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= min_count))
+    if counts.count() <= most:
+        return words
+    own = counts.orderBy(F.desc("n"), "w").limit(most // 2).select("w").toArrow().column(0).combine_chunks()
+    shared = words.sparkSession.sparkContext.broadcast(own)
+    at, rest = words.columns.index(array), most - most // 2
+
+    def rename(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(at)
+            encoded = lists.flatten().dictionary_encode()
+            names = encoded.dictionary
+            hashed = pd.util.hash_array(np.array(names.to_pylist(), dtype=object), categorize=False) % np.uint64(rest)
+            names = pc.if_else(pc.is_in(names, value_set=shared.value), names, pc.binary_join_element_wise("\0", pa.array(hashed).cast(pa.string()), ""))
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            renamed = pa.ListArray.from_arrays(pa.array(offsets), names.take(encoded.indices))
+            yield pa.record_batch([*batch.columns[:at], renamed, *batch.columns[at + 1:]], batch.schema.names)
+
+    return words.mapInArrow(rename, words.schema)
+
+
+def average_word_vectors(
+    df: DataFrame, text: str, name: str = "embedding", size: int = 64, seed: int = 42, min_count: int = 2, texts_per_task: int = 20_000, most_names: int = MOST_NAMES
+) -> DataFrame:
     """Default encoder: Word2Vec fitted on the texts, the mean word vector of each text.
 
-    Training is spread over one task for every ``texts_per_task`` texts.
+    Training is spread over one task for every ``texts_per_task`` texts. The driver holds the vectors, so beyond
+    ``most_names`` words the rarer ones share vectors by a hash.
     """
     words = Tokenizer(inputCol=text, outputCol="_words").transform(df.where(F.col(text).isNotNull()))
     partitions = math.ceil(max(1, words.count()) / texts_per_task)
+    words = _shared_names(words, "_words", min_count, most_names)
     model = Word2Vec(
         vectorSize=size, minCount=min_count, seed=seed, numPartitions=partitions, inputCol="_words", outputCol=name
     ).fit(words)

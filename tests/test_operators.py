@@ -394,3 +394,18 @@ def test_kmeans_reads_points_on_all_cores(spark, monkeypatch):
     points = vectors.as_vector(spark.createDataFrame([(i, [float(i % 3), float(i)]) for i in range(90)], "id int, x array<double>"), "x", "v").coalesce(1)
     found, _ = clusters.kmeans(points, 3, "v")
     assert found.count() == 90 and seen == [spark.sparkContext.defaultParallelism]  # before: one partition
+
+
+def test_rare_words_share_vectors(spark):
+    texts = [(i, f"often again word{i} {' '.join(f'w{j}' for j in range(i % 30))}", [i]) for i in range(60)] + [(99, None, [1]), (100, "", None)]
+    df = spark.createDataFrame(texts, "id int, text string, other array<int>")
+    shared = vectors._shared_names(Tokenizer(inputCol="text", outputCol="_words").transform(df.where("text IS NOT NULL")), "_words", 1, 16)
+    rows = {r["id"]: r for r in shared.collect()}
+    names = {w for r in rows.values() for w in r["_words"]}
+    assert len(names) <= 17 and {"often", "again", "w0"} <= names  # before: a vector in the driver for each of 91 words
+    assert all(len(rows[i]["_words"]) == 3 + i % 30 for i in range(60) if i % 30)
+    assert rows[7]["other"] == [7] and rows[100]["_words"] in ([""], ["\0" + w[1:] for w in rows[100]["_words"]])
+    found = vectors.average_word_vectors(df, "text", size=4, min_count=1, most_names=16)
+    assert found.count() == 61 and found.columns == ["id", "text", "other", "embedding"]
+    assert all(a["_words"] == b.lower().split() for a, (_, b, _) in zip(
+        vectors._shared_names(Tokenizer(inputCol="text", outputCol="_words").transform(df.where("id < 60")), "_words", 1, 1000).orderBy("id").collect(), texts))
