@@ -24,7 +24,7 @@ class Topics:
 
 def sentence_vectors(df: DataFrame, text: str, keep: Sequence[str], encoder: Callable | None = None, seed: int = 42, size: int = 64, **cleaning) -> DataFrame:
     """One row per cleaned sentence with its ``embedding``; without ``encoder`` the mean of word vectors."""
-    rows = words.clean_sentences(df, text, keep, **cleaning).where("sentence <> ''")
+    rows = cut(words.clean_sentences(df, text, keep, **cleaning).where("sentence <> ''"))  # each step of a fit reads them
     if encoder is not None:
         return as_vector(encode_texts(rows, "sentence", encoder), "embedding", "embedding")
     return average_word_vectors(rows, "sentence", size=size, seed=seed)
@@ -34,6 +34,7 @@ def extract_topics(
     sentences: DataFrame, order: Sequence[str], text: str = "sentence", vector: str = "embedding", components: int = 30, k: int = 12, n: int = 3, top: int = 10, max_iter: int = 1000, seed: int = 42
 ) -> Topics:
     """Project the vectors, cluster them and list the n-grams that stand out in each cluster."""
+    sentences = cut(sentences)  # read by each step of the fit
     fitted = fit_components(sentences, vector, components)
     clustered, model = kmeans(cut(fitted.transform(sentences).drop(vector)), k, fitted.output, max_iter, seed)
     best = words.top_words(clustered, "prediction", order, text, n, top)

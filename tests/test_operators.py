@@ -409,3 +409,9 @@ def test_rare_words_share_vectors(spark):
     assert found.count() == 61 and found.columns == ["id", "text", "other", "embedding"]
     assert all(a["_words"] == b.lower().split() for a, (_, b, _) in zip(
         vectors._shared_names(Tokenizer(inputCol="text", outputCol="_words").transform(df.where("id < 60")), "_words", 1, 1000).orderBy("id").collect(), texts))
+
+
+def test_sentences_are_cleaned_once(spark):
+    df = spark.createDataFrame([(i, f"many words here {i % 3}. more words here again.") for i in range(40)], "id int, text string")
+    rows = topics.sentence_vectors(df, "text", ["id"], size=4, pattern=r"\d", stop_words=())
+    assert rows.count() == 80 and "regexp_replace" not in rows._jdf.queryExecution().toString()  # before: cleaned again by each step
