@@ -6,8 +6,9 @@ line of under ten words has exact copies only. The shorter line is cut into as m
 more; if the lines are near, one of the segments stands in the longer one unchanged, at a place that
 the two lengths and the number of the segment confine. Every line therefore gives its own segments and, for every
 shorter length within reach, the runs of words that can be a segment of such a line, each as one hash of
-length, segment number and words. Lines that share a hash meet, and a banded bit-parallel edit distance
-(one machine word for the band, many lines at a time) has the last word. A hash that many lines share is dealt into
+length, segment number and words. Hashes travel by their highest bits, many in a row. Lines that share a hash meet,
+and a banded bit-parallel edit distance (one machine word for the band, many lines at a time; a few pairs are
+followed along their diagonals instead) has the last word. A hash that many lines share is dealt into
 parts, and each pair of parts is compared on its own. Lines that are linked already are not compared again, so many
 near copies cost work in proportion to their number, and only a spanning forest of the links leaves the task.
 
@@ -23,7 +24,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import accumulate, count
+from itertools import count
 from operator import ne
 
 import numpy as np
@@ -38,7 +39,10 @@ from tessella.llm.simhash import Forest
 
 SHARE, MOST_EDITS = 10, 3  # one edit for so many words, and the most
 CELLS = 1 << 18  # words of lines compared at a time
+FEW = 64  # pairs that are compared one by one
 PART_LINES = 1024  # lines of one hash that are compared together; of a hash with more, two parts at a time
+HELD = 1 << 20  # hashes a task holds before it hands them on
+BUCKET_BITS = 12  # hashes are dealt by so many of their bits
 MET = 1 << 20  # lines a task remembers so as not to give them twice
 BITS = 1 << 25  # of the filter in front of the join that fetches lines; a fixed size, 4 MB
 SEED = 42
@@ -109,10 +113,30 @@ def within(pairs: list[tuple[list[int], list[int]]], most: int = MOST_EDITS) ->
         while order:
             few = order[-max(1, CELLS // (len(cores[order[-1]][1]) + 1)):]
             del order[-len(few):]
-            near[few] = _banded([cores[k] for k in few], limit)
+            near[few] = _banded([cores[k] for k in few], limit) if len(few) > FEW else [_reached(*cores[k], limit) for k in few]
     return near
 
 
+def _reached(a: list[int], b: list[int], limit: int) -> bool:
+    """The same for one pair: how far each diagonal comes with no edit, one, and so on. It looks at equal
+    words only, where the walk over columns costs the same for one pair as for many."""
+    m, n = len(a), len(b)
+    rows: dict[int, int] = {}
+    for edits in range(limit + 1):
+        further = {}
+        for d in range(-edits, edits + 1):
+            # a word replaced, one of a left out, one of b left out
+            i = max(rows.get(d, -2) + 1, rows.get(d + 1, -2) + 1, rows.get(d - 1, -2)) if edits else 0
+            i = min(i, m, n - d)
+            while i < m and i + d < n and a[i] == b[i + d]:
+                i += 1
+            further[d] = i
+        rows = further
+        if rows.get(n - m) == m:
+            return True
+    return False
+
+
 def _banded(pairs: list[tuple[list[int], list[int]]], limit: int) -> np.ndarray:
     """One word holds the differences down a column, its highest bit the row ``limit`` below the diagonal;
     words are compared on the ``2 * limit + 1`` diagonals that matter only. The distance is followed
@@ -162,40 +186,84 @@ def _lines(text: str) -> list[bytes]:
 
 
 def _runs(most: int):
-    """Task that gives ``key, id, own``: a hash for every run of words to look for, once for each line that
-    the task meets (again for those it no longer remembers)."""
+    """Task that gives a hash for every run of words to look for, once for each line that the task meets (again
+    for those it no longer remembers): ``bucket``, the highest bits of the hashes, and ``keys, ids, own``, the
+    hashes, their lines and whether they are the lines' own segments, many of one bucket in a row."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest, plans, met = xxhash.xxh64_intdigest, {}, set()
+        digest, met, hashes = xxhash.xxh64_intdigest, set(), _RunHashes(most)
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                keys, ids, counts, own = [], [], [], []
-                for text in strings(batch.column(0).slice(at, 2000)):
+            for at in range(0, batch.num_rows, 250):
+                plain, lengths, ids = [], [], []
+                for text in strings(batch.column(0).slice(at, 250)):
                     for line in _lines(text):
                         words = line.split()
-                        n = len(words)
-                        if n < SHARE or (name := digest(line, SEED)) in met:
+                        if len(words) < SHARE or (name := digest(line, SEED)) in met:
                             continue
                         if len(met) >= MET:
                             met.clear()
                         met.add(name)
-                        plan = plans.get(n)
-                        if plan is None:
-                            found, mine = probes(n, most)
-                            plan = plans[n] = (found, np.array(mine, bool))
-                        plain, starts = b" ".join(words), [0, *accumulate(len(w) + 1 for w in words)]
-                        keys += [digest(plain[starts[a]:starts[b] - 1], seed) for a, b, seed in plan[0]]
-                        own.append(plan[1])
+                        plain.append(b" ".join(words))
+                        lengths.append(len(words))
                         ids.append(name)
-                        counts.append(len(plan[1]))
-                yield pa.record_batch([
-                    pa.array(np.fromiter(keys, np.uint64, len(keys)).view(np.int64)), pa.array(np.repeat(np.array(ids, np.uint64).view(np.int64), np.array(counts, np.int64))),
-                    pa.array(np.concatenate(own) if own else np.zeros(0, bool)),
-                ], ["key", "id", "own"])
+                if ids:
+                    keys, counts, own = hashes.of(plain, lengths)
+                    held.append((keys, np.repeat(np.array(ids, np.uint64), counts), own))
+                    size += len(keys)
+                if size >= HELD:
+                    yield _in_buckets(held)
+                    held, size = [], 0
+        if held:
+            yield _in_buckets(held)
 
     return find
 
 
+class _RunHashes:
+    """Hashes of the runs of words of many lines at once: differences of sums over letters, each with its own
+    power of an odd number, mixed with the seed. Runs that share a hash by chance are told apart when compared."""
+
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self, most: int):
+        self.most, self.plans = most, {}
+        self.letters = np.array([xxhash.xxh64_intdigest(bytes([i]), SEED) for i in range(256)], np.uint64)
+        self.powers = self.inverse = np.ones(1, np.uint64)
+
+    def of(self, plain: list[bytes], lengths: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of lines with one space between words, and their numbers of words: the hashes, how many each line
+        has, and which are its own segments."""
+        for n in set(lengths).difference(self.plans):
+            found, own = probes(n, self.most)
+            self.plans[n] = (*np.array(found, np.int64).T, np.array(own, bool))
+        first, last, seeds, own = (np.concatenate(c) for c in zip(*map(self.plans.__getitem__, lengths)))
+        counts = np.array([len(self.plans[n][3]) for n in lengths])
+        words = np.repeat(np.cumsum([0, *lengths[:-1]]), counts)
+        raw = np.frombuffer(b" ".join(plain) + b" ", np.uint8)
+        if len(raw) >= len(self.powers):
+            self.powers, self.inverse = (np.cumprod(np.append(np.uint64(1), np.full(2 * len(raw), x, np.uint64))) for x in (self.BASE, pow(self.BASE, -1, 1 << 64)))
+        starts = np.concatenate([[0], np.flatnonzero(raw == 32) + 1])
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.letters[raw] * self.powers[:len(raw)], dtype=np.uint64)])
+        begin, end = starts[words + first], starts[words + last] - 1
+        keys = (sums[end] - sums[begin]) * self.inverse[begin] + seeds.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
+            keys = (keys ^ (keys >> np.uint64(shift))) * np.uint64(factor)
+        return keys ^ (keys >> np.uint64(33)), counts, own
+
+
+def _in_buckets(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    columns = [np.concatenate(c) for c in zip(*held)]
+    bucket = (columns[0] >> np.uint64(64 - BUCKET_BITS)).astype(np.uint16)
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    stops = np.append(starts, len(bucket))
+    packed = [pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer((c.itemsize * stops).astype(np.int32)), pa.py_buffer(c[order])]) for c in columns]
+    return pa.record_batch([pa.array(bucket[starts].astype(np.int32)), *packed], ["bucket", "keys", "ids", "own"])
+
+
 def _whole_groups(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
     """Batches sorted by their first column as tables of whole groups, of ``rows`` rows or more."""
     held: list[pa.RecordBatch] = []
@@ -217,22 +285,31 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.T
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key and id those whose key is a segment of some line and stands in another.
+    """Of rows sorted by bucket the hashes that are a segment of some line and stand in another.
 
-    They get a key made of all ids that share theirs, so lines that meet in several segments meet once.
+    Their lines get a key made of all ids that share theirs, so lines that meet in several segments meet once.
     """
-    for table in _whole_groups(batches, 20_000):
-        key, name, own = (table.column(k).to_numpy() for k in range(3))
+    for table in _whole_groups(batches, 1000):
+        key, name, own = (np.frombuffer(b"".join(table.column(k).to_pylist()), kind) for k, kind in ((1, np.uint64), (2, np.uint64), (3, bool)))
+        order = np.argsort(key)
+        key = key[order]
+        same = np.concatenate([[False], key[1:] == key[:-1], [False]])
+        twin = same[1:] | same[:-1]  # most hashes stand in one line only
+        if not twin.any():
+            continue
+        key, name, own = key[twin], name[order[twin]], own[order[twin]]
+        order = np.lexsort((name, key))
+        key, name, own = key[order], name[order], own[order]
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (name[1:] != name[:-1])])
         live = (np.add.reduceat(new.astype(np.int64), starts) > 1) & np.logical_or.reduceat(own, starts)
         keep = new & np.repeat(live, np.diff(np.append(starts, len(key))))
         if keep.any():
-            mixed = name.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            mixed = name * np.uint64(0x9E3779B97F4A7C15)
             mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
             everyone = np.add.reduceat(np.where(new, mixed, np.uint64(0)), starts)
             together = np.repeat(everyone, np.diff(np.append(starts, len(key)))).view(np.int64)
-            yield pa.record_batch([pa.array(together[keep]), pa.array(name[keep])], ["key", "id"])
+            yield pa.record_batch([pa.array(together[keep]), pa.array(name[keep].view(np.int64))], ["key", "id"])
 
 
 def _forests(most: int):
@@ -248,7 +325,7 @@ def _forests(most: int):
             # one line of each group at a time against those of the group that it is not yet linked to
             open_ = [(a, b) for a, b in zip(*_bounds(key))]
             while open_:
-                root = forest.roots()
+                root = forest.roots().tolist()
                 ahead, pairs = [], []
                 for first, stop in open_:
                     n, r = len(lines[first]), reach[first]
@@ -275,8 +352,8 @@ def _bounds(key: np.ndarray) -> tuple[list[int], list[int]]:
 def near_lines(docs: DataFrame, text: str = "text", most: int = MOST_EDITS) -> DataFrame:
     """``node, label``: hashes of the lines that are near another one, with the smallest hash of the class."""
     texts = docs.select(F.col(f"`{text}`").cast("string").alias("_text"))
-    keys = texts.mapInArrow(_runs(most), "key long, id long, own boolean")
-    live = keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_shared, "key long, id long")
+    keys = texts.mapInArrow(_runs(most), "bucket int, keys binary, ids binary, own binary")
+    live = keys.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "key long, id long")
     live = written(live.distinct(), "shared-segments")
     asked = written(live.select("id").distinct(), "lines-asked")
     lines = texts.mapInArrow(_named_lines(_filter_of(asked)), "id long, line binary")

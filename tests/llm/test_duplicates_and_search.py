@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -148,6 +149,46 @@ def test_banded_distance_and_segments(least, most):
             assert sum(own) == line_dedup.limit_of(len(short)) + 1
 
 
+@pytest.mark.parametrize("few", [0, 10**9])
+def test_few_pairs_and_many_are_judged_alike(few, monkeypatch):
+    monkeypatch.setattr(line_dedup, "FEW", few)
+    if few:
+        monkeypatch.setattr(line_dedup, "_banded", None)  # a walk over columns costs the same for one pair as for many
+    random.seed(12)
+    lines = [[random.choice("abc") for _ in range(random.randint(10, 45))] for _ in range(400)]
+    pairs = [(a, edited(a, random.randint(0, 4))) for a in lines]
+    near = [near_words(a, b) for a, b in pairs]
+    assert 100 < sum(near) < 390
+    assert line_dedup.within([([ord(x) for x in a], [ord(x) for x in b]) for a, b in pairs]).tolist() == near
+
+
+def test_hashes_of_runs_travel_in_rows_of_many(monkeypatch):
+    random.seed(13)
+    lines = sorted({" ".join(random.choice("abcdefgh") for _ in range(random.randint(9, 42))) for _ in range(3000)})
+    batch = pa.record_batch([pa.array([*lines, *lines, None])], ["text"])
+    expected = sum(len(line_dedup.probes(len(x.split()))[0]) for x in lines if len(x.split()) >= 10)
+    monkeypatch.setattr(line_dedup, "BUCKET_BITS", 8)
+    for held in (1, 1 << 20):
+        monkeypatch.setattr(line_dedup, "HELD", held)
+        found = pa.Table.from_batches(line_dedup._runs(line_dedup.MOST_EDITS)(iter([batch])))
+        rows = [(b, np.frombuffer(k, np.uint64), len(i), len(o)) for b, k, i, o in zip(*(c.to_pylist() for c in found.columns))]
+        assert len(rows) <= 256 * (25 if held == 1 else 1)
+        assert sum(len(k) for _, k, _, _ in rows) == expected
+        assert all((k >> np.uint64(56) == b).all() and i == 8 * len(k) and o == len(k) for b, k, i, o in rows)
+
+
+def test_runs_of_the_same_words_have_one_hash():
+    random.seed(14)
+    lines = [[random.choice(["a", "b", "ab", "é"]).encode() for _ in range(random.randint(10, 40))] for _ in range(300)]
+    seen = {}
+    for few in (lines[:1], lines[1:], lines[::-1]):  # wherever they stand, in whatever company
+        keys, counts, own = line_dedup._RunHashes(3).of([b" ".join(x) for x in few], list(map(len, few)))
+        every = [(tuple(x[a:b]), seed) for x in few for a, b, seed in line_dedup.probes(len(x))[0]]
+        assert len(every) == len(keys) == len(own) == counts.sum()
+        assert all(seen.setdefault(run, k) == k for run, k in zip(every, keys.tolist()))
+    assert len(set(seen.values())) == len(seen)
+
+
 @pytest.mark.parametrize("part_lines", [3, 1024])
 def test_line_dedup(spark, messy, monkeypatch, part_lines):
     monkeypatch.setattr(line_dedup, "PART_LINES", part_lines)  # a segment that many lines share is dealt into parts
