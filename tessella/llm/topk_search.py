@@ -3,8 +3,10 @@
 Vectors become whole numbers and are lifted by one more component to one common length; nearest by
 Euclidean distance is then highest by inner product. For every vector its distances to the pivots are
 computed once. A query knows its own distances to them, and the largest difference between the two is a
-lower bound of the distance; candidates are evaluated in the order of that bound, until the bound alone
-says that none of the rest can enter the ``k`` found.
+lower bound of the distance. Rows are grouped by their nearest pivot; the smallest and largest distances of
+a group bound all its rows at once. Some rows of the nearest groups say how far the search must go; rows of
+the groups within that reach are evaluated in the order of their own bounds, until the bound alone says that
+none of the rest can enter the ``k`` found. Queries whose bounds leave most rows are multiplied with the whole block.
 
 Queries and candidates are dealt into blocks of bounded size, every block of queries meets every block
 of candidates once, and only ``k`` results for each query leave a pair of blocks.
@@ -32,6 +34,7 @@ from tessella.llm.common import written
 QUERY_ROWS, CANDIDATE_ROWS = 4096, 16384
 EXACT = 2 ** 52  # doubles hold whole numbers, and sums of them, up to here
 TILE = 256
+TRIES = 4  # queries of a tile whose rows' own bounds left most rows; then groups' bounds decide for the others
 
 
 def _ints(vectors: list) -> np.ndarray:
@@ -70,49 +73,90 @@ def search_block(queries: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, own
     to_pivots = np.sqrt(np.maximum(query_square[:, None] + top - 2 * (q @ x[chosen].T), 0))
     best = np.full((len(q), k), -1, np.int64)
     scores = np.zeros((len(q), k), object if not exact else np.int64)
+    # rounding of roots must not make a bound too high
+    slack = 1e-6 * np.sqrt(top + query_square + 1)
+    reach = lambda i, score: math.sqrt(max(query_square[i] + top - 2 * float(score), 0)) * (1 + 1e-9) + 1e-6
     evaluated = 0
-    for i in range(len(q)):
-        bound = np.zeros(len(x))
-        for p in range(len(chosen)):
-            np.maximum(bound, np.abs(table[:, p] - to_pivots[i, p]), out=bound)
-        # rounding of roots must not make a bound too high
-        bound = np.maximum(bound * (1 - 1e-9) - 1e-6 * math.sqrt(top + query_square[i] + 1), 0)
-        if own[i] >= 0:
-            bound[own[i]] = np.inf
+
+    def within_reach(i: int, open_: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the rows whose own bounds do not exclude them, and these bounds."""
+        open_ = open_[open_ != own[i]]
+        bound = np.maximum(np.abs(table[open_] - to_pivots[i]).max(1, initial=0) * (1 - 1e-9) - slack[i], 0)
+        return open_[bound <= limit], bound[bound <= limit]
+
+    def walk(i: int, open_: np.ndarray, bound: np.ndarray, limit: float) -> None:
+        """Rows in the order of their bounds, more at a time, until the bound alone ends the search."""
+        nonlocal evaluated
         place, score = np.zeros(0, np.int64), np.zeros(0, scores.dtype)
-        done, step, limit = np.zeros(len(x), bool), min(len(x), 4 * k + TILE), math.inf
-        while True:
-            # the next candidates in the order of their bounds, a tile at a time
-            open_ = np.flatnonzero(~done & (bound <= limit))
-            open_ = open_[np.isfinite(bound[open_])]
-            if not len(open_):
-                break
-            if len(open_) > step:
-                open_ = open_[np.argpartition(bound[open_], step)[:step]]
-            if exact and 4 * len(open_) > len(x):
-                # the bounds leave most rows: one product with all of them is cheaper than several with parts
-                open_ = np.flatnonzero(~done & np.isfinite(bound))
-                done[:] = True
-                evaluated += len(x)
-                found = (x @ q[i])[open_].astype(np.int64)
-            else:
-                done[open_] = True
-                evaluated += len(open_)
-                found = (x[open_] @ q[i]).astype(np.int64) if exact else None
-            if exact:
-                if len(found) > 4 * k:  # only what can be among the best is put in order
-                    fine = found >= np.partition(found, -k)[-k]
-                    open_, found = open_[fine], found[fine]
-            else:
-                found = np.array([sum(a * b for a, b in zip(rows[j], queries[i])) for j in open_], object)
-            place, score = np.concatenate([place, open_]), np.concatenate([score, found])
+        order = np.argsort(bound, kind="stable")
+        open_, bound, step = open_[order], bound[order], 4 * k + TILE
+        while len(open_) and bound[0] <= limit:
+            few = open_[:min(step, int(np.searchsorted(bound, limit, "right")))]
+            open_, bound, step = open_[len(few):], bound[len(few):], 2 * step
+            evaluated += len(few)
+            found = (x[few] @ q[i]).astype(np.int64) if exact else np.array([sum(a * b for a, b in zip(rows[j], queries[i])) for j in few], object)
+            place, score = np.concatenate([place, few]), np.concatenate([score, found])
             order = np.lexsort((row_ids[place], -score)) if exact else np.array(sorted(range(len(place)), key=lambda j: (-score[j], row_ids[place[j]])), np.int64)
             place, score = place[order[:k]], score[order[:k]]
             if len(place) == k:
-                # a row with this distance or less may still tie
-                limit = math.sqrt(max(query_square[i] + top - 2 * float(score[-1]), 0)) * (1 + 1e-9) + 1e-6
-            step *= 2
+                limit = reach(i, score[-1])  # a row with this distance or less may still tie
         best[i, :len(place)], scores[i, :len(place)] = place, score
+
+    if not exact or not len(x):
+        for i in range(len(q)):
+            walk(i, *within_reach(i, np.arange(len(x)), math.inf), math.inf)
+        return best, scores, evaluated
+    # rows by the pivot they are nearest to, and how near and far each group is to every pivot
+    home = table.argmin(1)
+    by_home = np.argsort(home, kind="stable")
+    x_by_home, starts = x[by_home], np.flatnonzero(np.diff(home[by_home], prepend=-1))
+    low, high = np.minimum.reduceat(table[by_home], starts), np.maximum.reduceat(table[by_home], starts)
+    stops = np.append(starts[1:], len(x))
+    for tile in range(0, len(q), TILE):
+        mine = to_pivots[tile:tile + TILE, None, :]
+        bounds = np.maximum(np.maximum(low - mine, mine - high).max(2) * (1 - 1e-9) - slack[tile:tile + TILE, None], 0)
+        whole, floors, wide = [], [], 0
+        for i, bound in enumerate(bounds, tile):
+            # some rows of the nearest groups say how far the search must go
+            first, at, n = np.argsort(bound, kind="stable"), [], 0
+            for g in first:
+                at.append(np.arange(starts[g], min(stops[g], starts[g] + 4 * k + TILE - n)))
+                n += len(at[-1])
+                if n >= 4 * k + TILE:
+                    break
+            at = np.concatenate(at)
+            at = at[by_home[at] != own[i]]
+            evaluated += len(at)
+            found = x_by_home[at] @ q[i]
+            floor = np.partition(found, -k)[-k] if len(found) >= k else -math.inf
+            limit = reach(i, floor) if len(found) >= k else math.inf
+            open_ = by_home[np.repeat(bound <= limit, stops - starts)]
+            many = 4 * len(open_) > len(x)
+            if many and wide >= TRIES:
+                whole.append(i)
+                floors.append(floor)
+                continue
+            open_, bound = within_reach(i, open_, limit)
+            if 4 * len(open_) > len(x):
+                wide += 1
+                whole.append(i)
+                floors.append(floor)
+                continue
+            wide -= many
+            walk(i, open_, bound, limit)
+        if whole:
+            # the bounds leave most rows: one product of all these queries with the block is cheaper than many with parts
+            evaluated += len(whole) * len(x)
+            products = q[whole] @ x.T
+            asks = np.flatnonzero(own[whole] >= 0)
+            products[asks, own[whole][asks]] = -math.inf
+            n, place = np.nonzero((products >= np.array(floors)[:, None]) & (products > -math.inf))
+            score = products[n, place].astype(np.int64)
+            order = np.lexsort((row_ids[place], -score, n))
+            n, place, score = n[order], place[order], score[order]
+            rank = np.arange(len(n)) - np.searchsorted(n, n)
+            n, place, score, rank = (c[rank < k] for c in (n, place, score, rank))
+            best[np.array(whole)[n], rank], scores[np.array(whole)[n], rank] = place, score
     return best, scores, evaluated
 
 

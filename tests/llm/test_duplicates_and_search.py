@@ -1,6 +1,7 @@
 """Trie join, edit join, components and search against brute force; the pipeline as a whole."""
 
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -298,6 +299,34 @@ def test_few_products_are_evaluated():
     assert evaluated < 40 * 6000 / 4
 
 
+@pytest.mark.parametrize("rows", ["random", "clustered", "tied"])
+def test_search_block_equals_brute_force(rows):
+    rng = np.random.default_rng(15)
+    centres = np.repeat(rng.normal(size=(40, 8)) * 400, 100, 0)
+    x = {"random": rng.normal(size=(4000, 24)) * 20, "clustered": centres + rng.normal(size=(4000, 8)) * 5, "tied": rng.integers(0, 2, size=(4000, 5))}[rows]
+    x, ids = np.floor(x.astype(float)), rng.permutation(4000)
+    own = np.where(np.arange(300) % 3 == 0, -1, np.arange(300))
+    best, scores, _ = topk_search.search_block(x[:300], x, ids, own, 20, 32)
+    for i in range(300):
+        order = [j for j in np.lexsort((ids, -(x @ x[i]))) if j != own[i]][:20]
+        assert best[i].tolist() == order and scores[i].tolist() == (x[order] @ x[i]).astype(int).tolist()
+
+
+def test_queries_without_use_of_bounds_do_not_compute_them_for_every_row():
+    rng = np.random.default_rng(16)
+    x = np.floor(rng.normal(size=(16384, 64)) * 10)
+    table = np.sqrt((x[:, :32] ** 2).copy())
+    began = time.process_time()
+    for i in range(300):
+        bound = np.zeros(len(x))
+        for p in range(32):
+            np.maximum(bound, np.abs(table[:, p] - table[i, p]), out=bound)
+    bounds = time.process_time() - began
+    began = time.process_time()
+    topk_search.search_block(x[:300], x, np.arange(len(x)), np.arange(300), 20, 32)
+    assert time.process_time() - began < bounds
+
+
 def test_pipeline(spark, messy):
     import corpus_pipeline
 
