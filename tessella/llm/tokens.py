@@ -7,7 +7,7 @@ that token's id; with ``special_is_text`` it is ordinary text.
 
 A byte-level model whose merges stand in the order of their ids gives the same ids by merging the pair
 with the lowest id first. Plain words and texts, of characters about which no two versions of Unicode differ,
-take that way with the merging of ``tiktoken``, for models with word ends with a byte that no text has as the
+take that way with the merging of ``tiktoken``, for models with word ends with a space, which no word has, as the
 end of a word; all others go through the library in parts.
 
 Defined results: an empty text has no ids; texts are independent, so ties, repeated texts and their order
@@ -36,7 +36,13 @@ NOT_PLAIN = re.compile("[^\t\n\r -~À-ɏ‘’“”–—…«»€]")
 # fixed value: how byte-level models of this kind cut a text before they merge
 CUT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 PLAIN_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
-WORD_END = b"\xff"  # no UTF-8 text has this byte
+WORD_END = b" "  # no word has a space
+# models with word ends cut a text in lower case into these, runs of letters, single digits and runs of others
+CONTRACTION = re.compile(r"'(?<![^\w\s]')(?<!_')([stmd]|re|ve|ll)")
+APOSTROPHE = "\0"  # stands for that of a contraction, which is no mark of its own
+KIND = np.array([0 if c.isspace() else 1 if c.isalpha() or c == APOSTROPHE else 2 if c.isdigit() else 3 for c in map(chr, range(0x2D00))], np.uint8)
+WORD_CUT = "[^ ]+ "
+DOTTED_I = "\u0130"  # becomes two characters in lower case, the second of which is no letter
 MARKS = ",.!?;:"
 JOINED = 500  # words encoded as one text
 CACHE_BYTES = 110_000_000
@@ -173,6 +179,41 @@ class ByteEncoder:
         return out
 
 
+def _words_apart(text: str) -> str:
+    """A plain text in lower case with one space or more behind each of its words."""
+    if "'" in text:
+        text = CONTRACTION.sub(rf" {APOSTROPHE}\1 ", text)
+    code, letter = ("ascii", np.uint8) if text.isascii() else ("utf-32-le", np.dtype("<u4"))
+    raw = np.frombuffer(bytearray(text.encode(code)), letter)
+    kind = KIND[raw]
+    raw[kind == 0] = 32
+    left, right = kind[:-1], kind[1:]
+    cut = ((left != right) | (right == 2)) & (left > 0) & (right > 0)
+    return np.insert(raw, np.flatnonzero(cut) + 1, 32).tobytes().decode(code).replace(APOSTROPHE, "'") + " "
+
+
+class WordEncoder:
+    """Encodes texts with a model that drops white space and marks word ends: plain ones word by word in one
+    call each, others in parts."""
+
+    def __init__(self, name: str, model: str, special_is_text: bool = False):
+        self.parts = PartEncoder(name, model, words_of, "", ends="</w>", special_is_text=special_is_text)
+        self.merger = self.parts.kept["merger"]
+
+    def _plain(self, text: str) -> bytes | None:
+        if self.merger is None or NOT_PLAIN.search(text) or DOTTED_I in text or self.parts.is_special(text):
+            return None
+        return array("I", self.merger.encode_ordinary(_words_apart(text.lower()))).tobytes()
+
+    def encode(self, texts: Sequence[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        out = [self._plain(t) for t in texts]
+        rest = [k for k, ids in enumerate(out) if ids is None]
+        for k, ids in zip(rest, self.parts.encode([texts[k] for k in rest])):
+            out[k] = ids
+        return out
+
+
 def _merger(model: str, ends: str = ""):
     """Merging by ids for a byte-level model, none if its merges have another order. ``ends`` marks the last
     letter of a word; a word is then given with ``WORD_END`` behind it."""
@@ -190,11 +231,14 @@ def _merger(model: str, ends: str = ""):
         return None
     tokens = base.union(a + b for a, b in pairs)
     raw = lambda t: bytes(map(letters.__getitem__, t.removesuffix(ends))) + (WORD_END if ends and t.endswith(ends) else b"")
-    return tiktoken.Encoding("by ids", pat_str=CUT, mergeable_ranks={raw(t): vocabulary[t] for t in tokens}, special_tokens={})
+    ranks = {raw(t): vocabulary[t] for t in tokens}
+    if len(ranks) < len(tokens):  # a token with a space in it looks like one at the end of a word
+        return None
+    return tiktoken.Encoding("by ids", pat_str=WORD_CUT if ends else CUT, mergeable_ranks=ranks, special_tokens={})
 
 
-def word_encoder(name: str, model: str) -> PartEncoder:
-    return PartEncoder(name, model, words_of, "", ends="</w>")
+def word_encoder(name: str, model: str) -> WordEncoder:
+    return WordEncoder(name, model)
 
 
 def byte_encoder(name: str, model: str) -> ByteEncoder:

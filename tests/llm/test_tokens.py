@@ -86,6 +86,21 @@ def test_part_encoder_equals_library(make, file, messy):
     assert encoder.encode(texts) == [raw(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
+def test_plain_texts_are_encoded_whole_and_their_words_not_remembered():
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    random.seed(11)
+    characters = [*map(chr, range(32, 0x250)), *"‘’“”–—…«»€", "\t", "\n", "\r"]
+    plain = [c for c in characters if not tokens.NOT_PLAIN.search(c) and c != tokens.DOTTED_I]
+    common = ["'", "'s", "'LL", "n't", "''", "_'s", "1's", " ", " ", "The", "of", "a"] * 20
+    texts = [x for c in plain for x in (c, f"a{c}b", f"don{c}t_{c}{c}9{c}")]
+    texts += ["".join(random.choice(plain + common) for _ in range(random.randint(0, 40))) for _ in range(5000)]
+    encoder = tokens.word_encoder("plain texts", model_text("word_bpe_49k.json"))
+    assert encoder.encode(texts) == [raw(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert not encoder.parts.kept["later"]
+    odd = [f"a{tokens.DOTTED_I}b {tokens.DOTTED_I}", "e\u0301 \u00a0x", "日本 don't", "\0's"]
+    assert encoder.encode(odd) == [raw(tokenizer.encode(t, add_special_tokens=False).ids) for t in odd]
+
+
 def test_special_tokens_as_text():
     for kind, file in ((tokens.PartEncoder, "word_bpe_49k.json"), (tokens.ByteEncoder, "byte_bpe_50k.json")):
         tokenizer = Tokenizer.from_file(public_tokenizers.path(file))
