@@ -41,6 +41,7 @@ SHARE, MOST_EDITS = 10, 3  # one edit for so many words, and the most
 CELLS = 1 << 18  # words of lines compared at a time
 FEW = 64  # pairs that are compared one by one
 PART_LINES = 1024  # lines of one hash that are compared together; of a hash with more, two parts at a time
+LETTERS = 1 << 20  # letters of lines that are hashed at a time
 HELD = 1 << 20  # hashes a task holds before it hands them on
 BUCKET_BITS = 12  # hashes are dealt by so many of their bits
 MET = 1 << 20  # lines a task remembers so as not to give them twice
@@ -193,10 +194,21 @@ def _runs(most: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest, met, hashes = xxhash.xxh64_intdigest, set(), _RunHashes(most)
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        size = 0
+        plain, lengths, ids = [], [], []
+        size = letters = 0
+
+        def hash_lines() -> None:
+            nonlocal size, letters
+            if ids:
+                keys, counts, own = hashes.of(plain, lengths)
+                held.append((keys, np.repeat(np.array(ids, np.uint64), counts), own))
+                size += len(keys)
+            letters = 0
+            for kept in (plain, lengths, ids):
+                kept.clear()
+
         for batch in batches:
             for at in range(0, batch.num_rows, 250):
-                plain, lengths, ids = [], [], []
                 for text in strings(batch.column(0).slice(at, 250)):
                     for line in _lines(text):
                         words = line.split()
@@ -208,13 +220,14 @@ def _runs(most: int):
                         plain.append(b" ".join(words))
                         lengths.append(len(words))
                         ids.append(name)
-                if ids:
-                    keys, counts, own = hashes.of(plain, lengths)
-                    held.append((keys, np.repeat(np.array(ids, np.uint64), counts), own))
-                    size += len(keys)
+                        letters += len(line)
+                        if letters >= LETTERS:
+                            hash_lines()
+                hash_lines()
                 if size >= HELD:
                     yield _in_buckets(held)
-                    held, size = [], 0
+                    held.clear()
+                    size = 0
         if held:
             yield _in_buckets(held)
 
@@ -243,7 +256,7 @@ class _RunHashes:
         words = np.repeat(np.cumsum([0, *lengths[:-1]]), counts)
         raw = np.frombuffer(b" ".join(plain) + b" ", np.uint8)
         if len(raw) >= len(self.powers):
-            self.powers, self.inverse = (np.cumprod(np.append(np.uint64(1), np.full(2 * len(raw), x, np.uint64))) for x in (self.BASE, pow(self.BASE, -1, 1 << 64)))
+            self.powers, self.inverse = (np.cumprod(np.append(np.uint64(1), np.full(len(raw), x, np.uint64))) for x in (self.BASE, pow(self.BASE, -1, 1 << 64)))
         starts = np.concatenate([[0], np.flatnonzero(raw == 32) + 1])
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.letters[raw] * self.powers[:len(raw)], dtype=np.uint64)])
         begin, end = starts[words + first], starts[words + last] - 1

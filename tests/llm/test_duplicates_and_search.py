@@ -169,8 +169,9 @@ def test_hashes_of_runs_travel_in_rows_of_many(monkeypatch):
     batch = pa.record_batch([pa.array([*lines, *lines, None])], ["text"])
     expected = sum(len(line_dedup.probes(len(x.split()))[0]) for x in lines if len(x.split()) >= 10)
     monkeypatch.setattr(line_dedup, "BUCKET_BITS", 8)
-    for held in (1, 1 << 20):
+    for held, letters in ((1, 1 << 20), (1 << 20, 1 << 20), (1 << 20, 100)):
         monkeypatch.setattr(line_dedup, "HELD", held)
+        monkeypatch.setattr(line_dedup, "LETTERS", letters)
         found = pa.Table.from_batches(line_dedup._runs(line_dedup.MOST_EDITS)(iter([batch])))
         rows = [(b, np.frombuffer(k, np.uint64), len(i), len(o)) for b, k, i, o in zip(*(c.to_pylist() for c in found.columns))]
         assert len(rows) <= 256 * (25 if held == 1 else 1)
