@@ -54,17 +54,19 @@ def selected(t: Tables) -> DataFrame:
     return plan.selected_claims(claims(t), "EUROPE", AFTER, TYPES, PARTS)
 
 
-def category_lists(t: Tables) -> dict[str, list]:
-    """The filters name two of the lists; the other two come from one scan of two columns."""
+def category_lists(t: Tables, narrowed: bool = True) -> dict[str, list]:
+    """The filters name two of the lists, for all claims the tables do; the other two come from one scan of two columns."""
     found = reshape.category_values(t.lineitem, ["l_linestatus", "l_returnflag"])
-    return {
-        "claim_status": found["l_linestatus"], "item_type": found["l_returnflag"],
-        "claim_type": list(TYPES), "part_number_des": list(PARTS),
-    }
+    lists = {"claim_status": found["l_linestatus"], "item_type": found["l_returnflag"]}
+    if narrowed:
+        return lists | {"claim_type": list(TYPES), "part_number_des": list(PARTS)}
+    types, brands = reshape.category_values(t.orders, ["o_orderpriority"]), reshape.category_values(t.part, ["p_brand"])
+    return lists | {"claim_type": types["o_orderpriority"], "part_number_des": brands["p_brand"]}
 
 
 def claim_features(t: Tables, rows: DataFrame | None = None) -> DataFrame:
-    return plan.claim_features(rows if rows is not None else selected(t), CATEGORIES, KEYS, NUMBERS, category_lists(t))
+    """Features of the selected claims, or of ``rows``, which may hold every type and part there is."""
+    return plan.claim_features(rows if rows is not None else selected(t), CATEGORIES, KEYS, NUMBERS, category_lists(t, rows is None))
 
 
 def _max_flags(column: str, values: tuple[str, ...]) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessella.catalog import claims, traffic
 from tessella.catalog.base import Tables, query, rounded
-from tessella.operators import clusters, density, explain, forecast, isolation, joint, series, vectors
+from tessella.operators import clean, clusters, density, explain, forecast, isolation, joint, series, vectors
 from tessella.plans import claims as claims_plan
 from tessella.plans import topics as topics_plan
 
@@ -149,14 +149,15 @@ def isolation_forest(t: Tables) -> DataFrame:
 
 
 def marked_claims(t: Tables) -> tuple[DataFrame, list[str]]:
-    features = claims.claim_features(t, claims.claims(t))
+    """All claims without duplicate rows, with a feature for every status, type, part and item there is, marked."""
+    features = claims.claim_features(t, clean.distinct_rows(claims.claims(t)))
     found = claims_plan.claim_outliers(features, claims.KEYS)
     return found.rows, [c for c in found.rows.columns if c not in (*claims.KEYS, "score", "anomaly")]
 
 
 @query()
 def claim_anomalies(t: Tables) -> DataFrame:
-    """All claims: features, components, isolation forest, mark per claim row."""
+    """All claims without duplicate rows: features, components, isolation forest, mark per claim row."""
     rows, _ = marked_claims(t)
     return rows.select(*claims.KEYS, "score", "anomaly")
 
