@@ -7,17 +7,15 @@ shipped to the tasks that score the rows in Arrow batches.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessella.functions.columns import drop_missing, nan_to_null
 from tessella.functions.quantiles import exact_quantiles
-from tessella.session import cut
+from tessella.session import stored
 
 NODE = "tree int, node int, feature int, cut double, left int, right int, depth double"
 EULER = 0.5772156649015329
@@ -56,30 +54,41 @@ def _grow(points: np.ndarray, rng: np.random.Generator, limit: int) -> list[tupl
     return rows
 
 
-def fit_forest(df: DataFrame, features: Sequence[str], id_columns: Sequence[str], trees: int = 100, sample: int = 256, seed: int = 42) -> pd.DataFrame:
+def _point(features: Sequence[str] | str) -> Column:
+    """The features of a row as one array."""
+    return F.col(f"`{features}`") if isinstance(features, str) else F.array(*[F.col(f"`{c}`").cast("double") for c in features])
+
+
+def _complete(point: Column) -> Column:
+    return F.coalesce(F.forall(point, lambda v: v.isNotNull() & ~F.isnan(v)), F.lit(False))
+
+
+def fit_forest(df: DataFrame, features: Sequence[str] | str, id_columns: Sequence[str], trees: int = 100, sample: int = 256, seed: int = 42) -> pd.DataFrame:
     """Grow the trees; returns the nodes (at most ``trees * (2 * sample - 1)`` rows).
 
-    The pool holds ``trees * sample`` rows chosen by hash, a block of ``sample`` rows for each tree.
+    The pool holds ``trees * sample`` rows chosen by hash, a block of ``sample`` rows for each tree. Rows with a missing
+    feature take no part. ``features`` are columns or one column of arrays.
     """
-    features = list(features)
-    spot = F.xxhash64(F.lit(seed), *[F.col(c) for c in id_columns])
-    points = df.select(*[F.col(f"`{c}`").cast("double").alias(f"f{i}") for i, c in enumerate(features)], spot.alias("_spot"))
-    points, wanted = drop_missing(points), trees * sample
-    # only about four times the rows wanted are sorted into one place, however many there are
-    share = min(1.0, 4 * wanted / max(1, points.count()))
-    near = points.where(F.col("_spot") <= F.lit(int(-2**63 + share * (2**64 - 1)))) if share < 1 else points
-    if share < 1 and near.limit(wanted).count() < wanted:
-        near = points
-    pool = near.orderBy("_spot", *[f"f{i}" for i in range(len(features))]).limit(wanted)
+    wanted, spot = trees * sample, F.xxhash64(F.lit(seed), *[F.col(c) for c in id_columns])
+    # only about four times the rows wanted are kept and sorted into one place, however many there are; features that
+    # are computed on the way are computed for these rows only
+    share = min(1.0, 4 * wanted / max(1, df.count()))
+    while True:
+        near = df if share == 1 else df.where(spot <= F.lit(int(-2**63 + share * (2**64 - 1))))
+        near = stored(near.select(_point(features).alias("_point"), spot.alias("_spot")).where(_complete(F.col("_point"))))
+        if share == 1 or near.count() >= wanted:
+            break
+        share = min(1.0, 4 * share)
+    pool = near.orderBy("_spot", "_point").limit(wanted)
     # bounded rows in random order; tree i takes the i-th block of them, from the front again at the end
-    shuffled = Window.orderBy("_spot", *[f"f{i}" for i in range(len(features))])
+    shuffled = Window.orderBy("_spot", "_point")
     placed = pool.withColumns({"_n": F.row_number().over(shuffled) - 1, "_size": F.count("*").over(Window.partitionBy())})
     in_block = lambda i: F.pmod(F.col("_n") - i * sample, F.col("_size")) < sample
     chosen = placed.withColumn("tree", F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), in_block)))
 
     def grow(key, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("_n")
-        points = part[[f"f{i}" for i in range(len(features))]].to_numpy(dtype=float)
+        points = np.stack(part["_point"].to_numpy()).astype(float)
         limit = int(np.ceil(np.log2(max(len(points), 2))))
         rows = _grow(points, np.random.default_rng([seed, int(key[0])]), limit)
         nodes = pd.DataFrame(rows, columns=["node", "feature", "cut", "left", "right", "depth"])
@@ -113,7 +122,7 @@ def _score(x: np.ndarray, forest: list[tuple], norm: float) -> np.ndarray:
     return -np.power(2.0, -(total / len(forest)) / norm)
 
 
-def score_forest(df: DataFrame, features: Sequence[str], nodes: pd.DataFrame, sample: int = 256, name: str = "score") -> DataFrame:
+def score_forest(df: DataFrame, features: Sequence[str] | str, nodes: pd.DataFrame, sample: int = 256, name: str = "score") -> DataFrame:
     """Add the score of each row, from -1 (isolated at once) towards 0; null features give null."""
     forest = [_levels(t.sort_values("node")) for _, t in nodes.groupby("tree")]
     norm = float(mean_path(np.array([sample]))[0]) or 1.0
@@ -122,18 +131,18 @@ def score_forest(df: DataFrame, features: Sequence[str], nodes: pd.DataFrame, sa
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            x = np.stack(batch.to_numpy()) if len(batch) else np.zeros((0, len(features)))
-            yield pd.Series(_score(np.asarray(x, dtype=float), shipped.value, norm))
+            there, out = batch.notna().to_numpy(), np.full(len(batch), np.nan)
+            if there.any():
+                out[there] = _score(np.stack(batch[there].to_numpy()).astype(float), shipped.value, norm)
+            yield pd.Series(out)
 
-    values = [nan_to_null(F.col(f"`{c}`").cast("double")) for c in features]
-    there = reduce(lambda a, b: a & b, [v.isNotNull() for v in values])
-    point = F.array(*[F.coalesce(v, F.lit(0.0)) for v in values])
-    return df.withColumn(name, F.when(there, score(point)))
+    point = _point(features)
+    return df.withColumn(name, F.nanvl(score(F.when(_complete(point), point)), F.lit(None).cast("double")))
 
 
 def isolation_forest(
     df: DataFrame,
-    features: Sequence[str],
+    features: Sequence[str] | str,
     id_columns: Sequence[str],
     contamination: float = 0.01,
     trees: int = 100,
@@ -143,14 +152,13 @@ def isolation_forest(
 ) -> DataFrame:
     """Add ``score`` and ``anomaly``: -1 for rows below the contamination quantile of the scores, else 1.
 
-    Rows with a missing feature take no part; both are null for them. ``keep`` names the columns that stay beside
-    the two, all by default.
+    ``features`` are columns or one column of arrays. Rows with a missing feature take no part; both are null for
+    them. ``keep`` names the columns that stay beside the two, all by default.
     """
-    clean = drop_missing(df, features)
-    nodes = fit_forest(clean, features, id_columns, trees, sample, seed)
-    used = min(sample, clean.limit(sample).count())
+    nodes = fit_forest(df, features, id_columns, trees, sample, seed)
+    used = df.select(_point(features).alias("_point")).where(_complete(F.col("_point"))).limit(sample).count()
     scored = score_forest(df, features, nodes, used)
-    scored = cut(scored if keep is None else scored.select(*[F.col(f"`{c}`") for c in keep], "score"))
+    scored = stored(scored if keep is None else scored.select(*[F.col(f"`{c}`") for c in keep], "score"))
     # the quantile reads the scores several times, and nothing else
-    limit = exact_quantiles(cut(scored.select("score")), "score", [contamination]).first()["quantiles"][0]
+    limit = exact_quantiles(scored.select("score"), "score", [contamination]).first()["quantiles"][0]
     return scored.withColumn("anomaly", F.when(F.col("score") < F.lit(limit), -1).when(F.col("score").isNotNull(), 1))

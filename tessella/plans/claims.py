@@ -13,7 +13,7 @@ from tessella.operators import clean, profile, rollup
 from tessella.operators.isolation import isolation_forest
 from tessella.operators.reshape import one_hot
 from tessella.operators.vectors import Components, fit_components
-from tessella.session import cut
+from tessella.session import stored
 
 # The claims that are analysed.
 REGION = "Europe"
@@ -73,18 +73,18 @@ def claim_outliers(
     """Drop columns that repeat others, project on components, mark outliers.
 
     The components travel beside the row they were computed from and so does the mark: nothing is joined back, and a
-    claim with several rows does not fan out.
+    claim with several rows does not fan out. Components are computed where they are needed and never stored.
     """
-    features = cut(features)  # read by every step below
+    features = stored(features, keys[0])  # read by every step below
     numbers = [c for c in clean.numeric_columns(features) if c not in keys]
     dropped = [r["column"] for r in profile.high_correlation(features, numbers, limit).collect()]
     kept = [c for c in numbers if c not in dropped]
     lean = features.drop(*dropped)
     fitted = fit_components(lean, kept, min(k, len(kept)))
-    values, names = vector_to_array(F.col(fitted.output)), [f"PC{i + 1}" for i in range(len(fitted.variance))]
     columns = [*keys, *[c for c in lean.columns if c not in keys]]
-    points = cut(fitted.transform(lean).select(*[F.col(f"`{c}`") for c in columns], *[values[i].alias(c) for i, c in enumerate(names)]))
-    return ClaimOutliers(isolation_forest(points, names, list(keys), contamination, trees, seed=seed, keep=columns), fitted, dropped)
+    point = "_" * max(map(len, columns)) + "_point"
+    points = fitted.transform(lean).select(*[F.col(f"`{c}`") for c in columns], vector_to_array(F.col(fitted.output)).alias(point))
+    return ClaimOutliers(isolation_forest(points, point, list(keys), contamination, trees, seed=seed, keep=columns), fitted, dropped)
 
 
 def outlier_patterns(rows: DataFrame, flags: Sequence[str], value: str = "total_work_hours") -> DataFrame:

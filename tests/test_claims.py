@@ -1,10 +1,18 @@
 """The claim queries over tables built here."""
 
 import datetime as dt
+import os
 
+import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from tessella.catalog import Tables, claims, models
+from tessella import session
+from tessella.catalog import claims, models
+from tessella.catalog.base import Tables
+from tessella.operators import isolation
+from tessella.plans import claims as claims_plan
 
 LINES = (
     "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
@@ -48,3 +56,42 @@ def test_marked_claims_know_every_type_and_part_and_count_a_row_once(tables):
 def test_selected_claims_keep_the_lists_of_the_filters(tables):
     lists = claims.category_lists(tables)
     assert lists["claim_type"] == list(claims.TYPES) and lists["part_number_des"] == list(claims.PARTS)
+
+
+def size(folder: str) -> int:
+    return sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(folder) for f in files)
+
+
+def test_stored_in_parts_has_every_row_and_odd_names(spark, tables):
+    rows = tables.lineitem.join(tables.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = rows.select("l_orderkey", F.col("l_quantity").alias("a b.c,(1)"), F.col("l_shipdate").alias("A"), F.when(F.col("l_quantity") > 9, 1).alias("a"))
+    rows = rows.union(rows.where("l_orderkey < 3").withColumn("l_orderkey", F.lit(None).cast("long")))
+    sizes = session.bytes_read(rows)
+    parts = session.stored(rows, "l_orderkey", part_bytes=sizes // 3)
+    assert parts.schema.simpleString() == rows.schema.simpleString() and len({r[0] for r in parts.select(F.input_file_name()).collect()}) >= 4
+    assert sorted(map(str, parts.collect())) == sorted(map(str, rows.collect()))
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+    empty = session.stored(rows.where("l_orderkey < -1"), "l_orderkey")
+    assert empty.count() == 0 and empty.columns == rows.columns
+
+
+def test_claim_outliers_store_a_fraction_of_what_they_compute(spark):
+    rng, n = np.random.default_rng(4), 20_000
+    flags = {f"flag_{i}": (rng.random(n) < 0.1).astype("int32") for i in range(30)}
+    rows = spark.createDataFrame(pd.DataFrame({"id": np.arange(n), **flags, "total": rng.random(n).round(2)}))
+    before = size(session.shared_dir(spark))
+    found = claims_plan.claim_outliers(rows, ["id"], k=25, trees=2).rows
+    assert found.where("score IS NOT NULL").count() == n
+    assert size(session.shared_dir(spark)) - before < 100 * n  # 700 when rows and their components were checkpointed
+
+
+def test_features_in_one_array_are_scored_as_columns(spark):
+    rng = np.random.default_rng(5)
+    rows = pd.DataFrame(rng.normal(size=(300, 2)), columns=["x", "y"]).assign(id=np.arange(300))
+    rows.loc[[3, 4], "y"] = np.nan
+    df = spark.createDataFrame(rows).withColumn("both", F.when(F.col("id") != 5, F.array("x", "y")))
+    one = isolation.isolation_forest(df.where("id <> 5"), ["x", "y"], ["id"], 0.1, trees=10, sample=16, keep=["id"])
+    other = isolation.isolation_forest(df, "both", ["id"], 0.1, trees=10, sample=16, keep=["id"])
+    other = {r["id"]: r for r in other.collect()}
+    assert other.pop(5)["anomaly"] is None
+    assert other == {r["id"]: r for r in one.collect()} and other[3]["score"] is None and other[3]["anomaly"] is None
