@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessella.functions.sizing import attach, literal_rows, small_table
+from tessella.operators.forest import fit_forest
 
 LEAST_RANGES = 1_024
 
@@ -81,12 +82,10 @@ def random_forest_importance(
 ) -> tuple[DataFrame, DataFrame]:
     """Importance table ``rank, feature, importance`` and the test rows with ``predicted`` labels."""
     split = stratified_split(df, label, id_columns, train_share, seed)
-    model = forest_pipeline(label, features, trees, seed=seed).fit(split.where("split = 'train'"))
-    rows = [(i + 1, f, v) for i, (f, v) in enumerate(importances(model, features))]
+    forest = fit_forest(split.where("split = 'train'"), features, label, trees, seed=seed)
+    rows = [(i + 1, f, v) for i, (f, v) in enumerate(forest.importances())]
     table = df.sparkSession.createDataFrame(rows, "rank int, feature string, importance double")
-    names = F.array(*[F.lit(v) for v in model.stages[0].labels])
-    tested = model.transform(split.where("split = 'test'"))
-    return table, tested.withColumn("predicted", names[F.col("prediction").cast("int")]).drop("rawPrediction", "probability", "prediction", "features_col", "label")
+    return table, forest.predict(split.where("split = 'test'"))
 
 
 def one_vs_rest_importance(
